@@ -6,6 +6,8 @@ import math
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +62,26 @@ def unit_hash(*parts: Column) -> Column:
 
 def blocks_for(rows: int, per_block: int) -> int:
     return max(1, math.ceil(rows / per_block))
+
+
+def summed(parts: DataFrame, name: str, most: int = 16) -> dict[int, np.ndarray]:
+    """By chunk, the sum of the float64 vectors in ``payload`` over all rows (chunk, part, payload), in a tree.
+
+    However many partitions there are, no task adds more than 16 vectors of a chunk and the driver no more than ``most``.
+    """
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(group.payload.iat[0], np.float64).copy()
+        for more in group.payload.iloc[1:]:
+            total += np.frombuffer(more, np.float64)
+        return pd.DataFrame({"chunk": [group.chunk.iat[0]], "part": [group.part.iat[0] // 16], "payload": [total.tobytes()]})
+
+    schema = "chunk int, part long, payload binary"
+    parts = written(parts.select(F.col("chunk").cast("int").alias("chunk"), F.col("part").cast("long").alias("part"), "payload"), name)
+    while (parts.groupBy("chunk").count().agg(F.max("count")).first()[0] or 0) > most:
+        parts = written(parts.groupBy("chunk", F.floor(F.col("part") / 16).alias("to")).applyInPandas(add, schema), name)
+    out: dict[int, np.ndarray] = {}
+    for r in parts.toLocalIterator():
+        vector = np.frombuffer(r["payload"], np.float64)
+        out[r["chunk"]] = vector + out[r["chunk"]] if r["chunk"] in out else vector
+    return out

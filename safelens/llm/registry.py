@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import chat, decontaminate, lm_score, mixing, near_dup, neighbours, quality, secrets, sharding, url_filter
 
 
 def queries():
     return {
+        "op1_character_ratio": url_filter.op1_character_ratio,
+        "op2_latent_retrieval": decontaminate.op2_latent_retrieval,
         "op3_pareto_mixing": mixing.op3_pareto_mixing,
+        "op4_hilbert_windows": neighbours.op4_hilbert_windows,
+        "op5_preference_pairs": chat.op5_preference_pairs,
+        "op6_multi_index_hamming": near_dup.op6_multi_index_hamming,
         "op7_jump_sharding": sharding.op7_jump_sharding,
+        "op8_cross_entropy_difference": lm_score.op8_cross_entropy_difference,
+        "op9_fourier_quality": quality.op9_fourier_quality,
+        "op10_randomness_battery": secrets.op10_randomness_battery,
     }
 
 
 def oracle_sql():
-    return {"op3_pareto_mixing": mixing.ORACLE_SQL}
+    return {"op3_pareto_mixing": mixing.ORACLE_SQL, "op6_multi_index_hamming": near_dup.ORACLE_SQL}
