@@ -152,7 +152,7 @@ def nearest(rows: DataFrame, is_query, k: int = NEAREST, window: float = WINDOW,
     blocks = placed_rows.filter("candidate").select("curve", F.floor(F.col("place") / BLOCK).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(share - 1))).alias("deal"), "place", "vec_id", "blob")
     first, last = F.floor(F.greatest(F.lit(0), F.col("place") - wide) / BLOCK), F.floor(F.least(F.lit(n - 1), F.col("place") + wide) / BLOCK)
     deal = F.pmod(F.xxhash64("vec_id"), F.lit(share)).cast("int")
-    asking = placed_rows.filter("query").select("curve", F.explode(F.sequence(first, last)).alias("block"), deal.alias("deal"), F.col("place").alias("q_place"), F.col("vec_id").alias("query_id"), F.col("blob").alias("q_blob"))
+    asking = placed_rows.filter("query").select(F.col("curve").alias("q_curve"), F.explode(F.sequence(first, last)).alias("q_block"), deal.alias("q_deal"), F.col("place").alias("q_place"), F.col("vec_id").alias("query_id"), F.col("blob").alias("q_blob"))
 
     def search(here: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -169,8 +169,7 @@ def nearest(rows: DataFrame, is_query, k: int = NEAREST, window: float = WINDOW,
                     out.append(pd.DataFrame({"query_id": q, "vec_id": ids[near][best], "score": distance[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    groups = ["curve", "block", "deal"]
-    found = blocks.groupBy(*groups).cogroup(asking.groupBy(*groups)).applyInPandas(search, "query_id long, vec_id long, score double")
+    found = blocks.groupBy("curve", "block", "deal").cogroup(asking.groupBy("q_curve", "q_block", "q_deal")).applyInPandas(search, "query_id long, vec_id long, score double")
     merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")
     return merged.withColumn("rank", order).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
