@@ -12,6 +12,7 @@ import urllib.parse
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Whitespace as Unicode has it, with U+001C..U+001F.
 SPACE = r"(?U)[\s\x1c-\x1f]"
@@ -41,7 +42,7 @@ def decode_text(text: str) -> dict:
     return {"work": urllib.parse.unquote(html.unescape(work)), "invisible": invisible, "tags": tags}
 
 
-@F.pandas_udf("work string, invisible int, tags int")
+@F.pandas_udf(T.StructType([T.StructField("work", T.StringType()), T.StructField("invisible", T.IntegerType()), T.StructField("tags", T.IntegerType())]))
 def _decoded(texts: pd.Series) -> pd.DataFrame:
     empty = {"work": None, "invisible": None, "tags": None}
     return pd.DataFrame([empty if t is None else decode_text(t) for t in texts], columns=list(empty)).astype({"invisible": "Int32", "tags": "Int32"})
@@ -61,7 +62,7 @@ def decode_spans(spans) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _spans_decoded(spans: pd.Series) -> pd.Series:
     return spans.map(lambda s: None if s is None else decode_spans(s))
 

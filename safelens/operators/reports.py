@@ -8,6 +8,7 @@ import time
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import PUBLIC_LABELS, Settings, as_mapping
 from ..functions.labels import bucket_for, token_bucket
@@ -62,7 +63,7 @@ def leaderboard(scores: DataFrame, by: str = "model") -> DataFrame:
     return c.withColumn("__b", best).filter("__b = 1").select(by, "threshold", "precision", "recall", "f1").orderBy(F.desc("f1"), by)
 
 
-@F.pandas_udf("map<string,double>")
+@F.pandas_udf(T.MapType(T.StringType(), T.DoubleType()))
 def parse_category_scores(raw: pd.Series) -> pd.Series:
     """Category scores written as JSON or as a literal of the reference language: pairs or a mapping; anything else is empty."""
     import ast
