@@ -12,8 +12,8 @@ from safelens.llm import common, decontaminate, mixing, near_dup, quality, shard
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. Its labels are the table's, whatever ``docs`` still holds."""
-    return quality.good_documents(docs, common.read(spark, sf_dir, "labels"))
+    """Documents that the classifier rejects go: those of a score under 0.25, as losing a good one costs more than keeping junk."""
+    return quality.good_documents(docs, common.read(spark, sf_dir, "labels"), least=0.25)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
