@@ -15,6 +15,7 @@ from ..functions import scoring as S
 from ..functions.rules import ATTACK_PATTERNS, MODERATION_PATTERNS, apply_rules
 from ..functions.text import normalize
 from ..operators import calibrate as G
+from ..operators import diagnostics as X
 from ..operators import metrics as A
 from ..operators import reports as R
 from ..operators import sampling as W
@@ -305,13 +306,23 @@ def event_counters_by_day(spark, sf):
     return events.groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+def probe_report(spark, sf):
+    return X.probe_report(spark, PROFILES["default"])
+
+
+def temperature_calibration(spark, sf):
+    p = F.least(F.greatest(F.col("harmful"), F.lit(0.01)), F.lit(0.99))
+    out = X.calibrate_temperature(scored(spark, sf), F.log(p / (F.lit(1.0) - p)), F.col("toxic"), "doc_id", 80)
+    return spark.createDataFrame([(round(out["temperature"], 6), out["threshold"], out["before"]["tp"], out["after"]["tp"])], "temperature double, threshold double, tp_before long, tp_after long")
+
+
 QUERIES = [
     normalize_documents, obfuscation_flags, rule_hits_inline, base64_decode_inline, html_decode_pages, lexicon_scores, routed_outcomes, cascade_labels, label_counters_by_source,
     dedupe_first_documents, balanced_sample_documents, binary_balanced_sample, auto_balanced_sample, stratified_split, harmful_binary_metrics, per_label_metrics, any_label_metrics,
     macro_f1, false_pass_rate, confusion_matrix, multiclass_metrics, coverage_holes, rescues, score_percentiles, nearest_rank_quartiles, token_buckets, source_distribution,
     raw_label_distribution, canonical_labels_inline, score_mappings_inline, subcategory_breakdown, threshold_sweep, best_f1_threshold, label_threshold_choice, joint_route_choice,
     route_curve, route_choice, fast_allow_choice, direct_safe_choice, direct_label_choice, veto_choice, bce_by_temperature, temperature_fit, prf_at_temperature, recall_of_models,
-    leaderboard, contamination_flags, conversation_label_counts, pages_label_counts, event_counters_by_day,
+    leaderboard, contamination_flags, conversation_label_counts, pages_label_counts, event_counters_by_day, probe_report, temperature_calibration,
 ]
 
 
