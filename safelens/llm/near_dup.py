@@ -8,8 +8,9 @@ the index; pairs that share a key are confirmed on their full shingle sets.
 
 Documents with equal shingle sets are one class with one representative. In a key's group first
 all members are held against the smallest one, which costs as many pairs as there are members.
-Connected members need no more. What is left in groups of three and more is compared block by block, so
-no pair under the radius is lost and no group is ever expanded into all its pairs or held by one task.
+Connected members need no more. What is left in groups of three and more is compared and confirmed block by block
+with the whole sets at hand, so no pair under the radius is lost, no pair that isn't a link becomes a row, and no group is held by
+one task. Groups that overlap are taken together where that moves fewer sets.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ CHUNK = 5
 ERRORS = 1
 #: A pair at exactly the least similarity shares no key with at most this probability.
 MISS = 1e-6
-BLOCK = 256
+BLOCK = 128
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -90,6 +91,15 @@ def chunks_for(similarity: float, chunk: int = CHUNK, errors: int = ERRORS, miss
     return 1 if one >= 1 else max(1, math.ceil(math.log(miss) / math.log(1 - one)))
 
 
+def quantile(n: int, p: float, tail: float) -> int:
+    """The least k that a binomial variable of n trials exceeds with probability ``tail`` at most."""
+    over, k = 1.0, -1
+    while over > tail and k < n:
+        k += 1
+        over -= math.comb(n, k) * p**k * (1 - p) ** (n - k)
+    return k
+
+
 def index_keys(signatures: np.ndarray, chunk: int = CHUNK, errors: int = ERRORS) -> np.ndarray:
     """All index keys of all signatures (rows): one for each chunk and each set of places left out."""
     salt = mix(np.arange(1, signatures.shape[1] + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -186,36 +196,56 @@ def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     return common.written(both.filter(100 * common_size >= similarity * union).select("a", "b").distinct(), f"{name}-links")
 
 
-def _rest_pairs(index: DataFrame, grouped: DataFrame, classes: DataFrame, label: DataFrame, places: int, far: int) -> DataFrame:
-    """Pairs of different components in groups of three and more, by blocks of members."""
-    open_keys = grouped.filter("n > 2").select("key", "n")
-    members = index.join(open_keys, "key").join(label.toDF("node", "component"), "node", "left")
+def _rest_links(docs: DataFrame, index: DataFrame, grouped: DataFrame, classes: DataFrame, label: DataFrame, width: int, similarity: int, places: int, far: int) -> DataFrame:
+    """Links between different components in groups of three and more, as many as it takes to join them."""
+    members = index.join(grouped.filter("n > 2").select("key"), "key").join(label.toDF("node", "component"), "node", "left")
     members = members.withColumn("component", F.coalesce("component", "node"))
-    split = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    members = members.join(split, "key").join(classes.select("node", "signature"), "node")
+    split = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("key", "first", "n")
+    members = common.written(members.join(split, "key"), "nd-open")
+    # Groups that share members form clusters. A cluster is compared as a whole if that costs less than group by group.
+    cluster = connected_components(members.select(F.col("first").alias("a"), F.col("node").alias("b")), "nd-cluster").toDF("node", "cluster")
+    members = common.written(members.join(cluster, "node"), "nd-members")
+    load = lambda n: n * F.ceil(n / BLOCK)
+    apart = members.groupBy("cluster", "key").agg(F.first("n").alias("n")).groupBy("cluster").agg(F.sum(load(F.col("n"))).alias("apart"))
+    whole = members.select("cluster", "node").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    plan = whole.join(apart, "cluster").withColumn("as_one", load(F.col("size")) <= F.col("apart"))
+    planned = members.join(plan.select("cluster", "size", "as_one"), "cluster")
+    one = planned.filter("as_one").select(F.lit(0).alias("kind"), F.col("cluster").alias("id"), F.col("size").alias("n"), "node", "component").distinct()
+    many = planned.filter("NOT as_one").select(F.lit(1).alias("kind"), F.col("key").alias("id"), "n", "node", "component")
+    asked = common.written(one.unionByName(many), "nd-asked")
+
+    wanted = common.written(asked.select(F.col("node").alias("doc_id")).distinct(), "nd-asked-ids")
+    texts = common.sized_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, ["doc_id"], "left_semi")
+    sets = common.written(shingle_sets(texts, width).join(classes.select(F.col("node").alias("doc_id"), "signature"), "doc_id").withColumnRenamed("doc_id", "node"), "nd-asked-sets")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    members = members.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "signature")
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    asked = asked.select("kind", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component").join(sets, "node")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(group.signature), "<u2").reshape(-1, places)
-        node, part, block = group.node.to_numpy(), group.component.to_numpy(), group.block.to_numpy()
+        node, part, block = group.node.to_numpy(), group.component.to_numpy().copy(), group.block.to_numpy()
+        sets = [np.asarray(x) for x in group.shingles]
+        size = np.array([len(x) for x in sets])
         i, j = group.i.iat[0], group.j.iat[0]
         left, right = np.nonzero(block == i)[0], np.nonzero(block == j)[0]
-        a, b = [], []
+        found = []
         for k in left:
-            differ = (sig[k] != sig[right]).sum(axis=1)
-            hit = right[(differ <= far) & (part[right] != part[k]) & ((node[right] > node[k]) | (i != j))]
-            a.append(np.minimum(node[k], node[hit]))
-            b.append(np.maximum(node[k], node[hit]))
-        return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
+            near = right[(part[right] != part[k]) & (100 * np.minimum(size[right], size[k]) >= similarity * np.maximum(size[right], size[k])) & (node[right] != node[k])]
+            if len(near):
+                differ = (sig[k] != sig[near]).sum(axis=1)
+                for m in near[np.argsort(differ, kind="stable")][: int((differ <= far).sum())]:
+                    if part[m] != part[k]:
+                        both = len(np.intersect1d(sets[k], sets[m], assume_unique=True))
+                        if 100 * both >= similarity * (size[k] + size[m] - both):
+                            found.append((min(node[k], node[m]), max(node[k], node[m])))
+                            part[part == part[m]] = part[k]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = []
+        held: list[pd.DataFrame] = []
         last = None
         for frame in frames:
-            for at, group in frame.groupby(["key", "i", "j"], sort=False):
+            for at, group in frame.groupby(["kind", "id", "i", "j"], sort=False):
                 if at != last and held:
                     yield compare(pd.concat(held))
                     held = []
@@ -224,8 +254,8 @@ def _rest_pairs(index: DataFrame, grouped: DataFrame, classes: DataFrame, label:
         if held:
             yield compare(pd.concat(held))
 
-    sorted_blocks = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return sorted_blocks.mapInPandas(stream, "a long, b long").distinct()
+    by = ["kind", "id", "i", "j"]
+    return common.written(asked.repartition(*by).sortWithinPartitions(*by).mapInPandas(stream, "a long, b long").distinct(), "nd-rest")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, carry_sizes: bool = True) -> DataFrame:
@@ -240,9 +270,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, carry
     chunks = chunks_for(similarity / 100)
     places = chunks * CHUNK
     radius = (ERRORS + 1) * chunks - 1
-    # Beyond the guaranteed radius pairs are still confirmed, up to a distance that true links don't reach.
-    mean = places * (1 - similarity / 100)
-    far = min(places, max(radius, math.ceil(mean + 6.5 * math.sqrt(mean * similarity / 100))))
+    # Beyond the guaranteed radius pairs are still confirmed, up to a distance that links pass with the same probability.
+    far = max(radius, quantile(places, 1 - similarity / 100, MISS))
 
     sketched = common.written(sketch(docs, width, places), "nd-sketch")
     usable = sketched.filter("class_id IS NOT NULL AND doc_id IS NOT NULL")
@@ -255,8 +284,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, carry
     # A doc_id given to several classes holds them together.
     held = usable.select("class_id", "doc_id").join(classes.select("class_id", "node"), "class_id").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     label = connected_components(stars, "nd-first")
-    rest = _rest_pairs(index, grouped, classes, label, places, far)
-    others = _confirm(rest, docs, classes, width, similarity, places, far, "nd-rest")
+    others = _rest_links(docs, index, grouped, classes, label, width, similarity, places, far)
     links = label.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(others)
     if usable.groupBy("doc_id").agg(F.count_distinct("class_id").alias("n")).filter("n > 1").limit(1).count():
         links = links.unionByName(held)
