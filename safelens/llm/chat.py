@@ -31,7 +31,6 @@ def common_turns(a: Column, b: Column) -> Column:
 def completion(turns: Column, after: Column) -> Column:
     """(text, spans): the turns after the prompt, and [start, end) in code points of what assistants say."""
     rest = F.slice(turns, after + 1, F.greatest(F.size(turns) - after, F.lit(0)))
-    start = F.struct(F.lit("").alias("text"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"))
     start = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def add(done, turn):
@@ -85,4 +84,19 @@ def borrowed_pairs(turns: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_preferences(borrowed_pairs(common.read(spark, sf_dir, "conversations")))
+    """Spans as text, ``start:end`` by commas."""
+    written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
+    out = format_preferences(borrowed_pairs(common.read(spark, sf_dir, "conversations")))
+    return out.select("pair_id", "prompt_turns", "prompt", "chosen", written("chosen_spans"), "rejected", written("rejected_spans"))
+
+
+#: Both sides agree up to the borrowed reply, so the common prefix is what comes before it.
+ORACLE_SQL = f"""
+WITH c AS (SELECT conv_id, list({{'n': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns FROM conversations GROUP BY conv_id),
+l AS (SELECT *, list_max([CASE WHEN turns[i].role = 'assistant' THEN i END FOR i IN range(1, len(turns) + 1)]) AS last FROM c),
+d AS (SELECT conv_id, turns[1:last - 1] AS before, turns[last].text AS reply, ('0x' || substr(md5(coalesce(conv_id::VARCHAR, '')), 1, 4))::BIGINT % (SELECT greatest(1, ceil(count(*) / {GROUP}))::BIGINT FROM c) AS deal FROM l WHERE last IS NOT NULL),
+e AS (SELECT *, coalesce(lead(reply) OVER w, first_value(reply) OVER w) AS other FROM d WINDOW w AS (PARTITION BY deal ORDER BY conv_id NULLS FIRST))
+SELECT conv_id AS pair_id, len(before)::INT AS prompt_turns, coalesce(array_to_string(['<|' || t.role || '|>' || chr(10) || t.text || chr(10) FOR t IN before], ''), '') AS prompt,
+'<|assistant|>' || chr(10) || reply || chr(10) AS chosen, '14:' || (15 + length(reply)) AS chosen_spans, '<|assistant|>' || chr(10) || other || chr(10) AS rejected, '14:' || (15 + length(other)) AS rejected_spans
+FROM e WHERE other <> reply
+"""

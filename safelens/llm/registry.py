@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_pareto_mixing": mixing.ORACLE_SQL, "op6_multi_index_hamming": near_dup.ORACLE_SQL}
+    return {"op3_pareto_mixing": mixing.ORACLE_SQL, "op5_preference_pairs": chat.ORACLE_SQL, "op6_multi_index_hamming": near_dup.ORACLE_SQL}
