@@ -35,7 +35,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    for table in tables:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(table._written_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -79,9 +89,11 @@ def summed(parts: DataFrame, name: str, most: int = 16) -> dict[int, np.ndarray]
     schema = "chunk int, part long, payload binary"
     parts = written(parts.select(F.col("chunk").cast("int").alias("chunk"), F.col("part").cast("long").alias("part"), "payload"), name)
     while (parts.groupBy("chunk").count().agg(F.max("count")).first()[0] or 0) > most:
-        parts = written(parts.groupBy("chunk", F.floor(F.col("part") / 16).alias("to")).applyInPandas(add, schema), name)
+        before, parts = parts, written(parts.groupBy("chunk", F.floor(F.col("part") / 16).alias("to")).applyInPandas(add, schema), name)
+        discard(before)
     out: dict[int, np.ndarray] = {}
     for r in parts.toLocalIterator():
         vector = np.frombuffer(r["payload"], np.float64)
         out[r["chunk"]] = vector + out[r["chunk"]] if r["chunk"] in out else vector
+    discard(parts)
     return out

@@ -35,7 +35,8 @@ def connected_components(links: DataFrame, name: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         small = moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = common.written(small, f"{name}-edges")
+        before, edges = edges, common.written(small, f"{name}-edges")
+        common.discard(before)
         now = _state(edges)
         if now == state:
             break
@@ -43,4 +44,6 @@ def connected_components(links: DataFrame, name: str) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return common.written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), f"{name}-components")
+    out = common.written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), f"{name}-components")
+    common.discard(edges)
+    return out

@@ -193,7 +193,9 @@ def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     both = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     common_size = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common_size
-    return common.written(both.filter(100 * common_size >= similarity * union).select("a", "b").distinct(), f"{name}-links")
+    links = common.written(both.filter(100 * common_size >= similarity * union).select("a", "b").distinct(), f"{name}-links")
+    common.discard(near, wanted, sets)
+    return links
 
 
 def _rest_links(docs: DataFrame, index: DataFrame, grouped: DataFrame, classes: DataFrame, label: DataFrame, width: int, similarity: int, places: int, far: int) -> DataFrame:
@@ -201,25 +203,28 @@ def _rest_links(docs: DataFrame, index: DataFrame, grouped: DataFrame, classes:
     members = index.join(grouped.filter("n > 2").select("key"), "key").join(label.toDF("node", "component"), "node", "left")
     members = members.withColumn("component", F.coalesce("component", "node"))
     split = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("key", "first", "n")
-    members = common.written(members.join(split, "key"), "nd-open")
+    opened = common.written(members.join(split, "key"), "nd-open")
     # Groups that share members form clusters. A cluster is compared as a whole if that costs less than group by group.
-    cluster = connected_components(members.select(F.col("first").alias("a"), F.col("node").alias("b")), "nd-cluster").toDF("node", "cluster")
-    members = common.written(members.join(cluster, "node"), "nd-members")
+    cluster = connected_components(opened.select(F.col("first").alias("a"), F.col("node").alias("b")), "nd-cluster")
+    members = common.written(opened.join(cluster.toDF("node", "cluster"), "node"), "nd-members")
+    common.discard(opened, cluster)
     load = lambda n: n * F.ceil(n / BLOCK)
     apart = members.groupBy("cluster", "key").agg(F.first("n").alias("n")).groupBy("cluster").agg(F.sum(load(F.col("n"))).alias("apart"))
     whole = members.select("cluster", "node").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    plan = whole.join(apart, "cluster").withColumn("as_one", load(F.col("size")) <= F.col("apart"))
-    planned = members.join(plan.select("cluster", "size", "as_one"), "cluster")
+    plan = whole.join(apart, "cluster").select("cluster", "size", (load(F.col("size")) <= F.col("apart")).alias("as_one"))
+    plan = common.written(plan, "nd-plan")
+    planned = common.sized_join(members, plan, ["cluster"])
     one = planned.filter("as_one").select(F.lit(0).alias("kind"), F.col("cluster").alias("id"), F.col("size").alias("n"), "node", "component").distinct()
     many = planned.filter("NOT as_one").select(F.lit(1).alias("kind"), F.col("key").alias("id"), "n", "node", "component")
     asked = common.written(one.unionByName(many), "nd-asked")
+    common.discard(members, plan)
 
     wanted = common.written(asked.select(F.col("node").alias("doc_id")).distinct(), "nd-asked-ids")
     texts = common.sized_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, ["doc_id"], "left_semi")
     sets = common.written(shingle_sets(texts, width).join(classes.select(F.col("node").alias("doc_id"), "signature"), "doc_id").withColumnRenamed("doc_id", "node"), "nd-asked-sets")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    asked = asked.select("kind", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component").join(sets, "node")
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("kind", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component").join(sets, "node")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(group.signature), "<u2").reshape(-1, places)
@@ -255,7 +260,9 @@ def _rest_links(docs: DataFrame, index: DataFrame, grouped: DataFrame, classes:
             yield compare(pd.concat(held))
 
     by = ["kind", "id", "i", "j"]
-    return common.written(asked.repartition(*by).sortWithinPartitions(*by).mapInPandas(stream, "a long, b long").distinct(), "nd-rest")
+    links = common.written(dealt.repartition(*by).sortWithinPartitions(*by).mapInPandas(stream, "a long, b long").distinct(), "nd-rest")
+    common.discard(asked, wanted, sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, carry_sizes: bool = True) -> DataFrame:
@@ -283,12 +290,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, carry
     stars = _confirm(pairs, docs, classes, width, similarity, places, far, "nd-star")
     # A doc_id given to several classes holds them together.
     held = usable.select("class_id", "doc_id").join(classes.select("class_id", "node"), "class_id").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    label = connected_components(stars, "nd-first")
-    others = _rest_links(docs, index, grouped, classes, label, width, similarity, places, far)
-    links = label.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(others)
+    first = connected_components(stars, "nd-first")
+    others = _rest_links(docs, index, grouped, classes, first, width, similarity, places, far)
+    links = first.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(others)
     if usable.groupBy("doc_id").agg(F.count_distinct("class_id").alias("n")).filter("n > 1").limit(1).count():
         links = links.unionByName(held)
     label = connected_components(links, "nd-last")
+    common.discard(index, grouped, stars, first, others)
     whole = classes.join(label, "node", "left").select("class_id", F.coalesce("component", "node").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "class_id").join(whole, "class_id", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))

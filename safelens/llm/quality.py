@@ -198,6 +198,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out=None) -> DataFr
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).filter("y IN (0, 1) AND doc_id IS NOT NULL")
     rows = common.written(stats.filter("NOT held_out").select("doc_id", "stats").join(y, "doc_id").select("stats", "y"), "q-rows")
     model = fit(rows)
+    common.discard(rows)
 
     @F.pandas_udf("double")
     def score(s: pd.Series) -> pd.Series:
