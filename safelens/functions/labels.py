@@ -34,7 +34,7 @@ def _kind(v: Column) -> Column:
 
 
 def as_text(v: Column) -> Column:
-    """A scalar as the reference language writes it: whole doubles keep their point, booleans and nulls are words."""
+    """A scalar as Python writes it: whole doubles keep their point, booleans and nulls are words."""
     kind, text = _kind(v), F.variant_get(v, "$", "string")
     point = kind.startswith("DECIMAL") | kind.startswith("DOUBLE") | kind.startswith("FLOAT")
     return F.when(F.is_variant_null(v), F.lit("None")).when(point & ~text.rlike(r"[.eE]"), F.concat(text, F.lit(".0"))).otherwise(text)

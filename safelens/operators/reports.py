@@ -65,7 +65,7 @@ def leaderboard(scores: DataFrame, by: str = "model") -> DataFrame:
 
 @F.pandas_udf(T.MapType(T.StringType(), T.DoubleType()))
 def parse_category_scores(raw: pd.Series) -> pd.Series:
-    """Category scores written as JSON or as a literal of the reference language: pairs or a mapping; anything else is empty."""
+    """Category scores written as JSON or as a Python literal: pairs or a mapping; anything else is empty."""
     import ast
 
     def one(text):
