@@ -2,8 +2,10 @@
 
 Two bigram models with one vocabulary, one order and one smoothing differ in their counts only: the target's come
 from the documents marked as target, the background's from all others, and the larger side's are scaled down to
-the smaller's total, so that neither wins by its size. Words and word pairs are counted over the
-whole corpus in hashed tables of fixed size, so both models have a known size at any scale. Smoothing backs off by
+the smaller's total, so that neither wins by its size. Every distinct word and word pair of the corpus has counts of its
+own, under a key of 63 bits. Documents are taken in lots; a lot sends its distinct keys, cut into slices by key, to the
+tasks that count those slices over the whole corpus, and each slice goes back to its lot with the corpus's counts. So tables grow with the
+corpus, and no task and no driver holds one whole. Smoothing backs off by
 Dirichlet priors to unigrams and from there to the words of both corpora together. A document's own
 counts are taken out of the model that holds them before it is scored, so none is judged by a copy of itself.
 """
@@ -21,25 +23,34 @@ from pyspark.sql import functions as F
 from . import common
 from .near_dup import WordHashes, mix
 
-#: Entries of the hashed vocabulary (0 stands for the start of a document) and of the hashed pairs.
+#: The smoothing's vocabulary has at least so many words, and beyond that as many as the corpus.
 WORDS = 1 << 16
-PAIRS = 1 << 20
-CHUNK = 1 << 16
+#: Words of a lot of documents, and bytes of text for each slice of the keys.
+LOT, SLICE_BYTES = 1 << 20, 12 << 20
 UNIGRAM_PRIOR, PAIR_PRIOR = 1000.0, 50.0
+_M = np.uint64(0x9E3779B97F4A7C15)
+_ONE = np.uint64(1)
 
 
 def word_ids(text: bytes | None, hashes: dict) -> np.ndarray:
-    """Vocabulary entries of the words, A-Z lower-cased, with the start before them."""
+    """Keys of the words, A-Z lower-cased, with the start (0) before them. Keys of words are even, of pairs odd."""
     words = text.lower().split() if text else []
-    ids = np.zeros(len(words) + 1, np.int64)
-    ids[1:] = (np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)) % np.uint64(WORDS - 1)).astype(np.int64) + 1
+    ids = np.zeros(len(words) + 1, np.uint64)
+    ids[1:] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)) & ~_ONE
     return ids
 
 
 def pair_ids(ids: np.ndarray) -> np.ndarray:
+    """Keys of all neighbours."""
     with np.errstate(over="ignore"):
-        mixed = mix(ids[:-1].astype(np.uint64) * np.uint64(WORDS) + ids[1:].astype(np.uint64))
-    return (mixed & np.uint64(PAIRS - 1)).astype(np.int64)
+        return mix(mix(ids[:-1] + _M) * _M + ids[1:]) | _ONE
+
+
+def within(lengths: np.ndarray) -> np.ndarray:
+    """Which neighbours of texts, one after another, lie in one text."""
+    out = np.ones(int(lengths.sum()) - 1, bool)
+    out[np.cumsum(lengths)[:-1] - 1] = False
+    return out
 
 
 def marked(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -49,54 +60,143 @@ def marked(docs: DataFrame, target: DataFrame) -> DataFrame:
     return common.sized_join(rows, ids, ["doc_id"], "left").select("doc_id", "text", F.coalesce("of_target", F.lit(False)).alias("of_target"))
 
 
-def count_tables(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts (background, target) of words and of pairs over all rows; each partition sums its part."""
+def packed(values: np.ndarray) -> bytes:
+    """Non-negative whole numbers, compressed byte by byte: all lowest bytes first."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    planes = values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
+    return len(values).to_bytes(8, "little") + bytes([kind.itemsize]) + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(payload: bytes) -> np.ndarray:
+    n, size = int.from_bytes(payload[:8], "little"), payload[8]
+    planes = np.frombuffer(pa.decompress(payload[9:], n * size, codec="zstd", asbytes=True), np.uint8)
+    return planes.reshape(size, n).T.copy().view(f"u{size}").ravel().astype(np.int64)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys, as steps."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(payload: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(payload).view(np.uint64), dtype=np.uint64)
+
+
+def lots(rows: DataFrame) -> DataFrame:
+    """Documents by lots: their doc_id, side and length, the lot's distinct words, and the word of each place by its number."""
+    kinds = {"lot": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sides": pa.binary(), "lengths": pa.binary(), "words": pa.binary(), "places": pa.binary()}
+
+    def out(number: int, docs: list, sides: list, texts: list) -> pa.RecordBatch:
+        words, places = np.unique(np.concatenate(texts), return_inverse=True)
+        row = [number, docs, packed(np.array(sides)), packed(np.array([len(t) for t in texts])), packed_keys(words), packed(places)]
+        return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds.values(), strict=True)], names=list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        words, pairs = np.zeros((2, WORDS)), np.zeros((2, PAIRS))
+        number = TaskContext.get().partitionId() << 32
+        docs, sides, texts, n = [], [], [], 0
         for batch in batches:
-            for text, side in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for doc, text, side in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 ids = word_ids(text.as_py(), hashes)
-                if len(ids) > 1:
-                    np.add.at(words[int(side)], ids, 1)
-                    np.add.at(pairs[int(side)], pair_ids(ids), 1)
-        flat = np.concatenate([words.ravel(), pairs.ravel()])
-        part = TaskContext.get().partitionId()
-        for i in range(0, len(flat), CHUNK):
-            if flat[i : i + CHUNK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK], pa.int32()), pa.array([part], pa.int64()), pa.array([flat[i : i + CHUNK].tobytes()], pa.binary())], names=["chunk", "part", "payload"])
-
-    sums = common.summed(rows.select("text", "of_target").mapInArrow(run, "chunk int, part long, payload binary"), "lm-counts", most=1)
-    flat = np.zeros(2 * (WORDS + PAIRS), np.float32)
-    for chunk, vector in sums.items():
-        flat[chunk * CHUNK : chunk * CHUNK + len(vector)] = vector
-    return flat[: 2 * WORDS].reshape(2, WORDS), flat[2 * WORDS :].reshape(2, PAIRS)
-
-
-def losses(ids: np.ndarray, words: np.ndarray, pairs: np.ndarray, totals: np.ndarray, side: int | None) -> tuple[float, float]:
-    """Mean loss in nats a word under (target, background); ``side`` is the model that holds the document."""
+                docs.append(doc)
+                sides.append(int(side))
+                texts.append(ids)
+                n += len(ids)
+                if n >= LOT:
+                    yield out(number, docs, sides, texts)
+                    docs, sides, texts, n, number = [], [], [], 0, number + 1
+        if docs:
+            yield out(number, docs, sides, texts)
+
+    return rows.mapInArrow(run, "lot long, doc_ids array<long>, sides binary, lengths binary, words binary, places binary")
+
+
+def key_slices(parts: DataFrame, slices: int) -> DataFrame:
+    """Every lot's distinct keys of words and pairs, cut into slices, with the lot's counts (background, target)."""
+    kinds = {"lot": pa.int64(), "slice": pa.int32(), "keys": pa.binary(), "first": pa.binary(), "second": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lot, *payloads in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                sides, lengths, words, places = (f(x.as_py()) for f, x in zip((unpacked, unpacked, unpacked_keys, unpacked), payloads, strict=True))
+                # A text without words gives no counts.
+                of = np.repeat(np.where(lengths > 1, sides, 2), lengths)
+                inner = within(lengths)
+                pairs, back = np.unique(pair_ids(words[places])[inner], return_inverse=True)
+                side = of[1:][inner]
+                keys = np.concatenate([words, pairs])
+                order = np.argsort(keys, kind="stable")
+                keys = keys[order]
+                counts = [np.concatenate([np.bincount(places[of == s], minlength=len(words)), np.bincount(back[side == s], minlength=len(pairs))])[order] for s in (0, 1)]
+                ends = np.searchsorted(slice_of(keys, slices), np.arange(slices + 1, dtype=np.uint64))
+                for s in np.flatnonzero(np.diff(ends)):
+                    cut = slice(ends[s], ends[s + 1])
+                    row = [lot, int(s), packed_keys(keys[cut]), packed(counts[0][cut]), packed(counts[1][cut])]
+                    yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds.values(), strict=True)], names=list(kinds))
+
+    return parts.select("lot", "sides", "lengths", "words", "places").mapInArrow(run, "lot long, slice int, keys binary, first binary, second binary")
+
+
+def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
+    """Slices are equal ranges of the keys, which are spread evenly."""
+    return ((keys >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
+
+
+def counted(sliced: DataFrame) -> DataFrame:
+    """Every slice of every lot with the whole corpus's counts of its keys, in the same order; and, once for each slice with
+    lot -1, how many distinct words it has and how often they occur (background, target)."""
+    schema = pa.schema([("lot", pa.int64()), ("slice", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("words", pa.int64()), ("of_background", pa.int64()), ("of_target", pa.int64())])
+
+    def count(table: pa.Table) -> pa.Table:
+        lot, number = table["lot"].to_pylist(), table["slice"][0].as_py()
+        keys = [unpacked_keys(x.as_py()) for x in table["keys"]]
+        ends = np.cumsum([0] + [len(k) for k in keys])
+        distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        sums = []
+        for name in ("first", "second"):
+            own = np.concatenate([unpacked(x.as_py()) for x in table[name]])
+            sums.append(np.bincount(back, weights=own, minlength=len(distinct)).astype(np.int64))
+        even = (distinct & _ONE) == 0
+        rows = [[-1, number, None, None, int(even.sum()), int(sums[0][even].sum()), int(sums[1][even].sum())]]
+        for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            rows.append([lot[k], number, packed(sums[0][back[a:b]]), packed(sums[1][back[a:b]]), 0, 0, 0])
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return sliced.groupBy("slice").applyInArrow(count, "lot long, slice int, first binary, second binary, words long, of_background long, of_target long")
+
+
+def occurrences(doc: np.ndarray, key: np.ndarray, kinds: int) -> np.ndarray:
+    """For every place, how often its document has its key."""
+    _kinds, back, count = np.unique(doc * kinds + key, return_inverse=True, return_counts=True)
+    return count[back]
+
+
+def losses(places: np.ndarray, pairs: np.ndarray, lengths: np.ndarray, sides: np.ndarray, of_words: np.ndarray, of_pairs: np.ndarray, totals: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Mean loss in nats a word under (target, background) of each document of a lot; nan if it has no words.
+
+    ``places`` number the words and ``pairs`` the neighbours within documents by the columns of ``of_words`` and ``of_pairs``,
+    which hold the corpus's counts (background, target).
+    """
     scale = totals.min() / np.maximum(totals, 1) if totals.min() else np.ones(2)
-    pair = pair_ids(ids)
-    own_words = own_pairs = own_first = 0
-    if side is not None:
-        kinds, back, count = np.unique(ids, return_inverse=True, return_counts=True)
-        own = count[back]
-        own_first, own_words = own[:-1], own[1:]
-        kinds, back, count = np.unique(pair, return_inverse=True, return_counts=True)
-        own_pairs = count[back]
-    first, second = ids[:-1], ids[1:]
-    both = words[0, second] + words[1, second] - own_words
-    shared = (both + 0.1) / (totals.sum() - (len(ids) if side is not None else 0) + 0.1 * WORDS)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    own = occurrences(doc, places, of_words.shape[1])
+    inner = np.flatnonzero(doc[1:] == doc[:-1])
+    doc, first, second, own_first, own_second = doc[inner], places[inner], places[inner + 1], own[inner], own[inner + 1]
+    own_pairs = occurrences(doc, pairs, of_pairs.shape[1])
+    size, side = lengths[doc], sides[doc]
+    both = of_words[0, second] + of_words[1, second] - own_second
+    shared = (both + 0.1) / (totals.sum() - size + 0.1 * vocabulary)
     out = []
     for model in (1, 0):
         mine = side == model
-        n = (totals[model] - (len(ids) if mine else 0)) * scale[model]
-        uni = ((words[model, second] - (own_words if mine else 0)) * scale[model] + UNIGRAM_PRIOR * shared) / (n + UNIGRAM_PRIOR)
-        before = (words[model, first] - (own_first if mine else 0)) * scale[model]
-        seen = np.minimum((pairs[model, pair] - (own_pairs if mine else 0)) * scale[model], before)
-        out.append(float(-np.log((np.maximum(seen, 0) + PAIR_PRIOR * uni) / (before + PAIR_PRIOR)).mean()))
-    return out[0], out[1]
+        n = (totals[model] - mine * size) * scale[model]
+        uni = ((of_words[model, second] - mine * own_second) * scale[model] + UNIGRAM_PRIOR * shared) / (n + UNIGRAM_PRIOR)
+        before = (of_words[model, first] - mine * own_first) * scale[model]
+        seen = np.minimum((of_pairs[model, pairs] - mine * own_pairs) * scale[model], before)
+        loss = -np.log((np.maximum(seen, 0) + PAIR_PRIOR * uni) / (before + PAIR_PRIOR))
+        out.append(np.bincount(doc, weights=loss, minlength=len(lengths)) / np.where(lengths > 1, lengths - 1, np.nan))
+    return np.array(out)
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -107,23 +207,26 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     A null doc_id belongs to the background. Repeated rows count as often as they occur. Without any target
     document the target's model is its prior. An empty table gives no rows; other columns are ignored.
     """
-    rows = marked(docs, target)
-    words, pairs = count_tables(rows)
-    totals = words.sum(axis=1, dtype=np.float64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            n, first, second = [], [], []
-            for text, side in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                ids = word_ids(text.as_py(), hashes)
-                n.append(len(ids) - 1)
-                a, b = losses(ids, words, pairs, totals, int(side)) if len(ids) > 1 else (None, None)
-                first.append(a)
-                second.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2), pa.array(first, pa.float64()), pa.array(second, pa.float64())], names=["doc_id", "n_words", "of_target", "target_loss", "background_loss"])
-
-    scored = rows.mapInArrow(run, "doc_id long, n_words long, of_target boolean, target_loss double, background_loss double")
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("binary")).cast("long"))).first()[0] or 0
+    parts = common.written(lots(marked(docs, target)), "lm-lots")
+    counts = common.written(counted(key_slices(parts, common.blocks_for(size, SLICE_BYTES))), "lm-counts")
+    of = counts.filter("lot = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "of_background", "of_target")]).first()
+    vocabulary, totals = max(WORDS, of[0]), np.array([of[1], of[2]], np.float64)
+    kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "of_target": pa.bool_(), "target_loss": pa.float64(), "background_loss": pa.float64()}
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        sides, lengths, words, places = (f(left[c][0].as_py()) for f, c in ((unpacked, "sides"), (unpacked, "lengths"), (unpacked_keys, "words"), (unpacked, "places")))
+        distinct, pairs = np.unique(pair_ids(words[places])[within(lengths)], return_inverse=True)
+        order = np.argsort(right["slice"].to_numpy())
+        table = np.array([np.concatenate([unpacked(right[c][int(k)].as_py()) for k in order]) for c in ("first", "second")])
+        at = np.empty(table.shape[1], np.int64)
+        at[np.argsort(np.concatenate([words, distinct]), kind="stable")] = np.arange(len(at))
+        found = losses(places, pairs, lengths, sides, table[:, at[: len(words)]], table[:, at[len(words) :]], totals, vocabulary)
+        cols = [left["doc_ids"][0].as_py(), lengths - 1, sides == 1, *found]
+        return pa.Table.from_arrays([pa.array(c, k, from_pandas=True) for c, k in zip(cols, kinds.values(), strict=True)], names=list(kinds))
+
+    lot = parts.groupBy("lot").cogroup(counts.filter("lot >= 0").select("lot", "slice", "first", "second").groupBy("lot"))
+    scored = lot.applyInArrow(score, "doc_id long, n_words long, of_target boolean, target_loss double, background_loss double")
     return scored.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
 
 

@@ -154,3 +154,24 @@ def test_scores_odd_rows(spark):
     assert all((r.difference is None) == (r.n_words == 0) for r in rows)
     assert lm_score.cross_entropy_difference(docs(spark, []), spark.createDataFrame([], "doc_id long")).count() == 0
     assert lm_score.cross_entropy_difference(docs(spark, ODD), spark.createDataFrame([], "doc_id long")).filter(F.isnan("difference")).count() == 0
+
+
+def test_no_words_or_pairs_share_counts(spark, monkeypatch):
+    """More distinct words than 2^16 and pairs than 2^20 would leave apart; cut into several lots and slices."""
+    monkeypatch.setattr(lm_score, "SLICE_BYTES", 1 << 20)
+    rng = random.Random(12)
+    texts = {i: " ".join(f"{rng.randint(0, 10**6):x}" for _ in range(3000)) for i in range(100)}
+    texts[100] = "never seen before"
+    hashes = WordHashes()
+    ids = {w: lm_score.word_ids(w.encode(), hashes)[1] for t in texts.values() for w in t.split()}
+    assert len(set(ids.values())) == len(ids) > 200_000
+    target = spark.createDataFrame([(i,) for i in range(0, 100, 3)], "doc_id long")
+    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(docs(spark, [(i, t, None) for i, t in texts.items()]).repartition(3), target).collect()}
+    n = [sum(3001 if i < 100 else 4 for i in texts if (i % 3 == 0 and i < 100) == side) for side in (False, True)]
+    least = min(n)
+    vocabulary = len(ids) + 1
+    for k, side in enumerate(("background_loss", "target_loss")):
+        unseen = lm_score.UNIGRAM_PRIOR * 0.1 / (sum(n) - 4 + 0.1 * vocabulary) / ((n[k] - (0 if k else 4)) * least / n[k] + lm_score.UNIGRAM_PRIOR)
+        start = (n[k] // 3001) * least / n[k]
+        want = -(math.log(lm_score.PAIR_PRIOR * unseen / (start + lm_score.PAIR_PRIOR)) + 2 * math.log(unseen)) / 3
+        assert got[100][side] == pytest.approx(want, rel=1e-6)
