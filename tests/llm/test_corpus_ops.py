@@ -56,6 +56,39 @@ def test_leaks_and_paraphrases_are_found_and_clean_documents_left(spark):
     assert clean.count() == len(rows) + len(ODD) - len({d for d, _ in held})
 
 
+def test_whatever_the_shares_accept_is_found(spark):
+    """Paraphrases that keep 60 to 75 % of items that are mostly common words, against reading every window word by word."""
+    rng = random.Random(17)
+    usual, odd = [f"u{i}" for i in range(60)], lambda: f"o{rng.randint(0, 10**6)}"
+    write = lambda n: [rng.choice(usual) if rng.random() < 0.6 else odd() for _ in range(n)]
+    items, rows = [(i, write(n)) for i, n in enumerate([14, 20, 30, 45, 59] * 4)], []
+    for d in range(120):
+        passage = list(rng.choice(items)[1])
+        share = rng.choice([0.6, 0.65, 0.7, 0.75])
+        for k in rng.sample(range(len(passage)), int(len(passage) * (1 - share))):
+            passage[k] = odd()
+        text = write(rng.randint(40, 150))
+        at = rng.randint(0, len(text))
+        rows.append((d, " ".join(text[:at] + passage + text[at:])))
+    want = set()
+    for item, passage in items:
+        text = " ".join(passage)
+        piece, answer = decontaminate.terms(text), decontaminate.terms(decontaminate.answer_of(text))
+        scale = next(s for s in decontaminate.SCALES if len(piece) <= s * 3 // 4)
+        more = max(scale // 2, len(piece) // 2)
+        for d, text in rows:
+            ids = decontaminate.terms(text)
+            for start in range(0, max(1, len(ids) - 3 * (scale // 4)), scale // 4):
+                region = ids[max(0, start - more) : start + scale + more]
+                share, of_answer = (decontaminate.common_subsequence(x, region) / len(x) for x in (piece, answer))
+                if share >= decontaminate.ALONE or (share >= decontaminate.PASSAGE_SHARE and of_answer >= decontaminate.ANSWER_SHARE):
+                    want.add((d, item))
+    assert len(want) > 100
+    got = decontaminate.leaks(docs(spark, [(d, t, "a") for d, t in rows]), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert all(0 <= r.cosine <= 1 for r in got)
+
+
 def test_blocks_of_the_benchmark_agree(spark, monkeypatch):
     rng = random.Random(3)
     items = spark.createDataFrame([(i, " ".join(words(rng, 30))) for i in range(20)] + [(None, "x"), (50, None), (51, "")], "item_id long, text string")
