@@ -1,9 +1,9 @@
 """Secret scans: three base patterns, and a battery of randomness tests on everything else.
 
 Every long token outside the base spans is read in the encoding that its characters suggest, as a
-sequence of symbol values. Three tests are made for that encoding: a chi-squared test of uniform use of
+sequence of symbol values; one that fits no encoding is cut at its separators first. Three tests are made for that encoding: a chi-squared test of uniform use of
 the alphabet, a runs test about the middle of the alphabet, and a test of serial correlation. A token that
-is too regular for a random one (runs or correlation) is dropped. For the others the question is how likely
+is too regular for a random one (runs, correlation, or nothing but repeats of its beginning) is dropped. For the others the question is how likely
 ordinary writing of the same length is to use its alphabet as evenly: under writing with a given index of coincidence
 the chi-squared statistic has a mean and a spread that grow with the length, and the lower tail is the p-value.
 The Benjamini-Hochberg procedure over all candidate tokens of the corpus bounds the share of false discoveries;
@@ -52,8 +52,10 @@ ENCODINGS = (
     ("base64", _UPPER + _LOWER + _DIGITS + "+/"),
     ("base64url", _UPPER + _LOWER + _DIGITS + "-_"),
 )
-#: Alphabets of words, names and numbers: tokens in them aren't candidates.
-PLAIN = ("decimal", "lower", "upper", "letters")
+#: Characters of a token, and of a piece of one.
+LEAST = 20
+#: Where a token that mixes alphabets is cut: the ways leave whole keys of base64url, of base64, and of letters and digits.
+CUTS = tuple(re.compile(r) for r in (r"[^+/]+", r"[^_-]+", r"[^+/_-]+"))
 _TABLES = {}
 for _name, _alphabet in ENCODINGS:
     _TABLES[_name] = np.full(128, -1, np.int64)
@@ -104,9 +106,12 @@ def ordinary_tail(chi: float, n: int, size: int) -> float:
 def p_value(token: str) -> tuple[str, float] | None:
     """Encoding and p-value of a token; None if it is no candidate or too regular for a random one."""
     found = infer(token)
-    if found is None or found[0] in PLAIN:
+    if found is None:
         return None
     name, values = found
+    again = token.find(token[: len(values) // 2], 1)
+    if again > 0 and token[again : len(values)] == token[: len(values) - again]:
+        return None  # repeats its own beginning to the end
     size = int(_TABLES[name].max()) + 1
     chi, runs, serial = battery(values, size)
     if 2 * upper_tail(abs(runs)) < REGULAR / 2 or 2 * upper_tail(abs(serial)) < REGULAR / 2:
@@ -125,12 +130,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def readings(token: str) -> list[tuple[int, int, float]]:
+    """(start, end, p-value) in a token: of all of it, or of the pieces of one that fits no alphabet.
+
+    Pieces of different cuts overlap: the lowest p-value is taken, times the number of cuts.
+    """
+    if infer(token) is not None:
+        return [(0, len(token), p[1])] if (p := p_value(token)) is not None else []
+    pieces = {m.span(): m[0] for cut in CUTS for m in cut.finditer(token) if len(m[0].rstrip("=")) >= LEAST}
+    tested = sorted((min(1.0, p[1] * len(CUTS)), *at) for at, piece in pieces.items() if (p := p_value(piece)) is not None)
+    out = []
+    for p, start, end in tested:
+        if not any(s < end and start < e for s, e, _ in out):
+            out.append((start, end, p))
+    return sorted(out)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
     """(start, end, p-value) of tokens that overlap no base span and pass the tests of regularity."""
     out = []
     for m in TOKEN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in base) and (p := p_value(m[0])) is not None:
-            out.append((m.start(), m.end(), p[1]))
+        if not any(s < m.end() and m.start() < e for s, _, e in base):
+            out += [(m.start() + start, m.start() + end, p) for start, end, p in readings(m[0])]
     return out
 
 

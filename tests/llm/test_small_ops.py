@@ -250,6 +250,27 @@ def test_battery_tells_random_from_ordinary():
     assert secrets.p_value("1234567890" * 3) is None
 
 
+def test_no_encoding_is_left_untested():
+    rng = random.Random(21)
+    draw = lambda name, n: "".join(rng.choice(dict(secrets.ENCODINGS)[name]) for _ in range(n))
+    for name, n in (("letters", 64), ("lower", 160), ("upper", 160), ("decimal", 600)):
+        key = draw(name, n)
+        (start, end, p), = secrets.candidates(f"see {key}.", [])
+        assert (start, end) == (4, 4 + n) and p < 1e-3
+
+
+def test_keys_in_tokens_that_fit_no_encoding():
+    rng = random.Random(22)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    core = dict(secrets.ENCODINGS)["base62"]
+    for before, key, after in (("a/my-site/", f"{draw(core, 20)}-{draw(core, 12)}_{draw(core, 16)}", ""), ("some_name-", f"{draw(core, 20)}/{draw(core, 12)}+{draw(core, 16)}", ""), ("v1/a-b/", draw(core, 48), "/c_d")):
+        token = before + key + after
+        assert secrets.infer(token) is None
+        found = secrets.candidates(token, [])
+        assert [key in token[s:e] for s, e, p in found if p < 1e-3] == [True]
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+
+
 def test_secrets_odd_rows(spark):
     rng = random.Random(9)
     key = "".join(rng.choice(dict(secrets.ENCODINGS)["base62"]) for _ in range(48))
