@@ -89,6 +89,17 @@ def test_whatever_the_shares_accept_is_found(spark):
     assert all(0 <= r.cosine <= 1 for r in got)
 
 
+def test_the_end_of_a_long_item_is_found(spark):
+    rng = random.Random(23)
+    items = [(n, words(rng, n)) for n in (91, 107, 179, 250)]
+    for n, passage in items:
+        pieces = decontaminate.Passages([(n, " ".join(passage))], np.ones(decontaminate.TERMS, np.float32)).words
+        assert set(decontaminate.terms(" ".join(passage))) == set(np.concatenate(pieces))
+    text = [*words(rng, 100, "x"), *items[1][1][-60:], *words(rng, 100, "x")]
+    got = decontaminate.leaks(docs(spark, [(1, " ".join(text), "a")]), spark.createDataFrame([(n, " ".join(t)) for n, t in items], "item_id long, text string"))
+    assert [(r.doc_id, r.item_id) for r in got.collect()] == [(1, 107)]
+
+
 def test_blocks_of_the_benchmark_agree(spark, monkeypatch):
     rng = random.Random(3)
     items = spark.createDataFrame([(i, " ".join(words(rng, 30))) for i in range(20)] + [(None, "x"), (50, None), (51, "")], "item_id long, text string")
