@@ -25,11 +25,11 @@ class SafetyClassifier:
         began = time.perf_counter()
         settings = self.settings if full_scan is None else replace(self.settings, full_scan=full_scan)
         scored = classify(from_text(self.spark, text), settings, self.scorer)
-        row = results(scored, settings, ("pi", "harmful", "sexual") if include_raw else ()).first()
-        out = row.asDict(recursive=True)
-        if include_raw:
-            out["raw"] = {k: out.pop(k) for k in ("pi", "harmful", "sexual")}
-        return out | {"latency_ms": round(1000 * (time.perf_counter() - began), 3)}
+        out = results(scored, settings, include_raw=include_raw).first().asDict(recursive=True)
+        raw = out.pop("raw", None)
+        if raw is not None:  # a model that didn't run has said nothing
+            raw = {k: v for k, v in raw.items() if v is not None}
+        return out | {"latency_ms": round(1000 * (time.perf_counter() - began), 2), "raw": raw}
 
     def to_json(self, text: str, **kw) -> str:
         return json.dumps(self.classify(text, **kw), ensure_ascii=False)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import SPACE
@@ -28,20 +30,36 @@ def word_total(text: Column) -> Column:
 class LexiconScorer:
     """Native and deterministic. A score rises with the hits and falls with the length: h / (h + 0.02 * (1 + words / 50))."""
 
-    def _score(self, text: Column, words: tuple[str, ...]) -> Column:
-        hits = F.regexp_count(text, F.lit(lexicon_pattern(words))).cast("double")
-        return hits / (hits + F.lit(0.02) * (F.lit(1.0) + word_total(text) / F.lit(50.0)))
+    LISTS = {"__attack": INJECTION_WORDS, "__harmful": HARMFUL_WORDS, "__sexual": SEXUAL_WORDS}
 
-    def router(self, detection: Column) -> Column:
-        attack, harmful, sexual = (self._score(detection, w) for w in (INJECTION_WORDS, HARMFUL_WORDS, SEXUAL_WORDS))
-        moderation = F.greatest(harmful, sexual)
-        return F.struct(attack.alias("attack"), moderation.alias("moderation"), (F.lit(1.0) - F.greatest(attack, moderation)).alias("safe"))
+    def _score(self, hits: Column, words: Column) -> Column:
+        return hits / (hits + F.lit(0.02) * (F.lit(1.0) + words / F.lit(50.0)))
+
+    def _counted(self, df: DataFrame, text: Column, suffix: str = "") -> DataFrame:
+        """One column of hits for each list, and the words: plain columns, or every field of a struct would count them again."""
+        hits = {k + suffix: F.regexp_count(text, F.lit(lexicon_pattern(w))).cast("double") for k, w in self.LISTS.items()}
+        return df.withColumns(hits | {"__words" + suffix: word_total(text)})
+
+    def scored(self, df: DataFrame) -> DataFrame:
+        """Add router, over the detection text, and the models' own scores __pi, __harmful and __sexual, over the lower-cased model text.
 
-    def prompt(self, text: Column) -> Column:
-        return self._score(F.lower(text), INJECTION_WORDS)
+        Both texts are the same unless decoded spans stand behind the detection text; only then is the model text counted too.
+        """
+        out = self._counted(df, F.col("detection_text"))
+        out = out.withColumn("__own", F.when(F.col("flags.base64_decoded_count").isNotNull(), F.lower("model_text")))
+        out = self._counted(out, F.col("__own"), "_own")
+        names = (*self.LISTS, "__words")
+        out = out.withColumns({f"{c}_own": F.coalesce(f"{c}_own", c) for c in names})
+        out = out.withColumns({c: self._score(F.col(c), F.col("__words")) for c in self.LISTS} | {f"{c}_own": self._score(F.col(f"{c}_own"), F.col("__words_own")) for c in self.LISTS})
+        moderation = F.greatest("__harmful", "__sexual")
+        router = F.struct(F.col("__attack").alias("attack"), moderation.alias("moderation"), (F.lit(1.0) - F.greatest(F.col("__attack"), moderation)).alias("safe"))
+        out = out.withColumn("router", router).withColumns({"__pi": F.col("__attack_own"), "__harmful": F.col("__harmful_own"), "__sexual": F.col("__sexual_own")})
+        return out.drop("__attack", "__own", "__words", *[f"{c}_own" for c in names])
 
-    def moderation(self, text: Column) -> Column:
-        return F.struct(self._score(F.lower(text), HARMFUL_WORDS).alias("harmful"), self._score(F.lower(text), SEXUAL_WORDS).alias("sexual"))
+
+def if_there(path: str | None, load: Callable) -> Callable | None:
+    """``load`` if the router's file exists. Without it the router scores zeros and isn't named among the triggered models."""
+    return load if path and Path(path).exists() else None
 
 
 class ArrowScorer:
@@ -50,37 +68,57 @@ class ArrowScorer:
     It is called once per Python worker task; null texts are never scored, so a null gate saves the call.
     """
 
-    def __init__(self, load_router: Callable | None, load_prompt: Callable, load_moderation: Callable, batch: int = 128) -> None:
-        self.load_router, self.load_prompt, self.load_moderation, self.batch = load_router, load_prompt, load_moderation, batch
+    @property
+    def router_loaded(self) -> bool:
+        return self.load_router is not None
 
-    def _raw(self, load: Callable) -> Callable[[Column], Column]:
-        batch = self.batch
+    def __init__(self, load_router: Callable | None, load_prompt: Callable, load_moderation: Callable, batch: int = 128, max_length: int | None = None) -> None:
+        self.load_router, self.load_prompt, self.load_moderation, self.batch, self.max_length = load_router, load_prompt, load_moderation, batch, max_length
 
-        @F.pandas_udf("map<string,double>")
-        def score(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def _scored(self, load: Callable) -> Callable[[Column], Column]:
+        """(scores, tokens, ms) of each text: raw scores, the tokens that the model has read, and its share of its batch's time.
+
+        A model may bring its own ``cut(text, max_length)``, which gives the text it reads and its number of tokens; else words are tokens.
+        """
+        batch, most = self.batch, self.max_length
+
+        def cut(text: str, most: int | None) -> tuple[str, int]:
+            words = text.split()
+            return (text, len(words)) if most is None or len(words) <= most else (" ".join(words[:most]), most)
+
+        @F.pandas_udf("scores map<string,double>, tokens int, ms double")
+        def score(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             model = load()
+            shorten = getattr(model, "cut", cut)
             for texts in frames:
-                out = pd.Series([None] * len(texts), dtype=object)
+                out = {"scores": [None] * len(texts), "tokens": [None] * len(texts), "ms": [None] * len(texts)}
                 wanted = [i for i, t in enumerate(texts) if t is not None]
                 for at in range(0, len(wanted), batch):
                     part = wanted[at : at + batch]
-                    for i, raw in zip(part, model([texts.iloc[i] for i in part]), strict=True):
-                        out.iloc[i] = {str(k): float(v) for k, v in raw.items()}
-                yield out
+                    read = [shorten(texts.iloc[i], most) for i in part]
+                    began = time.perf_counter()
+                    found = model([text for text, _ in read])
+                    each = 1000 * (time.perf_counter() - began) / len(part)
+                    for i, raw, (_, tokens) in zip(part, found, read, strict=True):
+                        out["scores"][i], out["tokens"][i], out["ms"][i] = {str(k): float(v) for k, v in raw.items()}, tokens, each
+                yield pd.DataFrame(out).astype({"tokens": "Int32", "ms": "Float64"})
 
         return score.asNondeterministic()
 
+    def _raw(self, load: Callable) -> Callable[[Column], Column]:
+        return lambda text: self._scored(load)(text)["scores"]
+
     def router(self, detection: Column) -> Column:
         if self.load_router is None:
             return F.struct(*[F.lit(0.0).alias(k) for k in ("attack", "moderation", "safe")])
         raw = self._raw(self.load_router)(F.regexp_replace(detection, SPACE + "+", " "))
         return router_scores(raw)
 
-    def prompt(self, text: Column) -> Column:
-        return prompt_score(self._raw(self.load_prompt)(text))
+    def measured_prompt(self, text: Column) -> Column:
+        return self._scored(self.load_prompt)(text)
 
-    def moderation(self, text: Column) -> Column:
-        return moderation_scores(self._raw(self.load_moderation)(text))
+    def measured_moderation(self, text: Column) -> Column:
+        return self._scored(self.load_moderation)(text)
 
 
 def router_scores(raw: Column) -> Column:

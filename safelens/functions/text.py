@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Whitespace as Unicode has it, with U+001C..U+001F.
-SPACE = r"(?U)[\s\x1c-\x1f]"
+SPACE, NOT_SPACE = r"(?U)[\s\x1c-\x1f]", r"(?U)[^\s\x1c-\x1f]"
 # What the normaliser removes, counts and looks for.
 ZERO_WIDTH = "[​‌‍﻿]"
 TAG_CHARACTERS = r"[\x{E0000}-\x{E007F}]"
@@ -31,7 +31,7 @@ def strip(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | (F.regexp_replace(c, SPACE + "+", "") == "")
+    return c.isNull() | ~c.rlike(NOT_SPACE)
 
 
 def decode_text(text: str) -> dict:
@@ -79,7 +79,7 @@ def normalize(df: DataFrame, text: str = "text") -> DataFrame:
     needs = F.col("__text").rlike(r"[^\x00-\x7F]|[&%]")
     out = df.withColumn("__text", valid).withColumn("__decoded", _decoded(F.when(needs, F.col("__text"))))
     work = F.coalesce("__decoded.work", "__text")
-    out = out.withColumn("__work", work).withColumn("__model", strip(F.regexp_replace("__work", SPACE + "+", " ")))
+    out = out.withColumn("__work", work).withColumn("__model", F.trim(F.regexp_replace("__work", SPACE + "+", " ")))
     out = out.withColumn("__spans", F.regexp_extract_all("__model", F.lit(BASE64_SPAN), 0))
     out = out.withColumn("__plain", _spans_decoded(F.when(F.size("__spans") > 0, F.slice("__spans", 1, DECODED_SPANS))))
     found = F.coalesce(F.size("__plain"), F.lit(0))

@@ -7,7 +7,7 @@ the corpus measures. A feasible candidate with the best key wins; of equals the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,13 +39,25 @@ def grid(spark: SparkSession, **axes: Sequence[float]) -> DataFrame:
 
 
 def reached(score: Column, values: Sequence[float]) -> Column:
-    """How many of the grid's values are at or under the score."""
-    return F.size(F.filter(F.array(*[F.lit(float(v)) for v in sorted(values)]), lambda g: score >= g))
+    """How many of the grid's values are at or under the score.
+
+    The score is named once for each value, so the optimiser computes it in a projection of its own, once a row;
+    inside a lambda it would be put in place of its name and computed for every value.
+    """
+    return _place(values, lambda g: score >= g)
 
 
 def passed(score: Column, values: Sequence[float]) -> Column:
     """How many of the grid's values are under the score."""
-    return F.size(F.filter(F.array(*[F.lit(float(v)) for v in sorted(values)]), lambda g: score > g))
+    return _place(values, lambda g: score > g)
+
+
+def _place(values: Sequence[float], under: Callable[[Column], Column]) -> Column:
+    ordered = sorted(values)
+    out = F.when(under(F.lit(float(ordered[-1]))), len(ordered))
+    for n in range(len(ordered) - 1, 0, -1):
+        out = out.when(under(F.lit(float(ordered[n - 1]))), n)
+    return out.otherwise(0)
 
 
 def level(value: str, values: Sequence[float]) -> Column:
@@ -80,12 +92,11 @@ def forced(route: str) -> Column:
 
 
 def sweep(df: DataFrame, gold: Column, score: Column, values: Sequence[float], digits: int | None = 4) -> DataFrame:
-    """ord, threshold, tp, fp, fn, tn, precision, recall, f1 for every threshold."""
-    cells = _cells(df, gold=gold, level=reached(score, values))
+    """ord, threshold, tp, fp, fn, tn, precision, recall, f1 for every threshold; zeros where there are no rows."""
+    cells, every = _cells(df, gold=gold, level=reached(score, values)), grid(df.sparkSession, threshold=values)
     pred, g = F.col("level") >= level("threshold", values), F.col("gold")
-    counted = _over(grid(df.sparkSession, threshold=values), cells).groupBy("ord", "threshold").agg(
-        _sum(g & pred).alias("tp"), _sum(~g & pred).alias("fp"), _sum(g & ~pred).alias("fn"), _sum(~g & ~pred).alias("tn")
-    )
+    counted = _over(every, cells).groupBy("ord").agg(_sum(g & pred).alias("tp"), _sum(~g & pred).alias("fp"), _sum(g & ~pred).alias("fn"), _sum(~g & ~pred).alias("tn"))
+    counted = every.join(F.broadcast(counted), "ord", "left").na.fill(0, ["tp", "fp", "fn", "tn"])  # one row for each value of the grid
     return counted.withColumns(prf(F.col("tp"), F.col("fp"), F.col("fn"), digits))
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import HARMFUL_CONTENT, PROMPT_INJECTION, SEXUAL, Settings
 from ..functions.rules import ATTACK, MODERATION, apply_rules
-from ..functions.scoring import LexiconScorer
-from ..functions.text import normalize
+from ..functions.scoring import LexiconScorer, moderation_scores, prompt_score
+from ..functions.text import is_blank, normalize
 
 OFF = 1.01
 
@@ -64,24 +64,50 @@ def classify(df: DataFrame, settings: Settings, scorer=None, text: str = "text")
     Models see a text only where they run (a null otherwise), so a costly scorer isn't called for routed-out rows.
     """
     scorer = scorer or LexiconScorer()
-    out = apply_rules(normalize(df, text), text).filter(F.col("model_text").isNotNull())
-    out = route(out.withColumn("router", scorer.router(F.col("detection_text"))), settings)
-    out = out.withColumn("pi", scorer.prompt(F.when(F.col("prompt_ran"), F.col("model_text"))))
-    out = out.withColumn("__moderation", scorer.moderation(F.when(F.col("moderation_ran"), F.col("model_text"))))
-    out = out.withColumns({"harmful": F.col("__moderation.harmful"), "sexual": F.col("__moderation.sexual")}).drop("__moderation")
+    out = apply_rules(normalize(df.filter(~is_blank(F.col(text))), text), text)
+    if isinstance(scorer, LexiconScorer):
+        out = route(scorer.scored(out), settings).withColumns({"pi": F.col("__pi"), "harmful": F.col("__harmful"), "sexual": F.col("__sexual")}).drop("__pi", "__harmful", "__sexual")
+    else:
+        out = route(out.withColumn("router", scorer.router(F.col("detection_text"))), settings)
+        prompt, moderation = (F.when(F.col(flag), F.col("model_text")) for flag in ("prompt_ran", "moderation_ran"))
+        if hasattr(scorer, "measured_prompt"):
+            out = out.withColumns({"__p": scorer.measured_prompt(prompt), "__m": scorer.measured_moderation(moderation)})
+            for at, name in (("__p", "prompt"), ("__m", "moderation")):
+                out = out.withColumns({f"{name}_raw": F.col(f"{at}.scores"), f"{name}_tokens": F.col(f"{at}.tokens"), f"{name}_ms": F.col(f"{at}.ms")})
+            out = out.withColumns({"pi": prompt_score(F.col("prompt_raw")), "__moderation": moderation_scores(F.col("moderation_raw"))}).drop("__p", "__m")
+        else:
+            out = out.withColumns({"pi": scorer.prompt(prompt), "__moderation": scorer.moderation(moderation)})
+        out = out.withColumns({"harmful": F.col("__moderation.harmful"), "sexual": F.col("__moderation.sexual")}).drop("__moderation")
+    out = out.withColumn("router_loaded", F.lit(getattr(scorer, "router_loaded", True)))
     return decide(out, settings)
 
 
-def results(df: DataFrame, settings: Settings, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Classified rows as nested results; scores are rounded only here."""
+def _raw(df: DataFrame) -> Column:
+    """What router, rules and the models that ran have said, unrounded. Scorers without raw output give their scores."""
+    prompt = F.col("prompt_raw") if "prompt_raw" in df.columns else F.when(F.col("prompt_ran"), F.create_map(F.lit(PROMPT_INJECTION), F.col("pi")))
+    moderation = F.col("moderation_raw") if "moderation_raw" in df.columns else F.when(F.col("moderation_ran"), F.create_map(F.lit(HARMFUL_CONTENT), F.col("harmful"), F.lit(SEXUAL), F.col("sexual")))
+    return F.struct(
+        F.struct(F.col("router").alias("scores"), F.col("router_loaded").alias("loaded")).alias("fasttext"),
+        F.struct(F.col("force_route").alias("routes"), F.col("reasons").alias("reasons")).alias("rules"),
+        prompt.alias("prompt_injection"), moderation.alias("moderation"),
+    )
+
+
+def results(df: DataFrame, settings: Settings, keep: tuple[str, ...] = (), include_raw: bool = False) -> DataFrame:
+    """Classified rows as nested results; scores are rounded only here. Triggered models stand in the order in which they act."""
     t = settings.thresholds
     four = lambda c: F.round(F.col(c), 4).alias(c.rsplit(".", 1)[-1])
-    triggered = _names((F.lit(True), "fasttext_router"), (F.col("direct_safe"), "fasttext_direct_safe"), (F.col("direct_prompt"), "fasttext_direct_prompt_injection"), (F.col("direct_harmful"), "fasttext_direct_harmful_content"), (F.col("prompt_ran"), "prompt_injection"), (F.col("moderation_ran"), "moderation"))
+    value = lambda name, key: F.lit(getattr(t, name)).alias(key)
+    triggered = _names((F.col("router_loaded"), "fasttext_router"), (F.col("direct_prompt"), "fasttext_direct_prompt_injection"), (F.col("prompt_ran"), "prompt_injection"), (F.col("direct_harmful"), "fasttext_direct_harmful_content"), (F.col("moderation_ran"), "moderation"))
     skipped = _names((~F.col("prompt_ran"), "prompt_injection"), (~F.col("moderation_ran"), "moderation"))
     routing = F.struct(
         F.struct(four("router.attack"), four("router.moderation"), four("router.safe")).alias("fasttext"),
         F.col("reasons").alias("rule_reasons"), "run_attack", "run_moderation",
-        F.lit(t.attack_route).alias("attack_route"), F.lit(t.moderation_route).alias("moderation_route"), F.lit(t.fast_allow).alias("fast_allow"),
+        F.struct(value("fasttext_direct_safe_score", "safe_score"), value("fasttext_direct_safe_max_route", "max_route")).alias("fasttext_direct_safe_thresholds"),
+        F.struct(
+            value("fasttext_direct_prompt_injection_score", "prompt_injection_score"), value("fasttext_direct_prompt_injection_max_moderation", "prompt_injection_max_moderation"),
+            value("fasttext_direct_harmful_content_score", "harmful_content_score"), value("fasttext_direct_harmful_content_max_attack", "harmful_content_max_attack"),
+        ).alias("fasttext_direct_classification_thresholds"),
     )
     return df.select(
         *keep,
@@ -94,4 +120,5 @@ def results(df: DataFrame, settings: Settings, keep: tuple[str, ...] = ()) -> Da
         triggered.alias("triggered_models"),
         skipped.alias("skipped_models"),
         routing.alias("routing"),
+        *([_raw(df).alias("raw")] if include_raw else []),
     )
