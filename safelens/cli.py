@@ -42,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     search.add_argument("--exclude-label", action="append", default=sorted(WEAK_LABELS))
     for name, value in (("min-label-recall", 0.85), ("label-beta", 1.5), ("min-route-recall", 0.97), ("max-safe-false-pass-pct", 1.0), ("min-direct-precision", 0.95)):
         search.add_argument("--" + name, type=float, default=value)
+    search.add_argument("--score-scope", choices=("all", "routed"), default="all")
     for p in (one, suite, search):
         p.add_argument("--config")
     bring = sub.add_parser("import-thresholds")
@@ -68,10 +69,10 @@ def main(argv: list[str] | None = None) -> int:
         settings = config.overlay(settings, args.threshold_report, **{to: getattr(args, name) for name, to in _OVERRIDES.items()})
         given = {"full_scan": args.full_scan, "direct_classification": args.enable_direct_classification, "direct_safe": args.enable_direct_safe}
         settings = replace(settings, policy="suite", **{k: v for k, v in given.items() if v is not None})
-        sinks.write_report(reports.evaluate(corpus, settings, limit=args.limit, seed=args.seed), args.output)
+        sinks.write_report(reports.evaluate(corpus, settings, limit=args.limit, seed=args.seed, include=args.include_label, exclude=args.exclude_label), args.output)
         return 0
     scored = classify(reports.prepare(corpus, args.limit, args.seed).withColumnRenamed("labels", "gold"), settings).cache()
-    report = reports.calibrate_all(scored, args.min_label_recall, args.label_beta, args.min_route_recall, args.max_safe_false_pass_pct, args.min_direct_precision)
+    report = reports.calibrate_all(scored, args.min_label_recall, args.label_beta, args.min_route_recall, args.max_safe_false_pass_pct, args.min_direct_precision, score_scope=args.score_scope)
     sinks.write_report(report, args.output)
     sinks.write_recommended(args.output, report["recommended"])
     return 0

@@ -80,6 +80,17 @@ def route_counts(df: DataFrame) -> DataFrame:
     return counted.withColumn("pct", pct(F.col("rows"), F.sum("rows").over(Window.partitionBy())))
 
 
+def model_rows(df: DataFrame, gold: str = "gold") -> DataFrame:
+    """Rows that each model sees, those classified directly, and how well "some model ran" finds the unsafe rows."""
+    prompt, moderation, any_model, unsafe = F.col("prompt_ran"), F.col("moderation_ran"), F.col("prompt_ran") | F.col("moderation_ran"), F.size(gold) > 0
+    direct = F.col("direct_prompt") | F.col("direct_harmful")
+    counted = df.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(prompt).alias("prompt_rows"), F.count_if(moderation).alias("moderation_rows"), F.count_if(any_model).alias("any_model_rows"),
+        F.count_if(direct | F.col("fast_allow")).alias("direct_rows"), F.count_if(direct).alias("direct_unsafe_rows"), *[c.alias(k) for k, c in confusion(unsafe, any_model).items()],
+    )
+    return counted.withColumns({"any_model_pct": pct(F.col("any_model_rows"), F.col("rows")), "direct_pct": pct(F.col("direct_rows"), F.col("rows"))} | prf(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
 def direct_precision(df: DataFrame, gold: str = "gold") -> DataFrame:
     """How many directly classified rows are right: tp / max(1, tp + fp)."""
     shortcut = {"direct_prompt": PROMPT_INJECTION, "direct_harmful": HARMFUL_CONTENT}
@@ -98,6 +109,11 @@ def exploded_counts(df: DataFrame, column: str, name: str = "value") -> DataFram
     return df.select(F.explode(column).alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def distinct_values(df: DataFrame, column: str, name: str = "value") -> DataFrame:
+    """The distinct elements of an array column."""
+    return df.select(F.explode(column).alias(name)).distinct()
+
+
 def percentile(c: str | Column, q: float, digits: int | None = 2) -> Column:
     """Inclusive linear interpolation; 0 for no rows."""
     out = F.coalesce(F.percentile(c, q / 100), F.lit(0.0))
@@ -108,12 +124,27 @@ def latency(df: DataFrame, column: str, by: tuple[str, ...] = (), digits: int =
     return df.groupBy(*by).agg(F.round(F.avg(column), digits).alias("avg"), percentile(column, 50, digits).alias("p50"), percentile(column, 95, digits).alias("p95"), F.round(F.max(column), digits).alias("max"))
 
 
-def nearest_rank(df: DataFrame, column: str, by: str) -> DataFrame:
-    """min, the elements at n/4, n/2 and 3n/4 of the sorted values, max and mean. Values are ranked, never gathered."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(by))
-    ranked = df.filter(F.col(column).isNotNull()).select(by, F.col(column).cast("double").alias("v"), (F.row_number().over(Window.partitionBy(by).orderBy(column)) - 1).alias("i"), n.alias("n"))
-    at = lambda k: F.max(F.when(F.col("i") == F.floor(F.col("n") * k / 4), F.col("v")))
-    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), at(1).alias("q1"), at(2).alias("median"), at(3).alias("q3"), F.max("v").alias("max"), F.avg("v").alias("mean"))
+def nearest_rank(df: DataFrame, column: str, by: str, bins: int = 1024) -> DataFrame:
+    """min, the elements at n/4, n/2 and 3n/4 of the sorted values, max and mean.
+
+    Values are counted in equal bins of each group's range; only the bins that hold the three ranks are sorted, and equal values
+    are counted before that. So no task sorts a whole group.
+    """
+    rows = df.filter(F.col(column).isNotNull()).select(by, F.col(column).cast("double").alias("v"))
+    ends = rows.groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"))
+    counted = rows.groupBy(by, "v").agg(F.count(F.lit(1)).alias("c"))
+    share = F.coalesce(F.try_divide(F.col("v") - F.col("min"), F.col("max") - F.col("min")), F.lit(0.0))
+    placed = counted.join(ends, F.col(by).eqNullSafe(F.col("__by"))).withColumn("bin", F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int"))
+    upto = Window.partitionBy(by).orderBy("bin")
+    sizes = placed.groupBy(by, "bin").agg(F.sum("c").alias("size"), F.first("n").alias("n")).withColumn("from", F.sum("size").over(upto) - F.col("size"))
+    ranks = [F.floor(F.col("n") * k / 4) for k in (1, 2, 3)]
+    holds = [(F.col("from") <= r) & (F.col("from") + F.col("size") > r) for r in ranks]
+    wanted = sizes.filter(holds[0] | holds[1] | holds[2]).select(F.col(by).alias("__w"), F.col("bin").alias("__bin"), "from")
+    inside = placed.join(wanted, F.col(by).eqNullSafe(F.col("__w")) & (F.col("bin") == F.col("__bin")))
+    inside = inside.withColumn("first", F.col("from") + F.sum("c").over(Window.partitionBy(by, "bin").orderBy("v")) - F.col("c"))
+    at = [F.max(F.when((F.col("first") <= r) & (F.col("first") + F.col("c") > r), F.col("v"))).alias(name) for r, name in zip(ranks, ("q1", "median", "q3"), strict=True)]
+    quartiles = inside.groupBy(by).agg(*at)
+    return quartiles.join(ends, F.col(by).eqNullSafe(F.col("__by"))).select(by, "n", "min", "q1", "median", "q3", "max", "mean")
 
 
 def recall_at(df: DataFrame, scores: dict[str, float]) -> DataFrame:

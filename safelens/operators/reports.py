@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -110,6 +111,29 @@ def rescues(df: DataFrame, key: str, injection_threshold: float = 0.5, moderatio
     return miss.withColumn("__p", place).filter(F.col("__p") <= F.when(F.col("kind") == "rescued", rescued).otherwise(missed)).drop("__p")
 
 
+def shown(df: DataFrame, text: str = "text", most: int = 70) -> DataFrame:
+    """Texts cut to ``most`` code points for display."""
+    return df.withColumn(text, F.left(F.col(text), F.lit(most)))
+
+
+def console_table(df: DataFrame, title: str = "", digits: int = 3, most: int = 1000) -> str:
+    """A report table as aligned text: numbers to the right, doubles with ``digits`` decimals."""
+    rows = [r.asDict() for r in df.limit(most).collect()]
+    cell = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
+    right = {c for c, kind in df.dtypes if kind in ("double", "float", "int", "bigint", "smallint", "tinyint") or kind.startswith("decimal")}
+    wide = {c: max([len(c), *(len(cell(r[c])) for r in rows)]) for c in df.columns}
+    line = lambda get: "  ".join(get(c).rjust(wide[c]) if c in right else get(c).ljust(wide[c]) for c in df.columns).rstrip()
+    body = [line(lambda c, r=r: cell(r[c])) for r in rows]
+    head = line(lambda c: c)
+    return "\n".join([*([title] if title else []), head, "-" * len(head), *body])
+
+
+def leaderboard_table(board: DataFrame, flags: DataFrame, dataset: str) -> str:
+    """The bake-off's console table: a model trained on the dataset is flagged ``TRAIN!``, any other is ``clean``."""
+    own = flags.filter(F.col("dataset") == dataset).select("model", F.when(F.col("contaminated"), "TRAIN!").otherwise("clean").alias("flag"))
+    return console_table(board.join(own, "model", "left").select("model", F.coalesce("flag", F.lit("clean")).alias("flag"), "f1", "threshold", "precision", "recall").orderBy(F.desc("f1"), "model"), f"dataset={dataset}")
+
+
 def deployable(models: DataFrame, ceiling: bool = False, parents: bool = False) -> DataFrame:
     """Models of a registry (deployable, parent flags) that take part."""
     return models.filter((F.col("deployable") | F.lit(ceiling)) & (~F.col("parent") | F.lit(parents)))
@@ -122,8 +146,11 @@ def prepare(corpus: DataFrame, limit: int, seed: int = 7) -> DataFrame:
     return balanced_sample(keyed.drop("ord"), "bucket", "row_key", limit, seed)
 
 
-def evaluate(corpus: DataFrame, settings: Settings, scorer=None, limit: int = 1000, seed: int = 7) -> dict:
-    """A full suite report. The scored sample is cached once; every section is one small aggregation over it."""
+def evaluate(corpus: DataFrame, settings: Settings, scorer=None, limit: int = 1000, seed: int = 7, include: Iterable[str] = (), exclude: Iterable[str] = ()) -> dict:
+    """A full suite report. The scored sample is cached once; every section is one small aggregation over it.
+
+    ``include`` and ``exclude`` name raw labels, to be reported; the corpus has been filtered by them.
+    """
     began = time.perf_counter()
     sample = prepare(corpus, limit, seed).withColumnRenamed("labels", "gold")
     scored = classify(sample, settings, scorer).withColumn("tokens", F.least(word_total(F.col("model_text")), F.lit(settings.max_length)))
@@ -132,8 +159,13 @@ def evaluate(corpus: DataFrame, settings: Settings, scorer=None, limit: int = 10
         rows = scored.count()
         seconds = time.perf_counter() - began
         per_label = metrics.per_label_metrics(scored, "gold", "labels")
+        routed = section(metrics.model_rows(scored))[0]
+        against = {k: routed.pop(k) for k in ("tp", "fp", "fn", "tn", "precision", "recall", "f1")}
+        routed.pop("rows")
         return {
             "rows": rows,
+            "excluded_labels": sorted({x.lower() for x in exclude}),
+            "included_labels": sorted({x.lower() for x in include}),
             "settings": as_mapping(settings),
             "sample": section(metrics.counts(scored, "bucket"), "value"),
             "raw_labels": section(metrics.exploded_counts(scored, "raw_labels"), "value"),
@@ -143,20 +175,39 @@ def evaluate(corpus: DataFrame, settings: Settings, scorer=None, limit: int = 10
             "unsafe_any": section(metrics.any_label_metrics(scored, "gold", "labels"))[0],
             "false_pass": section(metrics.false_pass(scored))[0],
             "routing": section(metrics.route_counts(scored), "route_outcome"),
+            "models": routed | {"route_any_model_vs_unsafe": against},
             "direct": section(metrics.direct_precision(scored))[0],
             "tokens": section(metrics.counts(scored, "token_bucket"), "value") | {"stats": section(metrics.latency(scored, "tokens"))[0]},
-            "performance": metrics.throughput(rows, seconds),
+            "performance": metrics.throughput(rows, seconds) | {"latency_ms": _model_latency(scored)},
         }
     finally:
         scored.unpersist()
 
 
-def calibrate_all(scored: DataFrame, min_label_recall: float = 0.85, beta: float = 1.5, min_route_recall: float = 0.97, max_false_pass_pct: float = 1.0, min_precision: float = 0.95, veto: bool = True) -> dict:
-    """All searches over scored rows (gold, force_route, router, pi, harmful, sexual), and what they recommend."""
+def _model_latency(scored: DataFrame) -> dict:
+    """Average, median, 95th percentile and largest milliseconds a row of every model whose scorer measures them."""
+    timed = {"prompt_injection": "prompt_ms", "moderation": "moderation_ms"}
+    return {name: section(metrics.latency(scored.filter(F.col(c).isNotNull()), c, digits=3))[0] for name, c in timed.items() if c in scored.columns}
+
+
+def calibrate_all(scored: DataFrame, min_label_recall: float = 0.85, beta: float = 1.5, min_route_recall: float = 0.97, max_false_pass_pct: float = 1.0, min_precision: float = 0.95, veto: bool = True, score_scope: str = "all") -> dict:
+    """All searches over scored rows (gold, force_route, router, pi, harmful, sexual), and what they recommend.
+
+    ``score_scope``: label thresholds are chosen on ``all`` rows, or, for each model, on the ``routed`` rows only, those that the chosen
+    route thresholds or a rule send to it; a threshold chosen on rows that a model never sees would be too high.
+    """
+    if score_scope not in ("all", "routed"):
+        raise ValueError(f"unknown score_scope {score_scope}")
     one = lambda df: section(df)[0]
     columns = dict(zip(PUBLIC_LABELS, (F.col("pi"), F.col("harmful"), F.col("sexual")), strict=True))
-    labels = section(calibrate.choose_label_thresholds(scored, columns, min_recall=min_label_recall, beta=beta), "label")
     routes = one(calibrate.choose_joint_routes(scored, min_recall=min_route_recall))
+    if score_scope == "all":
+        labels = section(calibrate.choose_label_thresholds(scored, columns, min_recall=min_label_recall, beta=beta), "label")
+    else:
+        labels = {}
+        for label, (rule, score, route) in {"prompt_injection": ("attack", "router.attack", "attack_route"), "harmful_content": ("moderation", "router.moderation", "moderation_route"), "sexual": ("moderation", "router.moderation", "moderation_route")}.items():
+            seen = scored.filter(calibrate.forced(rule) | (F.col(score) >= F.lit(routes[route])))
+            labels[label] = one(calibrate.choose_label_threshold(seen, F.array_contains("gold", label), columns[label], min_label_recall, beta))
     fast = one(calibrate.choose_fast_allow(scored, max_false_pass_pct=max_false_pass_pct))
     safe = one(calibrate.choose_direct_safe(scored, max_false_pass_pct=max_false_pass_pct))
     prompt = one(calibrate.choose_direct_label(scored, "prompt_injection", F.col("router.attack"), F.col("router.moderation"), min_precision=min_precision))

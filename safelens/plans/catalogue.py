@@ -6,10 +6,12 @@ the operators compute what they should, not how good a trained model would be.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import HARMFUL_CONTENT, PROFILES
+from ..config import HARMFUL_CONTENT, PROFILES, PROMPT_INJECTION, Settings, Thresholds
 from ..functions import labels as L
 from ..functions import scoring as S
 from ..functions.rules import ATTACK_PATTERNS, MODERATION_PATTERNS, apply_rules
@@ -19,7 +21,8 @@ from ..operators import diagnostics as X
 from ..operators import metrics as A
 from ..operators import reports as R
 from ..operators import sampling as W
-from ..operators.cascade import classify
+from ..operators.cascade import classify, decide, results, route
+from ..sources import readers, sinks
 from ..sources.sinks import label_counters
 
 SCOPED = PROFILES["scoped_v0"]
@@ -103,6 +106,119 @@ def routed_outcomes(spark, sf):
     return out.groupBy("route_outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("force_route") > 0).alias("forced"), F.count_if("fast_allow").alias("allowed"))
 
 
+def _stub_scores(df: DataFrame) -> DataFrame:
+    """Scores that number the documents, so that every route, shortcut and outcome occurs."""
+    of = lambda k, n: (F.col("doc_id") * k % n) / F.lit(float(n - 1))
+    force = F.array_compact(F.array(F.when(F.col("doc_id") % 13 == 0, "attack"), F.when(F.col("doc_id") % 17 == 0, "moderation")))
+    router = F.struct(of(8, 21).alias("attack"), of(11, 19).alias("moderation"), of(5, 11).alias("safe"))
+    return df.withColumns({"router": router, "force_route": force, "reasons": F.transform(force, lambda r: F.concat(F.lit("rule:"), r)), "pi": of(3, 8), "harmful": of(5, 9), "sexual": of(9, 7), "router_loaded": F.col("doc_id") % 2 == 0})
+
+
+#: Routing with every shortcut on and thresholds in the middle of the stub scores.
+ALL_ROUTES = Settings(
+    thresholds=Thresholds(attack_route=0.4, moderation_route=0.5, fast_allow=0.3, fasttext_direct_prompt_injection_score=0.8, fasttext_direct_prompt_injection_max_moderation=0.3, fasttext_direct_harmful_content_score=0.8,
+                          fasttext_direct_harmful_content_max_attack=0.3, fasttext_direct_safe_score=0.6, fasttext_direct_safe_max_route=0.35, prompt_injection_review=0.5, harmful_content_review=0.6, sexual_review=0.7, prompt_injection_max_harmful=0.9),
+    full_scan=False, direct_safe=True, direct_classification=True,
+)
+
+
+def _all_routes(spark, sf):
+    rows = _stub_scores(read(spark, sf, "documents").select("doc_id"))
+    each = [decide(route(rows, replace(ALL_ROUTES, policy=p)), ALL_ROUTES).withColumn("policy", F.lit(p)) for p in ("runtime", "suite")]
+    return each[0].unionByName(each[1])
+
+
+def routing_results(spark, sf):
+    """All eight outcomes under both policies, and what the results say of each."""
+    out = results(_all_routes(spark, sf), ALL_ROUTES, ("doc_id", "policy", "route_outcome"))
+    return out.select("doc_id", "policy", "route_outcome", _joined("labels").alias("labels"), "fast_allow", _joined("triggered_models").alias("triggered"), _joined("skipped_models").alias("skipped"),
+                      *[F.col(f"scores.{c}").alias(c) for c in ("prompt_injection", "harmful_content", "sexual")], F.col("routing.run_attack").alias("run_attack"), F.col("routing.run_moderation").alias("run_moderation"))
+
+
+def routing_outcomes(spark, sf):
+    return A.route_counts(_all_routes(spark, sf).filter("policy = 'runtime'")).select("route_outcome", F.col("rows").alias("n"), F.col("rule_forced").alias("forced"), "pct")
+
+
+def direct_precision(spark, sf):
+    rows = _all_routes(spark, sf).filter("policy = 'runtime'")
+    gold = F.array_compact(F.array(F.when(F.col("doc_id") % 3 == 0, PROMPT_INJECTION), F.when(F.col("doc_id") % 5 == 0, HARMFUL_CONTENT)))
+    return A.direct_precision(rows.withColumn("gold", gold))
+
+
+def route_against_unsafe(spark, sf):
+    rows = _all_routes(spark, sf).filter("policy = 'runtime'").withColumn("gold", F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(PROMPT_INJECTION))).otherwise(F.array().cast("array<string>")))
+    return A.model_rows(rows)
+
+
+def latency_stats(spark, sf):
+    return A.latency(read(spark, sf, "events").select("event_type", "value"), "value", ("event_type",), 4)
+
+
+def mode_means(spark, sf):
+    rows = read(spark, sf, "documents").select("doc_id", "n_chars")
+    return X.compare_modes(rows, {"single": F.col("n_chars") % 10 / 10.0, "batched": F.col("n_chars") % 7 / 7.0, "shifted": F.col("n_chars") % 10 / 20.0}, "doc_id").select(*[F.round(c, 6).alias(c) for c in ("single", "batched", "shifted")], "batched_inconsistent", "shifted_inconsistent")
+
+
+def _written_corpus(spark, sf):
+    """The labelled documents as .jsonl, .json and .csv files, in a folder that all executors share."""
+    rows = read(spark, sf, "documents").select("doc_id", "text", "source").join(read(spark, sf, "labels").select("doc_id", "toxic", "quality"), "doc_id")
+    rows = rows.select("doc_id", F.regexp_replace("text", r"[\r\n]+", " ").alias("prompt"), F.when(F.col("toxic") == 1, "Toxic").when(F.col("quality") == 0, "junk").alias("label"), "source")
+    at = sinks.scratch(spark)
+    third = lambda k: rows.filter(F.col("doc_id") % 3 == k).drop("doc_id")
+    third(0).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(f"{at}/a.jsonl")
+    # Read whole: one document, so one row for each file is what this format costs.
+    third(1).agg(F.to_json(F.struct(F.collect_list(F.struct("*")).alias("rows"))).alias("value")).coalesce(1).write.text(f"{at}/b.json")
+    third(2).write.option("header", True).option("escape", '"').csv(f"{at}/c.csv")
+    return readers.read_corpora(spark, [f"{at}/a.jsonl", f"{at}/b.json", f"{at}/c.csv"])
+
+
+def corpus_files(spark, sf):
+    out = _written_corpus(spark, sf).withColumn("file", F.regexp_extract("source_path", r"\.(\w+)$", 1))
+    return out.groupBy("file", "source", _joined("labels").alias("labels"), _joined("raw_labels").alias("raw")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("chars"))
+
+
+def corpus_files_filtered(spark, sf):
+    out = readers.filtered(_written_corpus(spark, sf), exclude=("junk",), include=("toxic", "safe"))
+    return out.groupBy(_joined("labels").alias("labels")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def four_class_corpus(spark, sf):
+    docs = read(spark, sf, "documents").withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
+    of = lambda k, n, name, rename: docs.filter(F.col("doc_id") % 5 == k).select(F.col("text").alias(rename), (F.col("doc_id") % n / 10.0).alias(name))
+    injection = docs.filter("doc_id % 5 = 0").select("text", (F.col("doc_id") % 2).alias("label"))
+    calm = docs.filter("doc_id % 5 = 4").select(F.col("text").alias("comment_text"), (F.col("doc_id") % 3 / 10.0).alias("toxicity"), F.lit(0.0).alias("sexual_explicit"))
+    out = readers.four_classes(injection, of(1, 20, "hate_speech_score", "text"), of(2, 9, "sexual_explicit", "comment_text"), docs.filter("doc_id % 5 = 3").select(F.col("text").alias("question")), calm)
+    return out.groupBy("true").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("chars"))
+
+
+def held_out_sets(spark, sf):
+    """Every held-out loader of the registry over the same documents."""
+    docs = read(spark, sf, "documents").withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))).select("text", (F.col("doc_id") % 10).alias("n"))
+    named = lambda text, **more: docs.select(F.col("text").alias(text), *[c.alias(k) for k, c in more.items()])
+    sets = {
+        "JasperLS/prompt-injections": {"train": named("text", label=F.col("n") % 2)},
+        "JailbreakBench/JBB-Behaviors": {"harmful": named("Goal").limit(0), "benign": named("Goal")},
+        "xTRam1/safe-guard-prompt-injection": {"test": named("text", label=F.col("n") % 3)},
+        "reshabhs/SPML_Chatbot_Prompt_Injection": {"train": docs.select(F.col("text").alias("User Prompt"), (F.col("n") % 4).alias("Prompt injection"))},
+        "ucberkeley-dlab/measuring-hate-speech": {"train": named("text", hate_speech_score=F.col("n") / 10.0)},
+        "civil_comments": {"validation": named("comment_text", toxicity=F.col("n") / 20.0)},
+    }
+    out = None
+    for name, splits in sets.items():
+        one = readers.held_out(name, splits).select(F.lit(name).alias("dataset"), "gold")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"), F.sum("gold").cast("long").alias("positives"))
+
+
+def label_keys(spark, sf):
+    raw = F.array_compact(F.array(F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("quality") == 1, "good"), F.when(F.col("quality") == 0, "junk")))
+    return A.distinct_values(read(spark, sf, "labels").select(raw.alias("raw")), "raw", "label").orderBy("label")
+
+
+def display_texts(spark, sf):
+    return R.shown(documents(spark, sf), "text", 70).select("doc_id", "text")
+
+
 def cascade_labels(spark, sf):
     out = classified(spark, sf)
     return out.select("doc_id", _joined("labels").alias("labels"), F.round("pi", 4).alias("prompt_injection"), F.round("harmful", 4).alias("harmful_content"), F.round("sexual", 4).alias("sexual"), "route_outcome", _joined("reasons").alias("reasons"))
@@ -312,7 +428,7 @@ def probe_report(spark, sf):
 
 def temperature_calibration(spark, sf):
     p = F.least(F.greatest(F.col("harmful"), F.lit(0.01)), F.lit(0.99))
-    out = X.calibrate_temperature(scored(spark, sf), F.log(p / (F.lit(1.0) - p)), F.col("toxic"), "doc_id", 80)
+    out = X.calibrate_temperature(scored(spark, sf), F.log(p / (F.lit(1.0) - p)), F.col("toxic"), "doc_id")
     return spark.createDataFrame([(round(out["temperature"], 6), out["threshold"], out["before"]["tp"], out["after"]["tp"])], "temperature double, threshold double, tp_before long, tp_after long")
 
 
@@ -322,7 +438,8 @@ QUERIES = [
     macro_f1, false_pass_rate, confusion_matrix, multiclass_metrics, coverage_holes, rescues, score_percentiles, nearest_rank_quartiles, token_buckets, source_distribution,
     raw_label_distribution, canonical_labels_inline, score_mappings_inline, subcategory_breakdown, threshold_sweep, best_f1_threshold, label_threshold_choice, joint_route_choice,
     route_curve, route_choice, fast_allow_choice, direct_safe_choice, direct_label_choice, veto_choice, bce_by_temperature, temperature_fit, prf_at_temperature, recall_of_models,
-    leaderboard, contamination_flags, conversation_label_counts, pages_label_counts, event_counters_by_day, probe_report, temperature_calibration,
+    leaderboard, contamination_flags, conversation_label_counts, pages_label_counts, event_counters_by_day, probe_report, temperature_calibration, routing_results, routing_outcomes,
+    direct_precision, route_against_unsafe, latency_stats, mode_means, corpus_files, corpus_files_filtered, four_class_corpus, held_out_sets, label_keys, display_texts,
 ]
 
 
@@ -345,12 +462,12 @@ _BASE64 = "(?:^|[^A-Za-z0-9+/=])[A-Za-z0-9+/]{24,}={0,2}(?:$|[^A-Za-z0-9+/=])"
 _SPACED = r"(^|[^\p{L}\p{N}_])([\p{L}\p{N}_][\s._\-]+){5,}[\p{L}\p{N}_]([^\p{L}\p{N}_]|$)"
 
 
-def _scored_sql(source: str) -> str:
-    """CTE ``s``: everything that the cascade's rows have, over a relation with a text."""
+def _scored_sql(source: str, decoded: str = "text") -> str:
+    """CTE ``s``: everything that the cascade's rows have, over a relation with a text. ``decoded``: the text after entities."""
     score = lambda h: f"{h} / ({h} + 0.02::DOUBLE * (1.0::DOUBLE + words / 50.0::DOUBLE))"
     rule = f"regexp_matches(detection, '{_re(ATTACK_PATTERNS)}')"
     return f"""
-n AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS model_text FROM ({source})),
+n AS (SELECT *, trim(regexp_replace({decoded}, '\\s+', ' ', 'g')) AS model_text FROM ({source})),
 m AS (SELECT *, lower(model_text) AS detection, CASE WHEN model_text = '' THEN 0 ELSE length(model_text) - length(replace(model_text, ' ', '')) + 1 END AS words FROM n WHERE model_text <> ''),
 h AS (SELECT *, {_hits(S.INJECTION_WORDS)} AS h_pi, {_hits(S.HARMFUL_WORDS)} AS h_harm, {_hits(S.SEXUAL_WORDS)} AS h_sex, {rule} AS r_attack, regexp_matches(detection, '{_re(MODERATION_PATTERNS)}') AS r_mod,
       regexp_matches(model_text, '{_BASE64}') OR regexp_matches(text, '{_SPACED}') OR regexp_matches(text, '[\\x{{0400}}-\\x{{04ff}}\\x{{0370}}-\\x{{03ff}}]') AS r_hidden FROM m),
@@ -358,6 +475,8 @@ p AS (SELECT *, {score('h_pi')} AS attack, {score('h_harm')} AS harm0, {score('h
 s AS (SELECT *, greatest(harm0, sex0) AS moderation, 1.0::DOUBLE - greatest(attack, greatest(harm0, sex0)) AS safe, NOT (f_attack OR f_mod) AS free FROM p)"""
 
 
+#: The entities that the pages hold; the ampersand comes last, as entities are read once.
+_DECODED = "replace(replace(replace(replace(text, '&quot;', '\"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
 _DOCS = _scored_sql("SELECT doc_id, text, source, lang FROM documents")
 _GOLD = _scored_sql("SELECT d.doc_id, d.text, d.source, l.toxic FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic IS NOT NULL")
 _ROUTED = """
@@ -395,6 +514,44 @@ _KEY = r"left(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), 1000)"
 _COUNTER = "unnest(CASE WHEN len(labels) = 0 THEN ['safe'] ELSE labels END) AS label"
 
 
+def _any_key(parts, names=()) -> str:
+    """The largest score among the keys (lower case) that contain a part or are one of the names."""
+    tests = [f"contains(k, '{p}')" for p in parts] + [f"k = '{n}'" for n in names]
+    return f"max(v) FILTER (WHERE {' OR '.join(tests)})"
+
+
+_LISTED = lambda v: f"CASE WHEN {v} IS NULL OR json_type({v}) = 'NULL' THEN []::VARCHAR[] WHEN json_type({v}) = 'ARRAY' THEN [lower(trim(x)) FOR x IN json_extract_string({v}, '$[*]')] ELSE [lower(trim(json_extract_string({v}, '$')))] END"
+_QUOTED = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+_FLAG = lambda key, words: f"coalesce(list_contains({_QUOTED(words)}, lower(json_extract_string(j, '$.{key}'))), false)"
+_LABELS_SQL = f"""k AS (SELECT *, json_extract(j, '$.labels') AS many, json_extract(j, '$.label') AS one, json_extract(j, '$.original_labels') AS original FROM r),
+l AS (SELECT *, CASE WHEN list_contains(json_keys(j), 'labels') THEN {_LISTED('many')} ELSE {_LISTED('one')} END AS given, list_sort(list_distinct([x FOR x IN {_LISTED('many')} || {_LISTED('one')} || {_LISTED('original')} IF x <> ''])) AS every FROM k),
+o AS (SELECT id, array_to_string(every, ',') AS raw, array_to_string(list_filter([
+CASE WHEN list_has_any(given, {_QUOTED(L.PROMPT_ALIASES)}) OR {_FLAG('prompt_injection', L.TRUTHY)} OR {_FLAG('is_prompt_injection', L.FLAG_TRUTHY)} THEN 'prompt_injection' END,
+CASE WHEN list_has_any(given, {_QUOTED(L.HARMFUL_ALIASES)}) OR {_FLAG('harmful_content', L.TRUTHY)} THEN 'harmful_content' END,
+CASE WHEN list_contains(given, 'sexual') OR {_FLAG('sexual', L.TRUTHY)} THEN 'sexual' END], lambda x: x IS NOT NULL), ',') AS labels FROM l)"""
+_MAPPINGS_SQL = f"""u AS (SELECT id, j, unnest(json_keys(j)) AS key FROM r), e AS (SELECT id, lower(key) AS k, json_extract(j, '$."' || key || '"')::DOUBLE AS v FROM u),
+m AS (SELECT id, coalesce({_any_key(S.INJECTION_PARTS, ['label_1'])}, 0) AS prompt, coalesce({_any_key(S.HARMFUL_PARTS, S.HARMFUL_NAMES)}, 0) AS harmful, coalesce({_any_key(S.SEXUAL_PARTS, S.SEXUAL_NAMES)}, 0) AS sexual,
+coalesce({_any_key((), ['injection'])}, {_any_key((), ['label_1'])}, {_any_key(('inject', 'malicious', 'attack', 'jailbreak'))}, 0) AS injection,
+greatest(coalesce({_any_key((), ['harmful_content'])}, {_any_key(('harmful', 'hate', 'toxic', 'harass', 'violence', 'self'))}, 0), coalesce({_any_key(('sexual',))}, 0)) AS two_heads,
+coalesce({_any_key((), ['ok'])}, {_any_key((), ['label_0'])}, {_any_key(('safe', 'neutral', 'ok'))}, 0) AS fine, coalesce({_any_key(('h', 's', 'v'))}, 0) AS not_fine,
+coalesce({_any_key((), ['toxic'])}, {_any_key(('toxic', 'threat', 'insult', 'hate', 'obscene', 'identity'))}, 0) AS toxic_multi, coalesce({_any_key((), ['toxic'])}, {_any_key((), ['label_1'])}, {_any_key(('toxic',))}, 0) AS toxic_binary FROM e GROUP BY id)
+SELECT id, prompt, harmful, sexual, round(injection, 6) AS injection, round(two_heads, 6) AS two_heads, round(CASE WHEN fine > 0 THEN 1 - fine ELSE not_fine END, 6) AS complement, round(toxic_multi, 6) AS toxic_multi, round(toxic_binary, 6) AS toxic_binary FROM m"""
+# Every route of ALL_ROUTES over the stub scores.
+_STUB = "(doc_id * {0} % {1}) / {2}.0::DOUBLE"
+_ALL_ROUTES = f"""a0 AS (SELECT doc_id, doc_id % 13 = 0 AS f_attack, doc_id % 17 = 0 AS f_mod, NOT (doc_id % 13 = 0 OR doc_id % 17 = 0) AS free, {_STUB.format(8, 21, 20)} AS attack, {_STUB.format(11, 19, 18)} AS moderation, {_STUB.format(5, 11, 10)} AS safe,
+{_STUB.format(3, 8, 7)} AS pi0, {_STUB.format(5, 9, 8)} AS h0, {_STUB.format(9, 7, 6)} AS s0, unnest(['runtime', 'suite']) AS policy FROM documents),
+a1 AS (SELECT *, f_attack OR attack >= 0.4::DOUBLE AS run_a, f_mod OR moderation >= 0.5::DOUBLE AS run_m, free AND attack >= 0.8::DOUBLE AND moderation <= 0.3::DOUBLE AS dp FROM a0),
+a2 AS (SELECT *, NOT dp AND free AND moderation >= 0.8::DOUBLE AND attack <= 0.3::DOUBLE AS dh FROM a1),
+a3 AS (SELECT *, NOT dp AND NOT dh AND free AND safe >= 0.6::DOUBLE AND attack < 0.35::DOUBLE AND moderation < 0.35::DOUBLE AS ds FROM a2),
+a4 AS (SELECT *, ds OR (free AND attack < 0.3::DOUBLE AND moderation < 0.3::DOUBLE) AS fast FROM a3),
+a5 AS (SELECT *, fast OR (policy = 'suite' AND (dp OR dh)) AS stop FROM a4),
+a6 AS (SELECT *, run_a AND NOT dp AND NOT stop AS ran_a, run_m AND NOT stop AS ran_m FROM a5),
+a7 AS (SELECT *, CASE WHEN dp THEN 1.0 WHEN ran_a THEN pi0 ELSE 0.0 END::DOUBLE AS pi, CASE WHEN dh THEN 1.0 WHEN ran_m THEN h0 ELSE 0.0 END::DOUBLE AS harmful, CASE WHEN ran_m THEN s0 ELSE 0.0 END::DOUBLE AS sexual,
+CASE WHEN dp THEN 'direct_prompt_injection' WHEN dh THEN 'direct_harmful_content' WHEN ds THEN 'direct_safe' WHEN fast THEN 'fast_allow' WHEN ran_a AND ran_m THEN 'both_models' WHEN ran_a THEN 'prompt_only' WHEN ran_m THEN 'moderation_only' ELSE 'no_model' END AS route_outcome FROM a6)"""
+_NAMED = lambda *pairs: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in pairs) + "], lambda x: x IS NOT NULL), ',')"
+_SPACED_TEXT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+
+
 def _false_pass_sql(grid: str, hit: str, axes: str, order: str) -> str:
     return f"""WITH {_GOLD}, g AS ({grid}), t AS (SELECT count(*) FILTER (WHERE {_H}) AS unsafe, count(*) AS rows FROM s),
 c AS (SELECT {axes}, {order} AS o, count(*) FILTER (WHERE {hit}) AS p, count(*) FILTER (WHERE ({hit}) AND {_H}) AS f FROM g CROSS JOIN s GROUP BY ALL),
@@ -403,6 +560,18 @@ SELECT {axes}, p AS passed_rows, pp AS passed_pct, f AS unsafe_false_pass_rows,
 ORDER BY fp <= 40 DESC, CASE WHEN fp <= 40 THEN p END DESC, CASE WHEN fp <= 40 THEN f END, CASE WHEN fp > 40 THEN fp END, p DESC, o LIMIT 1"""
 
 
+_PAGES = _scored_sql("SELECT page_id, html AS text FROM pages", _DECODED)
+_CORPUS = """w AS (SELECT ['jsonl', 'json', 'csv'][d.doc_id % 3 + 1] AS file, coalesce(d.source, '') AS source, CASE WHEN l.toxic = 1 THEN 'harmful_content' ELSE '' END AS labels, CASE WHEN l.toxic = 1 THEN 'toxic' WHEN l.quality = 0 THEN 'junk' ELSE '' END AS raw,
+regexp_replace(d.text, '[\\r\\n]+', ' ', 'g') AS text FROM documents d JOIN labels l USING (doc_id) WHERE regexp_matches(d.text, '\\S'))"""
+
+
+def _fit_sql(rows: str) -> str:
+    """CTEs up to ``best_t``: the temperature (t) with the least mean loss over rows (z, y), in two passes."""
+    return f"""t1 AS (SELECT t, t_ord, avg({_BCE}) AS loss FROM {_unnest(G.TEMPERATURES, 't')} CROSS JOIN {rows} GROUP BY ALL), t2 AS (SELECT t AS start FROM t1 ORDER BY loss, t_ord LIMIT 1),
+t3 AS (SELECT start AS t, 0 AS o FROM t2 UNION ALL SELECT greatest(0.01::DOUBLE, start - 0.05::DOUBLE + 0.1::DOUBLE * i / 49), i + 1 FROM t2 CROSS JOIN range(50) r(i)),
+t4 AS (SELECT t, o, avg({_BCE}) AS loss FROM t3 CROSS JOIN {rows} GROUP BY ALL), best_t AS (SELECT t FROM t4 ORDER BY loss, o LIMIT 1)"""
+
+
 def oracle_sql():
     values = lambda rows, names: f"SELECT * FROM ({_values(rows)}) t({names})"
     best = sorted(set(G.BEST_F1_GRID))
@@ -410,8 +579,6 @@ def oracle_sql():
     names = list(R.SUBCATEGORY_HEADS)
     categories = ", ".join(f"('{n}', '{R.SUBCATEGORY_HEADS[n]}', {i + 3})" for i, n in enumerate(names))
     fb = "round(coalesce((1 + 2.25) * precision * recall / nullif(2.25 * precision + recall, 0), 0), 4)"
-    mapped = [(0, 0.7, 0.2, 0.7, 0.7, 0.0, 0.8, 0.0, 0.7), (1, 0.1, 0.0, 0.0, 0.1, 0.0, 0.1, 0.0, 0.0), (2, 0.0, 0.3, 0.1, 0.0, 0.0, 0.4, 0.0, 0.0), (3, 0.0, 0.2, 0.0, 0.0, 0.2, 0.9, 0.2, 0.2), (4, 0.0, 0.4, 0.3, 0.0, 0.4, 0.4, 0.0, 0.0)]
-    bucket = lambda labels: next((p for p in ("prompt_injection", "sexual", "harmful_content") if p in labels.split(",")), "safe")
     families = ", ".join(f"('{m}', '{f}')" for m, fs in R.TRAINED_ON.items() for f in fs)
     models = ", ".join(f"('{m}')" for m in (*R.TRAINED_ON, "unknown"))
     sql = {
@@ -442,8 +609,8 @@ SELECT doc_id, lang, row_number() OVER (ORDER BY md5('9:' || doc_id), doc_id) AS
         "token_buckets": f"WITH {_DOCS} SELECT CASE WHEN words <= 32 THEN '001-032' WHEN words <= 64 THEN '033-064' ELSE '065-128' END AS bucket, count(*) AS rows FROM s GROUP BY 1",
         "source_distribution": "SELECT source, count(*) AS rows FROM documents GROUP BY source",
         "raw_label_distribution": "SELECT label, count(*) AS rows FROM (SELECT unnest(list_filter([CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN quality = 1 THEN 'good' END, CASE WHEN quality = 0 THEN 'junk' END], lambda x: x IS NOT NULL)) AS label FROM labels) GROUP BY label",
-        "canonical_labels_inline": values([(i, labels, raw, bucket(labels)) for i, (_, labels, raw) in enumerate(INLINE_ROWS)], "id, labels, raw, bucket").replace("SELECT *", "SELECT id::BIGINT AS id, labels, raw, bucket"),
-        "score_mappings_inline": values(mapped, "id, prompt, harmful, sexual, injection, two_heads, complement, toxic_multi, toxic_binary").replace("SELECT *", "SELECT id::BIGINT AS id, " + ", ".join(f"{c}::DOUBLE AS {c}" for c in ("prompt", "harmful", "sexual", "injection", "two_heads", "complement", "toxic_multi", "toxic_binary"))),
+        "canonical_labels_inline": f"WITH r AS (SELECT id::BIGINT AS id, j::JSON AS j FROM ({_values([(i, r[0]) for i, r in enumerate(INLINE_ROWS)])}) t(id, j)), {_LABELS_SQL} SELECT id, labels, raw, CASE WHEN contains(labels, 'prompt_injection') THEN 'prompt_injection' WHEN contains(labels, 'sexual') THEN 'sexual' WHEN contains(labels, 'harmful_content') THEN 'harmful_content' ELSE 'safe' END AS bucket FROM o",
+        "score_mappings_inline": f"WITH r AS (SELECT id::BIGINT AS id, j::JSON AS j FROM ({_values(list(enumerate(INLINE_SCORES)))}) t(id, j)), {_MAPPINGS_SQL}",
         "subcategory_breakdown": f"WITH {_DOCS}, e AS (SELECT v.subcategory, v.head, (s.doc_id * v.k) % 10 / 10.0::DOUBLE >= 0.15::DOUBLE AS g, CASE WHEN v.head = 'sexual' THEN sex0 >= 0.5 ELSE harm0 >= 0.5 END AS p FROM s CROSS JOIN (VALUES {categories}) v(subcategory, head, k)), c AS (SELECT subcategory, head, {_counts_sql('g', 'p')} FROM e GROUP BY ALL) SELECT subcategory, head, tp + fn AS n_pos, tp, fp, fn, tn, {_prf_sql(digits=6)} FROM c",
         "threshold_sweep": f"WITH {_GOLD}, {sweep(G.SWEEP_GRID, 'harm0')} SELECT t AS threshold, tp, fp, precision, recall FROM w",
         "best_f1_threshold": f"WITH {_GOLD}, {sweep(best, 'harm0', 12)} SELECT t AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM w ORDER BY w.f1 DESC, t = 0.5 DESC, t LIMIT 1",
@@ -470,6 +637,38 @@ SELECT model, t AS threshold, round(precision, 6) AS precision, round(recall, 6)
         "conversation_label_counts": f"WITH {_scored_sql('SELECT role, text FROM conversations')}, {_ROUTED}, u AS (SELECT role, {_COUNTER} FROM k) SELECT role, label, count(*) AS rows FROM u GROUP BY ALL",
         "event_counters_by_day": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     }
+    sql |= {
+        "routing_results": f"""WITH {_ALL_ROUTES} SELECT doc_id, policy, route_outcome, {_NAMED(('pi >= 0.5 AND harmful < 0.9::DOUBLE', 'prompt_injection'), ('harmful >= 0.6::DOUBLE', 'harmful_content'), ('sexual >= 0.7::DOUBLE', 'sexual'))} AS labels, fast AS fast_allow,
+{_NAMED(('doc_id % 2 = 0', 'fasttext_router'), ('dp', 'fasttext_direct_prompt_injection'), ('ran_a', 'prompt_injection'), ('dh', 'fasttext_direct_harmful_content'), ('ran_m', 'moderation'))} AS triggered, {_NAMED(('NOT ran_a', 'prompt_injection'), ('NOT ran_m', 'moderation'))} AS skipped,
+round(pi, 4) AS prompt_injection, round(harmful, 4) AS harmful_content, round(sexual, 4) AS sexual, run_a AS run_attack, run_m AS run_moderation FROM a7""",
+        "routing_outcomes": f"WITH {_ALL_ROUTES} SELECT route_outcome, count(*) AS n, count(*) FILTER (WHERE NOT free) AS forced, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 2) AS pct FROM a7 WHERE policy = 'runtime' GROUP BY 1",
+        "direct_precision": f"""WITH {_ALL_ROUTES} SELECT count(*) FILTER (WHERE dp) AS direct_prompt_rows, round(count(*) FILTER (WHERE dp AND doc_id % 3 = 0) / greatest(1, count(*) FILTER (WHERE dp))::DOUBLE, 4) AS direct_prompt_precision,
+count(*) FILTER (WHERE dh) AS direct_harmful_rows, round(count(*) FILTER (WHERE dh AND doc_id % 5 = 0) / greatest(1, count(*) FILTER (WHERE dh))::DOUBLE, 4) AS direct_harmful_precision,
+count(*) FILTER (WHERE ds) AS direct_safe_rows, count(*) FILTER (WHERE ds AND (doc_id % 3 = 0 OR doc_id % 5 = 0)) AS direct_safe_false_pass_rows FROM a7 WHERE policy = 'runtime'""",
+        "route_against_unsafe": f"""WITH {_ALL_ROUTES}, c AS (SELECT count(*) AS rows, count(*) FILTER (WHERE ran_a) AS prompt_rows, count(*) FILTER (WHERE ran_m) AS moderation_rows, count(*) FILTER (WHERE ran_a OR ran_m) AS any_model_rows,
+count(*) FILTER (WHERE dp OR dh OR ds OR fast) AS direct_rows, count(*) FILTER (WHERE dp OR dh) AS direct_unsafe_rows, {_counts_sql('doc_id % 3 = 0', 'ran_a OR ran_m')} FROM a7 WHERE policy = 'runtime')
+SELECT *, round({_DIV('any_model_rows', 'rows')} * 100, 2) AS any_model_pct, round({_DIV('direct_rows', 'rows')} * 100, 2) AS direct_pct, {_prf_sql()} FROM c""",
+        "latency_stats": "SELECT event_type, round(avg(value), 4) AS avg, round(coalesce(quantile_cont(value, 0.5), 0), 4) AS p50, round(coalesce(quantile_cont(value, 0.95), 0), 4) AS p95, round(max(value), 4) AS max FROM events GROUP BY event_type",
+        "mode_means": "WITH m AS (SELECT avg(n_chars % 10 / 10.0::DOUBLE) AS single, avg(n_chars % 7 / 7.0::DOUBLE) AS batched, avg(n_chars % 10 / 20.0::DOUBLE) AS shifted FROM documents) SELECT round(single, 6) AS single, round(batched, 6) AS batched, round(shifted, 6) AS shifted, abs(single - batched) > 0.3 AS batched_inconsistent, abs(single - shifted) > 0.3 AS shifted_inconsistent FROM m",
+        "corpus_files": f"WITH {_CORPUS} SELECT file, source, labels, raw, count(*) AS rows, sum(length(text))::BIGINT AS chars FROM w GROUP BY ALL",
+        "corpus_files_filtered": f"WITH {_CORPUS} SELECT labels, count(*) AS rows FROM w WHERE raw <> 'junk' GROUP BY ALL",
+        "four_class_corpus": f"""WITH d AS (SELECT doc_id, {_SPACED_TEXT} AS text FROM documents WHERE {_SPACED_TEXT} <> ''), c AS (SELECT DISTINCT text, CASE doc_id % 5 WHEN 0 THEN 'prompt_injection' WHEN 1 THEN 'harmful_content' WHEN 2 THEN 'sexual' ELSE 'safe' END AS t FROM d
+WHERE CASE doc_id % 5 WHEN 0 THEN doc_id % 2 = 1 WHEN 1 THEN doc_id % 20 >= 10 WHEN 2 THEN doc_id % 9 >= 4 WHEN 3 THEN true ELSE doc_id % 3 = 0 END) SELECT t AS "true", count(*) AS rows, sum(length(text))::BIGINT AS chars FROM c GROUP BY 1""",
+        "held_out_sets": f"""WITH d AS (SELECT doc_id % 10 AS n FROM documents WHERE {_SPACED_TEXT} <> '') SELECT v.dataset, count(*) AS rows, (count(*) FILTER (WHERE CASE v.k WHEN 0 THEN n % 2 = 1 WHEN 1 THEN false WHEN 2 THEN n % 3 = 1 WHEN 3 THEN n % 4 = 1 WHEN 4 THEN n >= 5 ELSE false END))::BIGINT AS positives
+FROM d CROSS JOIN (VALUES ('JasperLS/prompt-injections', 0), ('JailbreakBench/JBB-Behaviors', 1), ('xTRam1/safe-guard-prompt-injection', 2), ('reshabhs/SPML_Chatbot_Prompt_Injection', 3), ('ucberkeley-dlab/measuring-hate-speech', 4), ('civil_comments', 5)) v(dataset, k) GROUP BY v.dataset""",
+        "label_keys": "SELECT DISTINCT label FROM (SELECT unnest([CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN quality = 1 THEN 'good' END, CASE WHEN quality = 0 THEN 'junk' END]) AS label FROM labels) WHERE label IS NOT NULL",
+        "display_texts": "SELECT doc_id, left(text, 70) AS text FROM documents",
+        "html_decode_pages": f"WITH {_PAGES} SELECT page_id, sha256(model_text) AS text_hash, length(model_text) AS n FROM s",
+        "pages_label_counts": f"WITH {_PAGES}, {_ROUTED}, u AS (SELECT {_COUNTER} FROM k) SELECT label, count(*) AS rows FROM u GROUP BY ALL",
+        "probe_report": f"""WITH {_scored_sql(values([(k, t) for k, t in X.PROBES], 'kind, text'))}, p2 AS (SELECT kind, text, CASE WHEN attack >= 0.5 THEN 'prompt_injection' WHEN harm0 >= 0.93::DOUBLE THEN 'harmful_content' WHEN sex0 >= 0.93::DOUBLE THEN 'sexual' ELSE 'safe' END AS predicted FROM s)
+SELECT *, predicted = kind AS ok FROM p2""",
+        "temperature_fit": f"WITH {_GOLD}, {_Z}, {_fit_sql('z')} SELECT round(t, 6) AS temperature FROM best_t",
+        "temperature_calibration": f"""WITH {_GOLD}, {_Z.replace("AS z, toxic AS y", "AS z, toxic AS y, doc_id")}, b1 AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('7:' || doc_id), doc_id) AS p FROM z WHERE y IN (0, 1)), b2 AS (SELECT * FROM b1 WHERE p <= 1000),
+b3 AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('7:' || doc_id), doc_id) <= floor(count(*) OVER (PARTITION BY y) / 2) AS is_fit FROM b2), ff AS (SELECT * FROM b3 WHERE is_fit), hh AS (SELECT * FROM b3 WHERE NOT is_fit), {_fit_sql('ff')},
+g AS (SELECT *, 1 / (1 + exp(-z / (SELECT t FROM best_t))) AS score FROM ff), x AS (SELECT t, {_counts_sql('y = 1', 'score >= t')} FROM {_unnest(best, 't')} CROSS JOIN g GROUP BY ALL), w AS (SELECT *, {_prf_sql(digits=12)} FROM x),
+c AS (SELECT t AS threshold FROM w ORDER BY f1 DESC, t = 0.5 DESC, t LIMIT 1)
+SELECT round((SELECT t FROM best_t), 6) AS temperature, (SELECT threshold FROM c) AS threshold, count(*) FILTER (WHERE y = 1 AND 1 / (1 + exp(-z)) >= 0.5) AS tp_before, count(*) FILTER (WHERE y = 1 AND 1 / (1 + exp(-z / (SELECT t FROM best_t))) >= (SELECT threshold FROM c)) AS tp_after FROM hh""",
+    }
     sql["macro_f1"] = f"SELECT round(avg(f1), 6) AS macro_f1 FROM ({sql['per_label_metrics']})"
     routed = _counts_sql(_H, "f_mod OR moderation >= t")
     curve = f"WITH {_GOLD}, x AS (SELECT t, t_ord, {routed} FROM {_unnest(G.SINGLE_ROUTE_GRID, 't')} CROSS JOIN s GROUP BY ALL), w AS (SELECT t AS threshold, t_ord, tp AS caught, tp + fn AS total, tp + fp AS routed, round({_DIV('tp', 'tp + fn')}, 4) AS recall, round({_DIV('tp + fp', 'tp + fp + fn + tn')} * 100, 2) AS routed_pct FROM x)"

@@ -29,8 +29,8 @@ def read_rows(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     if suffix == ".json":
         whole = spark.read.text(str(path), wholetext=True).select(parse("value").alias("v"))
         rows = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.col("v")).otherwise(F.variant_get("v", "$.rows", "variant"))
-        whole.select(rows.alias("rows")).createOrReplaceTempView("__json_rows")
-        return spark.sql("SELECT pos AS ord, value AS row FROM __json_rows, LATERAL variant_explode(rows)").select(F.col("ord").cast("long"), "row")
+        each = whole.select(rows.alias("rows")).lateralJoin(spark.tvf.variant_explode(F.col("rows").outer()))
+        return each.select(F.col("pos").cast("long").alias("ord"), F.col("value").alias("row"))
     if suffix == ".csv":
         table = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(path))
         # All cells are strings; an empty cell is an empty string, so that a column that exists counts as given.
@@ -117,6 +117,31 @@ def comments(df: DataFrame, least: float = 0.5) -> DataFrame:
     return _adapter(df, _text(df, "comment_text"), _number(df, "toxicity") >= F.lit(least))
 
 
+# The held-out sets by their names, each with the adapter of its schema.
+HELD_OUT = {
+    "JasperLS/prompt-injections": injection_texts,
+    "JailbreakBench/JBB-Behaviors": behaviours,
+    "xTRam1/safe-guard-prompt-injection": labelled_texts,
+    "reshabhs/SPML_Chatbot_Prompt_Injection": chatbot_prompts,
+    "ucberkeley-dlab/measuring-hate-speech": hate_scores,
+    "civil_comments": comments,
+}
+
+
+def held_out(name: str, splits: dict[str, DataFrame]) -> DataFrame:
+    """(text, gold) of a held-out set from its splits: ``train`` if there is one, else the first; behaviours take both of theirs."""
+    if name not in HELD_OUT:
+        raise ValueError(f"unknown held-out set {name}")
+    if HELD_OUT[name] is behaviours:
+        return behaviours(splits.get("harmful"), splits.get("benign"))
+    return HELD_OUT[name](splits["train"] if "train" in splits else next(iter(splits.values())))
+
+
+def chosen_split(splits: dict[str, DataFrame], split: str | None = None) -> DataFrame:
+    """For sets without an adapter: the named split; else ``test`` if there is one, else the first."""
+    return splits[split or ("test" if "test" in splits else next(iter(splits)))]
+
+
 # Positive names of the bake-off, by task, and the fields it looks for, in order.
 POSITIVE = {
     "injection": ("injection", "inject", "prompt_injection", "jailbreak", "1", "true", "attack", "malicious", "unsafe"),

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from pathlib import Path
 from typing import Any
 
 import yaml
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +40,16 @@ def write_calibration(path: str | Path, temperature: float, threshold: float, be
     return write_report({"temperature": temperature, "threshold": threshold, "before": before, "after": after}, path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files on their way: under spark.checkpoint.dir, which all executors share; a local one only where all run in one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="safelens-")
+
+
 def write_results(df: DataFrame, path: str, kind: str = "parquet", partition_by: str | None = None) -> None:
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(partition_by) if partition_by else writer).format(kind).save(path)
