@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +28,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One is made only where none is configured (tests)."""
+    """The folder that driver and executors share. One is made only where none is configured and all run in one process (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="llm-shared-"))
     return spark.conf.get("spark.checkpoint.dir")
 
 
+#: Where tables stand that were written and not yet deleted, in order.
+_standing: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
@@ -37,15 +49,56 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    _standing.append(path)
     return out
 
 
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if at in _standing:
+        _standing.remove(at)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing will read again."""
     for table in tables:
-        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        path = jvm.org.apache.hadoop.fs.Path(table._written_at)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(table.sparkSession, table._written_at)
+
+
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete, at the end, the tables written meanwhile, apart from those put on the list."""
+    before, kept = set(_standing), []
+    yield kept
+    stay = before | {table._written_at for table in kept}
+    for at in [x for x in _standing if x not in stay]:
+        _delete(spark, at)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Python workers get batches of about this many bytes, whatever the rows measure, in what is run meanwhile."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are over: it does so only once the driver has collected them as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: workers stay for later tasks, and so would its memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def measured_bytes(df: DataFrame) -> int:

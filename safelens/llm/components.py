@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MOST_ROUNDS = 60
+#: Of a row in a broadcast table of hashes, at most.
+ROW_BYTES = 64
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,7 +22,18 @@ def connected_components(links: DataFrame, name: str) -> DataFrame:
 
     Each round hangs larger neighbours on the smallest neighbour, then the rest likewise; the number of rounds
     grows with the logarithm of the longest path. Every round is a written table, so lineage stays short.
+    The smallest neighbours are joined apart from the aggregation that finds them: broadcast where their number allows it, and
+    else in a join that AQE splits where a node has very many neighbours.
     """
+
+    def joined(sides: DataFrame, n: int) -> DataFrame:
+        least = sides.groupBy("u").agg(F.min("v").alias("m"))
+        if 2 * n * ROW_BYTES <= common.BROADCAST_BYTES:  # there are at most two nodes an edge
+            return sides.join(F.broadcast(least), "u")
+        tables.append(common.written(least, f"{name}-least"))
+        return sides.join(tables[-1], "u")
+
+    tables: list[DataFrame] = []
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = common.written(edges, f"{name}-edges")
     state = _state(edges)
@@ -29,14 +42,13 @@ def connected_components(links: DataFrame, name: str) -> DataFrame:
             break
         # Large star: every larger neighbour of u moves to the smallest of u and its neighbours.
         sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = sides.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = common.written(joined(sides, state[0]).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), f"{name}-large")
         # Small star: u and its smaller neighbours move to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        small = moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        before, edges = edges, common.written(small, f"{name}-edges")
-        common.discard(before)
+        pairs = joined(large, state[0])
+        moved = pairs.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        before, edges = edges, common.written(moved.filter("u <> v").distinct(), f"{name}-edges")
+        common.discard(before, large, *tables)
+        tables.clear()
         now = _state(edges)
         if now == state:
             break

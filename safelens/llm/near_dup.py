@@ -35,7 +35,8 @@ CHUNK = 5
 ERRORS = 1
 #: A pair at exactly the least similarity shares no key with at most this probability.
 MISS = 1e-6
-BLOCK = 128
+#: Members that are compared with each other at once, the bytes of their sets, and members of a star.
+BLOCK, BLOCK_BYTES, SPREAD = 64, 16 << 20, 128
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -126,17 +127,18 @@ def sketch(docs: DataFrame, width: int, places: int) -> DataFrame:
                 for text in batch.column(1):
                     shingles = shingle_set(text.as_py(), width, hashes)
                     n.append(len(shingles))
-                    classes.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
+                    classes.append(class_of(shingles.tobytes()))
                     signatures.append(signature(shingles, factors).tobytes() if len(shingles) else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(signatures, pa.binary())],
                     names=["doc_id", "n_shingles", "class_id", "signature"])
+        common.give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, class_id binary, signature binary")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and its whole shingle set."""
+    """node (the doc_id), class_id, and the whole shingle set: sorted 64-bit hashes, little-endian, one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -144,12 +146,16 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
             for batch in batches:
                 for i in range(0, batch.num_rows, 256):
                     part = batch.slice(i, 256)
-                    sets = [shingle_set(t.as_py(), width, hashes).view(np.int64) for t in part.column(1)]
-                    ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-                    values = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "shingles"])
+                    sets = [shingle_set(t.as_py(), width, hashes).astype("<u8").tobytes() for t in part.column(1)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([class_of(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["node", "class_id", "shingles"])
+        common.give_back()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, class_id binary, shingles binary")
+
+
+def class_of(shingles: bytes) -> bytes | None:
+    """A hash of a whole set; none for an empty one."""
+    return hashlib.blake2b(shingles, digest_size=16).digest() if shingles else None
 
 
 def _index(classes: DataFrame, chunk: int, errors: int) -> DataFrame:
@@ -182,23 +188,116 @@ def _differences(a: str, b: str, places: int):
     return of(F.col(a), F.col(b))
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, similarity: int, places: int, far: int, name: str) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets have 100 * intersection >= similarity * union."""
+class Members:
+    """The members of one block with their whole sets, and which components have met in it."""
+
+    def __init__(self, places: int, similarity: int, far: int) -> None:
+        self.similarity, self.far, self.n = similarity, far, 0
+        self.sets: list[np.ndarray] = []
+        self.nodes, self.sizes, self.parts = (np.empty(16, np.int64) for _ in range(3))
+        self.signatures = np.empty((16, places), "<u2")
+        self.joined: dict[int, int] = {}
+
+    def add(self, node: int, part: int, signature: np.ndarray, found: np.ndarray) -> None:
+        if self.n == len(self.nodes):
+            self.nodes, self.sizes, self.parts, self.signatures = (np.concatenate([x, x]) for x in (self.nodes, self.sizes, self.parts, self.signatures))
+        self.nodes[self.n], self.sizes[self.n], self.parts[self.n], self.signatures[self.n] = node, len(found), self.root(part), signature
+        self.sets.append(found)
+        self.n += 1
+
+    def root(self, part: int) -> int:
+        while part in self.joined:
+            part = self.joined[part]
+        return part
+
+    def links(self, node: int, part: int, signature: np.ndarray, found: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Links of one more document with the members, as many as it takes to join its component with theirs.
+
+        Sizes and signatures decide first; what they leave is counted on the whole sets.
+        """
+        part, n = self.root(part), self.n
+        sizes, parts = self.sizes[:n], self.parts[:n]
+        near = np.flatnonzero((parts != part) & (self.nodes[:n] != node) & (100 * np.minimum(sizes, len(found)) >= self.similarity * np.maximum(sizes, len(found))))
+        if not len(near):
+            return
+        differ = (self.signatures[near] != signature).sum(axis=1)
+        for m in near[np.argsort(differ, kind="stable")][: int((differ <= self.far).sum())]:
+            if parts[m] != part:
+                both = shared(self.sets[m], found)
+                if 100 * both >= self.similarity * (len(self.sets[m]) + len(found) - both):
+                    yield min(node, int(self.nodes[m])), max(node, int(self.nodes[m]))
+                    gone = int(parts[m])
+                    parts[parts == gone] = part
+                    self.joined[gone] = part
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted sets have in common."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+
+
+def _confirmed(asked: DataFrame, docs: DataFrame, classes: DataFrame, width: int, similarity: int, places: int, far: int, repeated: bool, name: str) -> DataFrame:
+    """Links (a, b) in groups (kind, id, i, j) of the rows asked for, which have besides: held, node, component.
+
+    The rows with ``held`` are kept together, with their sets; all others pass by one at a time and are compared
+    with them. In a group with i = j every row is compared with those before it. Sets are joined to these rows as binaries, sorted
+    by group, and stream through the workers in small batches, so a worker holds one block and one batch. ``repeated``: some doc_id
+    has several rows.
+    """
+    wanted = common.written(asked.select(F.col("node").alias("doc_id")).distinct(), f"{name}-ids")
+    texts = common.sized_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, ["doc_id"], "left_semi")
+    once = lambda rows, key: rows.dropDuplicates(key) if repeated else rows
+    with common.small_batches(docs.sparkSession):
+        sets = common.written(once(shingle_sets(texts, width), ["node", "class_id"]).join(classes.select("node", "class_id", "signature"), ["node", "class_id"]), f"{name}-sets")
+    by = ["kind", "id", "i", "j"]
+    rows = asked.select(*by, "held", "node", "component").join(sets, "node").select(*by, "held", "node", "component", "signature", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, members, found = None, None, []
+        for batch in batches:
+            *keys, held, node, component = (batch.column(k).to_pylist() for k in range(7))
+            for r, group in enumerate(zip(*keys, strict=True)):
+                if group != last:
+                    last, members = group, Members(places, similarity, far)
+                mine = (node[r], component[r], np.frombuffer(batch.column(7)[r].as_py(), "<u2"), np.frombuffer(batch.column(8)[r].as_py(), "<u8"))
+                if group[2] == group[3] or not held[r]:
+                    found += members.links(*mine)
+                if held[r]:
+                    members.add(*mine)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+                found = []
+        common.give_back()
+
+    with common.small_batches(docs.sparkSession):
+        links = common.written(rows.repartition(*by).sortWithinPartitions(*by, F.desc("held")).mapInArrow(run, "a long, b long"), f"{name}-links")
+    common.discard(wanted, sets)
+    return links
+
+
+def _star_links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, similarity: int, places: int, far: int, repeated: bool) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets have 100 * intersection >= similarity * union. A star's members are dealt to
+    groups of about SPREAD, each with the set of its centre a."""
     sig = classes.select("node", "signature")
     near = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
-    near = common.written(near.filter(_differences("sig_a", "sig_b", places) <= far).select("a", "b"), f"{name}-pairs")
-    wanted = common.written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
-    texts = common.sized_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, ["doc_id"], "left_semi")
-    sets = common.written(shingle_sets(texts, width), f"{name}-sets")
-    both = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    common_size = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - common_size
-    links = common.written(both.filter(100 * common_size >= similarity * union).select("a", "b").distinct(), f"{name}-links")
-    common.discard(near, wanted, sets)
+    near = common.written(near.filter(_differences("sig_a", "sig_b", places) <= far).select("a", "b").distinct(), "nd-pairs")
+    stars = common.written(near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("groups")), "nd-stars")
+    dealt = common.sized_join(near, stars, ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("i"))
+    row = lambda held, node: F.struct(F.lit(held).alias("held"), F.col(node).alias("node"), F.col(node).alias("component"))
+    group = [F.lit(0).alias("kind"), F.col("a").alias("id"), "i", F.lit(-1).alias("j")]
+    members = dealt.select(*group, row(False, "b").alias("x"))
+    centres = stars.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i")).select(*group, row(True, "a").alias("x"))
+    links = _confirmed(members.unionByName(centres).select("kind", "id", "i", "j", "x.*"), docs, classes, width, similarity, places, far, repeated, "nd-star")
+    common.discard(near, stars)
     return links
 
 
-def _rest_links(docs: DataFrame, index: DataFrame, grouped: DataFrame, classes: DataFrame, label: DataFrame, width: int, similarity: int, places: int, far: int) -> DataFrame:
+def _rest_links(docs: DataFrame, index: DataFrame, grouped: DataFrame, classes: DataFrame, label: DataFrame, width: int, similarity: int, places: int, far: int, repeated: bool) -> DataFrame:
     """Links between different components in groups of three and more, as many as it takes to join them."""
     members = index.join(grouped.filter("n > 2").select("key"), "key").join(label.toDF("node", "component"), "node", "left")
     members = members.withColumn("component", F.coalesce("component", "node"))
@@ -211,61 +310,24 @@ def _rest_links(docs: DataFrame, index: DataFrame, grouped: DataFrame, classes:
     load = lambda n: n * F.ceil(n / BLOCK)
     apart = members.groupBy("cluster", "key").agg(F.first("n").alias("n")).groupBy("cluster").agg(F.sum(load(F.col("n"))).alias("apart"))
     whole = members.select("cluster", "node").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    plan = whole.join(apart, "cluster").select("cluster", "size", (load(F.col("size")) <= F.col("apart")).alias("as_one"))
+    plan = whole.join(apart, "cluster").select("cluster", (load(F.col("size")) <= F.col("apart")).alias("as_one"))
     plan = common.written(plan, "nd-plan")
     planned = common.sized_join(members, plan, ["cluster"])
-    one = planned.filter("as_one").select(F.lit(0).alias("kind"), F.col("cluster").alias("id"), F.col("size").alias("n"), "node", "component").distinct()
-    many = planned.filter("NOT as_one").select(F.lit(1).alias("kind"), F.col("key").alias("id"), "n", "node", "component")
-    asked = common.written(one.unionByName(many), "nd-asked")
+    one = planned.filter("as_one").select(F.lit(0).alias("kind"), F.col("cluster").alias("id"), "node", "component").distinct()
+    many = planned.filter("NOT as_one").select(F.lit(1).alias("kind"), F.col("key").alias("id"), "node", "component")
+    asked = common.written(common.sized_join(one.unionByName(many), classes.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles")), ["node"]), "nd-asked")
     common.discard(members, plan)
-
-    wanted = common.written(asked.select(F.col("node").alias("doc_id")).distinct(), "nd-asked-ids")
-    texts = common.sized_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, ["doc_id"], "left_semi")
-    sets = common.written(shingle_sets(texts, width).join(classes.select(F.col("node").alias("doc_id"), "signature"), "doc_id").withColumnRenamed("doc_id", "node"), "nd-asked-sets")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = asked.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("kind", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component").join(sets, "node")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(group.signature), "<u2").reshape(-1, places)
-        node, part, block = group.node.to_numpy(), group.component.to_numpy().copy(), group.block.to_numpy()
-        sets = [np.asarray(x) for x in group.shingles]
-        size = np.array([len(x) for x in sets])
-        i, j = group.i.iat[0], group.j.iat[0]
-        left, right = np.nonzero(block == i)[0], np.nonzero(block == j)[0]
-        found = []
-        for k in left:
-            near = right[(part[right] != part[k]) & (100 * np.minimum(size[right], size[k]) >= similarity * np.maximum(size[right], size[k])) & (node[right] != node[k])]
-            if len(near):
-                differ = (sig[k] != sig[near]).sum(axis=1)
-                for m in near[np.argsort(differ, kind="stable")][: int((differ <= far).sum())]:
-                    if part[m] != part[k]:
-                        both = len(np.intersect1d(sets[k], sets[m], assume_unique=True))
-                        if 100 * both >= similarity * (size[k] + size[m] - both):
-                            found.append((min(node[k], node[m]), max(node[k], node[m])))
-                            part[part == part[m]] = part[k]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        last = None
-        for frame in frames:
-            for at, group in frame.groupby(["kind", "id", "i", "j"], sort=False):
-                if at != last and held:
-                    yield compare(pd.concat(held))
-                    held = []
-                held.append(group)
-                last = at
-        if held:
-            yield compare(pd.concat(held))
-
-    by = ["kind", "id", "i", "j"]
-    links = common.written(dealt.repartition(*by).sortWithinPartitions(*by).mapInPandas(stream, "a long, b long").distinct(), "nd-rest")
-    common.discard(asked, wanted, sets)
+    # Blocks hold about BLOCK members, or fewer where their texts are very long.
+    blocks = asked.groupBy("kind", "id").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = common.sized_join(asked, common.written(blocks, "nd-blocks"), ["kind", "id"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("kind", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("held"), "node", "component")
+    links = _confirmed(dealt, docs, classes, width, similarity, places, far, repeated, "nd-rest")
+    common.discard(asked)
     return links
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, carry_sizes: bool = True) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * |A and B| >= similarity * |A or B| for their sets of shingles of
@@ -280,20 +342,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, carry
     # Beyond the guaranteed radius pairs are still confirmed, up to a distance that links pass with the same probability.
     far = max(radius, quantile(places, 1 - similarity / 100, MISS))
 
-    sketched = common.written(sketch(docs, width, places), "nd-sketch")
+    with common.small_batches(docs.sparkSession):
+        sketched = common.written(sketch(docs, width, places), "nd-sketch")
     usable = sketched.filter("class_id IS NOT NULL AND doc_id IS NOT NULL")
-    classes = common.written(usable.groupBy("class_id").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature")), "nd-classes")
+    classes = common.written(usable.groupBy("class_id").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles")), "nd-classes")
+    repeated = usable.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
     index = common.written(_index(classes, CHUNK, ERRORS), "nd-index")
     grouped = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
     grouped = common.written(grouped, "nd-groups")
     pairs = index.join(grouped, "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    stars = _confirm(pairs, docs, classes, width, similarity, places, far, "nd-star")
+    stars = _star_links(pairs, docs, classes, width, similarity, places, far, repeated)
     # A doc_id given to several classes holds them together.
     held = usable.select("class_id", "doc_id").join(classes.select("class_id", "node"), "class_id").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     first = connected_components(stars, "nd-first")
-    others = _rest_links(docs, index, grouped, classes, first, width, similarity, places, far)
+    others = _rest_links(docs, index, grouped, classes, first, width, similarity, places, far, repeated)
     links = first.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(others)
-    if usable.groupBy("doc_id").agg(F.count_distinct("class_id").alias("n")).filter("n > 1").limit(1).count():
+    if repeated:
         links = links.unionByName(held)
     label = connected_components(links, "nd-last")
     common.discard(index, grouped, stars, first, others)
