@@ -3,11 +3,12 @@
 Two bigram models with one vocabulary, one order and one smoothing differ in their counts only: the target's come
 from the documents marked as target, the background's from all others, and the larger side's are scaled down to
 the smaller's total, so that neither wins by its size. Every distinct word and word pair of the corpus has counts of its
-own, under a key of 63 bits. Documents are taken in lots; a lot sends its distinct keys, cut into slices by key, to the
+own, under a key that has 20 bits more than it takes to number the corpus's bytes. Documents are taken in lots; a lot sends its distinct keys, cut into slices by key, to the
 tasks that count those slices over the whole corpus, and each slice goes back to its lot with the corpus's counts. So tables grow with the
 corpus, and no task and no driver holds one whole. Smoothing backs off by
 Dirichlet priors to unigrams and from there to the words of both corpora together. A document's own
-counts are taken out of the model that holds them before it is scored, so none is judged by a copy of itself.
+counts are taken out of the model that holds them before it is scored, so none is judged by itself. Other documents with the same text
+are part of the corpus and stay in, so a document that occurs several times scores as one that its model knows.
 """
 
 from __future__ import annotations
@@ -32,18 +33,23 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _ONE = np.uint64(1)
 
 
-def word_ids(text: bytes | None, hashes: dict) -> np.ndarray:
+def bits_for(size: int) -> int:
+    """Bits of a key in a corpus of ``size`` bytes: fewer than one key in a million shares its bits with another."""
+    return min(64, 20 + int(size).bit_length())
+
+
+def word_ids(text: bytes | None, hashes: dict, bits: int = 64) -> np.ndarray:
     """Keys of the words, A-Z lower-cased, with the start (0) before them. Keys of words are even, of pairs odd."""
     words = text.lower().split() if text else []
     ids = np.zeros(len(words) + 1, np.uint64)
-    ids[1:] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)) & ~_ONE
+    ids[1:] = (np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)) >> np.uint64(64 - bits)) & ~_ONE
     return ids
 
 
-def pair_ids(ids: np.ndarray) -> np.ndarray:
+def pair_ids(ids: np.ndarray, bits: int = 64) -> np.ndarray:
     """Keys of all neighbours."""
     with np.errstate(over="ignore"):
-        return mix(mix(ids[:-1] + _M) * _M + ids[1:]) | _ONE
+        return (mix(mix(ids[:-1] + _M) * _M + ids[1:]) >> np.uint64(64 - bits)) | _ONE
 
 
 def within(lengths: np.ndarray) -> np.ndarray:
@@ -82,7 +88,7 @@ def unpacked_keys(payload: bytes) -> np.ndarray:
     return np.cumsum(unpacked(payload).view(np.uint64), dtype=np.uint64)
 
 
-def lots(rows: DataFrame) -> DataFrame:
+def lots(rows: DataFrame, bits: int = 64) -> DataFrame:
     """Documents by lots: their doc_id, side and length, the lot's distinct words, and the word of each place by its number."""
     kinds = {"lot": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sides": pa.binary(), "lengths": pa.binary(), "words": pa.binary(), "places": pa.binary()}
 
@@ -97,7 +103,7 @@ def lots(rows: DataFrame) -> DataFrame:
         docs, sides, texts, n = [], [], [], 0
         for batch in batches:
             for doc, text, side in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                ids = word_ids(text.as_py(), hashes)
+                ids = word_ids(text.as_py(), hashes, bits)
                 docs.append(doc)
                 sides.append(int(side))
                 texts.append(ids)
@@ -107,11 +113,12 @@ def lots(rows: DataFrame) -> DataFrame:
                     docs, sides, texts, n, number = [], [], [], 0, number + 1
         if docs:
             yield out(number, docs, sides, texts)
+        common.give_back()
 
     return rows.mapInArrow(run, "lot long, doc_ids array<long>, sides binary, lengths binary, words binary, places binary")
 
 
-def key_slices(parts: DataFrame, slices: int) -> DataFrame:
+def key_slices(parts: DataFrame, slices: int, bits: int = 64) -> DataFrame:
     """Every lot's distinct keys of words and pairs, cut into slices, with the lot's counts (background, target)."""
     kinds = {"lot": pa.int64(), "slice": pa.int32(), "keys": pa.binary(), "first": pa.binary(), "second": pa.binary()}
 
@@ -122,24 +129,25 @@ def key_slices(parts: DataFrame, slices: int) -> DataFrame:
                 # A text without words gives no counts.
                 of = np.repeat(np.where(lengths > 1, sides, 2), lengths)
                 inner = within(lengths)
-                pairs, back = np.unique(pair_ids(words[places])[inner], return_inverse=True)
+                pairs, back = np.unique(pair_ids(words[places], bits)[inner], return_inverse=True)
                 side = of[1:][inner]
                 keys = np.concatenate([words, pairs])
                 order = np.argsort(keys, kind="stable")
                 keys = keys[order]
                 counts = [np.concatenate([np.bincount(places[of == s], minlength=len(words)), np.bincount(back[side == s], minlength=len(pairs))])[order] for s in (0, 1)]
-                ends = np.searchsorted(slice_of(keys, slices), np.arange(slices + 1, dtype=np.uint64))
+                ends = np.searchsorted(slice_of(keys, slices, bits), np.arange(slices + 1, dtype=np.uint64))
                 for s in np.flatnonzero(np.diff(ends)):
                     cut = slice(ends[s], ends[s + 1])
                     row = [lot, int(s), packed_keys(keys[cut]), packed(counts[0][cut]), packed(counts[1][cut])]
                     yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds.values(), strict=True)], names=list(kinds))
+        common.give_back()
 
     return parts.select("lot", "sides", "lengths", "words", "places").mapInArrow(run, "lot long, slice int, keys binary, first binary, second binary")
 
 
-def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
+def slice_of(keys: np.ndarray, slices: int, bits: int = 64) -> np.ndarray:
     """Slices are equal ranges of the keys, which are spread evenly."""
-    return ((keys >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
+    return (((keys << np.uint64(64 - bits)) >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
 
 
 def counted(sliced: DataFrame) -> DataFrame:
@@ -208,15 +216,17 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     document the target's model is its prior. An empty table gives no rows; other columns are ignored.
     """
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("binary")).cast("long"))).first()[0] or 0
-    parts = common.written(lots(marked(docs, target)), "lm-lots")
-    counts = common.written(counted(key_slices(parts, common.blocks_for(size, SLICE_BYTES))), "lm-counts")
+    bits = bits_for(size)
+    parts = common.written(lots(marked(docs, target), bits), "lm-lots")
+    counts = common.written(counted(key_slices(parts, common.blocks_for(size, SLICE_BYTES), bits)), "lm-counts")
+    common.release(docs.sparkSession)
     of = counts.filter("lot = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "of_background", "of_target")]).first()
     vocabulary, totals = max(WORDS, of[0]), np.array([of[1], of[2]], np.float64)
     kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "of_target": pa.bool_(), "target_loss": pa.float64(), "background_loss": pa.float64()}
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         sides, lengths, words, places = (f(left[c][0].as_py()) for f, c in ((unpacked, "sides"), (unpacked, "lengths"), (unpacked_keys, "words"), (unpacked, "places")))
-        distinct, pairs = np.unique(pair_ids(words[places])[within(lengths)], return_inverse=True)
+        distinct, pairs = np.unique(pair_ids(words[places], bits)[within(lengths)], return_inverse=True)
         order = np.argsort(right["slice"].to_numpy())
         table = np.array([np.concatenate([unpacked(right[c][int(k)].as_py()) for k in order]) for c in ("first", "second")])
         at = np.empty(table.shape[1], np.int64)
