@@ -1,8 +1,9 @@
 """Quality classifier: random Fourier features, ridge regression by normal equations, isotonic calibration.
 
 Statistics of the whole text are standardised and mapped by random cosines whose inner products approximate
-a Gaussian kernel. Every partition sums its part of the normal equations; the sums are added in a tree and
-solved once. Raw scores are counted on a fixed grid and calibrated by pooling adjacent violators.
+a Gaussian kernel. Every partition sums its part of the normal equations, fold by fold; the sums are added in a tree and
+solved for all rows, and for all but each fold. Every labelled row is scored by the solution that hasn't seen its fold; these raw scores
+are counted on a fixed grid and calibrated by pooling adjacent violators. Rows with equal statistics, so all copies, share a fold.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from . import common
 
 COSINES = 256
 RIDGE = 1e-3
+FOLDS = 3
 SEED = 20
 GRID = 768
 LOW, HIGH = -1.0, 2.0
@@ -139,24 +141,25 @@ def _matrix(frame: pd.DataFrame) -> np.ndarray:
 
 
 def _partition_sums(rows: DataFrame, sums, name: str) -> np.ndarray | None:
-    """Sum over all rows (stats, y) of ``sums(stats, y)``, a vector, partition by partition."""
+    """Sum over all rows (stats, y, fold) of ``sums(stats, y, fold)``, a vector, partition by partition."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for frame in frames:
             if len(frame):
-                more = sums(_matrix(frame), frame.y.to_numpy(np.float64))
+                more = sums(_matrix(frame), frame.y.to_numpy(np.float64), frame.fold.to_numpy())
                 total = more if total is None else total + more
         if total is not None:
             yield pd.DataFrame({"chunk": [0], "part": [TaskContext.get().partitionId()], "payload": [total.tobytes()]})
 
-    return common.summed(rows.select("stats", "y").mapInPandas(run, "chunk int, part long, payload binary"), name).get(0)
+    return common.summed(rows.select("stats", "y", "fold").mapInPandas(run, "chunk int, part long, payload binary"), name).get(0)
 
 
-def fit(rows: DataFrame, cosines: int = COSINES, ridge: float = RIDGE, seed: int = SEED) -> Model:
+def fit(rows: DataFrame, cosines: int = COSINES, ridge: float = RIDGE, seed: int = SEED, folds: int = FOLDS) -> Model:
     """From (stats, y) over all labelled rows. With no rows, or one class only, the score is constant."""
     d = len(STATISTICS)
-    moments = _partition_sums(rows, lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(0), (x * x).sum(0)]), "q-moments")
+    rows = rows.select("stats", "y", F.pmod(F.xxhash64("stats"), F.lit(folds)).cast("int").alias("fold"))
+    moments = _partition_sums(rows, lambda x, y, _: np.concatenate([[len(y), y.sum()], x.sum(0), (x * x).sum(0)]), "q-moments")
     n, good = (0, 0) if moments is None else moments[:2]
     if not n or good in (0, n):
         return Model(*[np.empty(0)] * 7, constant=0.5 if not n else float(good / n))
@@ -166,16 +169,23 @@ def fit(rows: DataFrame, cosines: int = COSINES, ridge: float = RIDGE, seed: int
     frequencies, phases = rng.normal(size=(d, cosines)) / np.sqrt(2 * d), rng.uniform(0, 2 * np.pi, cosines)
     k = cosines + 1
 
-    def normal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def normal(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
         f = fourier(x, mean, spread, frequencies, phases)
-        return np.concatenate([(f.T @ f).ravel(), f.T @ y])
+        parts = [(f[fold == i], y[fold == i]) for i in range(folds)]
+        return np.concatenate([np.concatenate([(g.T @ g).ravel(), g.T @ z, [len(z)]]) for g, z in parts])
 
-    sums = _partition_sums(rows, normal, "q-normal")
-    a = sums[: k * k].reshape(k, k) + np.diag([0.0] + [ridge * n / k + 1e-6] * cosines)
-    weights = np.linalg.solve(a, sums[k * k :])
+    sums = _partition_sums(rows, normal, "q-normal").reshape(folds, k * k + k + 1)
 
-    def histogram(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        raw = fourier(x, mean, spread, frequencies, phases) @ weights
+    def solved(part: np.ndarray) -> np.ndarray:
+        a = part[: k * k].reshape(k, k) + np.diag([0.0] + [ridge * part[-1] / k + 1e-6] * cosines)
+        a[0, 0] += 1e-9  # a fold may hold every row
+        return np.linalg.solve(a, part[k * k : -1])
+
+    weights = solved(sums.sum(axis=0))
+    unseen = np.stack([solved(sums.sum(axis=0) - sums[i]) for i in range(folds)], axis=1)
+
+    def histogram(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        raw = (fourier(x, mean, spread, frequencies, phases) @ unseen)[np.arange(len(x)), fold]
         at = np.clip(((raw - LOW) / (HIGH - LOW) * GRID).astype(int), 0, GRID - 1)
         return np.concatenate([np.bincount(at, minlength=GRID), np.bincount(at, y, GRID), np.bincount(at, raw, GRID)]).astype(np.float64)
 
