@@ -4,10 +4,11 @@ Every long token outside the base spans is read in the encoding that its charact
 sequence of symbol values; one that fits no encoding is cut at its separators first. Three tests are made for that encoding: a chi-squared test of uniform use of
 the alphabet, a runs test about the middle of the alphabet, and a test of serial correlation. A token that
 is too regular for a random one (runs, correlation, or nothing but repeats of its beginning) is dropped. For the others the question is how likely
-ordinary writing of the same length is to use its alphabet as evenly: under writing with a given index of coincidence
-the chi-squared statistic has a mean and a spread that grow with the length, and the lower tail is the p-value.
-The Benjamini-Hochberg procedure over all candidate tokens of the corpus bounds the share of false discoveries;
-a short token has a wide null, so it must be more even than chance could make it.
+ordinary writing of the same length is to look so random. Each test gives a p-value for it: writing with a given index of coincidence
+has a chi-squared statistic whose mean and spread grow with the length, and its runs and neighbours depart from chance by a
+share that the length makes visible. The three are combined as weighted normal scores, each weighing as much as the length and the alphabet
+let it tell ordinary from random. The Benjamini-Hochberg procedure over all candidate tokens of the corpus bounds the share of false
+discoveries; a short token has a wide null, so it must look more random than chance could make it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,8 @@ FALSE_DISCOVERIES = 0.01
 REGULAR = 0.001
 #: Index of coincidence of ordinary writing: sum of squared letter shares, the lowest of the larger European languages.
 COINCIDENCE = 0.065
+#: Least share by which runs and neighbouring symbols of ordinary writing depart from chance; their z-scores are this times the root of the length.
+DEPARTURE = 0.1
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ENCODINGS = (
     ("decimal", _DIGITS),
@@ -95,12 +100,20 @@ def upper_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def ordinary_tail(chi: float, n: int, size: int) -> float:
-    """Probability that ordinary writing of n symbols uses ``size`` of them so evenly."""
+def ordinary_scores(chi: float, runs: float, serial: float, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Normal scores of the three tests under ordinary writing of n symbols, high if it looks random, and their weights:
+    how far apart, in spreads of ordinary writing, ordinary and random means lie."""
     excess = max(size * COINCIDENCE - 1, 0.2)
-    mean = size - 1 + (n - 1) * excess
     spread = math.sqrt(2 * (size - 1) + 4 * (n - 1) * excess)
-    return upper_tail((mean - chi) / spread)
+    apart = DEPARTURE * math.sqrt(n)
+    scores = [(size - 1 + (n - 1) * excess - chi) / spread, apart - abs(runs), apart - abs(serial)]
+    return np.array(scores), np.array([(n - 1) * excess / spread, apart, apart])
+
+
+def ordinary_tail(chi: float, runs: float, serial: float, n: int, size: int) -> float:
+    """Probability that ordinary writing of n symbols looks so random in all three tests together (weighted Stouffer)."""
+    scores, weights = ordinary_scores(chi, runs, serial, n, size)
+    return upper_tail(float(scores @ weights / np.linalg.norm(weights)))
 
 
 def p_value(token: str) -> tuple[str, float] | None:
@@ -116,7 +129,7 @@ def p_value(token: str) -> tuple[str, float] | None:
     chi, runs, serial = battery(values, size)
     if 2 * upper_tail(abs(runs)) < REGULAR / 2 or 2 * upper_tail(abs(serial)) < REGULAR / 2:
         return None
-    return name, ordinary_tail(chi, len(values), size)
+    return name, ordinary_tail(chi, runs, serial, len(values), size)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -149,8 +162,11 @@ def readings(token: str) -> list[tuple[int, int, float]]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
     """(start, end, p-value) of tokens that overlap no base span and pass the tests of regularity."""
     out = []
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max))
     for m in TOKEN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in base):
+        before = bisect_left(starts, m.end())  # base spans that start before the token ends
+        if not before or reach[before - 1] <= m.start():
             out += [(m.start() + start, m.start() + end, p) for start, end, p in readings(m[0])]
     return out
 
