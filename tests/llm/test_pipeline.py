@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from test_small_ops import slow_near
+from test_small_ops import ODD, slow_near
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +53,31 @@ def test_every_stage(spark, tables):
     for r in docs.groupBy("shard").agg(F.collect_list("slot").alias("slots")).collect():
         assert sorted(r.slots) == list(range(len(r.slots)))
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, at).collect()) == kept["jump_sharding"]
+
+
+def test_stages_take_odd_rows(spark, tables, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns, through every stage; and an empty table."""
+    import corpus_pipeline
+
+    at, rows, kind = tables
+    some = [(d, t, "en", s, 1, 7, 7, 0.5, "x") for d, t, _, s, _ in rows if kind[d] == "clean"][:40]
+    odd = [(1000 + i if i is not None else None, t, "en", s, 1, 7, 7, 0.5, "x") for i, t, s in ODD]
+    docs = spark.createDataFrame(some + odd, "doc_id long, text string, lang string, source string, n_chars long, shard int, kept int, score double, component_id string")
+    columns, before = docs.columns, None
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), at)
+        assert empty.count() == 0
+        docs = stage(spark, docs, at).cache()
+        got = [(r.doc_id, r.text) for r in docs.collect()]
+        if name == corpus_pipeline.STAGES[-1][0]:
+            assert set(docs.columns) == {*columns, "slot"} and sorted(map(str, got)) == sorted(map(str, before))
+        else:
+            assert docs.columns == columns
+        if name == "minhash_near_dedup":
+            ids = [i for i, _ in got if i is not None]
+            assert len(ids) == len(set(ids)) and got.count((None, "one")) == 1
+        if name == "source_mixing":
+            assert all((t or "").split() for _, t in got) and {i for i, _ in got} <= {i for i, _ in before}
+        elif name == "benchmark_decontamination":
+            assert sorted(map(str, got)) == sorted(map(str, before))  # none of them holds an item
+        before = got
