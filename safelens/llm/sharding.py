@@ -68,9 +68,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rows_per_block: int =
     null key; repeated rows each get a slot; an empty table gives no rows. Other columns are ignored.
     """
     blocks = common.blocks_for(docs.count(), rows_per_block * shards)
-    block = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(blocks)).cast("int")
+    # Rows without a doc_id share a shard, not a block: only where there are any does counting read texts.
+    unnamed = blocks > 1 and docs.filter("doc_id IS NULL").limit(1).count() > 0
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(17)) if unnamed else F.lit(17)
+    block = F.pmod(F.xxhash64("doc_id", spread), F.lit(blocks)).cast("int")
     shard = shard_column(F.col("doc_id"), shards)
-    keys = docs.select("doc_id").select(shard.alias("__shard"), block.alias("__block"))
+    keys = docs.select("doc_id", *(["text"] if unnamed else [])).select(shard.alias("__shard"), block.alias("__block"))
     bare = docs.drop("__shard", "__block", "__crc")
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     checked = bare.select(*([F.col(c) for c in bare.columns] if carry else ["doc_id"]), F.octet_length(text).cast("long").alias("__bytes"), F.crc32(text).alias("__crc"))
