@@ -12,27 +12,38 @@ from safelens.llm import common, decontaminate, mixing, near_dup, quality, shard
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go: those of a score under 0.25, as losing a good one costs more than keeping junk."""
+    """Documents that the classifier rejects go: those of a score under 0.25, as losing a good one costs more than keeping junk.
+
+    Null and empty texts are scored by their statistics, all zero. Rows of one doc_id stay or go together; those without one stay.
+    """
     return quality.good_documents(docs, common.read(spark, sf_dir, "labels"), least=0.25)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, similarity 0.8) the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates (five words, similarity 0.8) the document with the smallest doc_id stays.
+
+    Texts that are null, empty or without words are no duplicates of each other; of rows that repeat a doc_id one stays; rows
+    without a doc_id stay.
+    """
     return near_dup.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts hold none; rows without a doc_id stay."""
     return decontaminate.clean_documents(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them: never, once or twice."""
+    """Documents as often as their source's target takes them: never, once or twice.
+
+    A null source is a source. A text that is null, empty or without words has nothing that a mix could take, so it goes. Repeated rows
+    stand for themselves.
+    """
     return mixing.mixed_documents(docs)
 
 
 def jump_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and their slot in it."""
+    """All documents with their shard and their slot in it. Rows without a doc_id share a shard; repeated rows have slots of their own."""
     return sharding.shard_documents(docs, carry=True)
 
 
@@ -49,8 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. What a stage has written on its way is deleted once its result stands."""
     docs = common.read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with common.swept(spark) as kept:
+            before, docs = docs, common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+            kept.append(docs)
+        if hasattr(before, "_written_at"):
+            common.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
