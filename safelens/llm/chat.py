@@ -68,18 +68,24 @@ def borrowed_pairs(turns: DataFrame, group: int = GROUP) -> DataFrame:
     """(pair_id, chosen, rejected) from conversations without judgements.
 
     Chosen is a conversation up to its last assistant turn; rejected is the same with the last assistant turn of the next
-    conversation, by conv_id, of its group; the last of a group borrows from the first. Conversations without an
-    assistant turn give no pair, nor does one that is alone or would borrow its own words.
+    conversation, by conv_id, of its group that ends in other words; after the last of a group comes the first. Conversations
+    without an assistant turn give no pair, nor do those of a group that all end in the same words. Turns without a
+    conv_id belong to no conversation.
     """
+    turns = turns.filter("conv_id IS NOT NULL")
     whole = conversations(turns)
     last = F.array_max(F.transform(F.sequence(F.lit(1), F.size("turns")), lambda i: F.when(F.element_at("turns", i)["role"] == "assistant", i)))
     cut = whole.withColumn("last", last).filter("last IS NOT NULL").select("conv_id", F.slice("turns", F.lit(1), F.col("last") - 1).alias("before"), F.element_at("turns", F.col("last")).alias("reply"))
-    deal = F.substring(F.md5(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))), 1, 4)
+    deal = F.substring(F.md5(F.col("conv_id").cast("string")), 1, 8)
     groups = common.blocks_for(turns.select("conv_id").distinct().count(), group)
-    cut = cut.withColumn("deal", F.pmod(F.conv(deal, 16, 10).cast("int"), F.lit(groups)))
-    order = Window.partitionBy("deal").orderBy("conv_id")
-    other = F.coalesce(F.lead("reply").over(order), F.first("reply").over(order))
-    cut = cut.withColumn("other", other).filter("other <> reply")
+    cut = cut.withColumn("deal", F.pmod(F.conv(deal, 16, 10).cast("long"), F.lit(groups)))
+    back = Window.partitionBy("deal").orderBy(F.desc("conv_id"))
+    # From the end: the reply after each conversation, where it is another one, and the last such reply seen so far.
+    cut = cut.withColumn("after", F.lag("reply").over(back)).withColumn("turned", F.when(F.col("after") != F.col("reply"), F.col("after")))
+    cut = cut.withColumn("other", F.last("turned", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    start = Window.partitionBy("deal").orderBy("conv_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first, second = F.first("reply").over(start), F.first("other").over(start)  # how the group begins, and what comes next there
+    cut = cut.withColumn("other", F.coalesce("other", F.when(first != F.col("reply"), first), second)).filter("other IS NOT NULL")
     return cut.select(F.col("conv_id").alias("pair_id"), F.concat("before", F.array("reply")).alias("chosen"), F.concat("before", F.array("other")).alias("rejected"))
 
 
@@ -92,11 +98,11 @@ def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Both sides agree up to the borrowed reply, so the common prefix is what comes before it.
 ORACLE_SQL = f"""
-WITH c AS (SELECT conv_id, list({{'n': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns FROM conversations GROUP BY conv_id),
+WITH c AS (SELECT conv_id, list({{'n': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
 l AS (SELECT *, list_max([CASE WHEN turns[i].role = 'assistant' THEN i END FOR i IN range(1, len(turns) + 1)]) AS last FROM c),
-d AS (SELECT conv_id, turns[1:last - 1] AS before, turns[last].text AS reply, ('0x' || substr(md5(coalesce(conv_id::VARCHAR, '')), 1, 4))::BIGINT % (SELECT greatest(1, ceil(count(*) / {GROUP}))::BIGINT FROM c) AS deal FROM l WHERE last IS NOT NULL),
-e AS (SELECT *, coalesce(lead(reply) OVER w, first_value(reply) OVER w) AS other FROM d WINDOW w AS (PARTITION BY deal ORDER BY conv_id NULLS FIRST))
+d AS (SELECT conv_id, turns[1:last - 1] AS before, turns[last].text AS reply, ('0x' || substr(md5(conv_id::VARCHAR), 1, 8))::BIGINT % (SELECT greatest(1, ceil(count(*) / {GROUP}))::BIGINT FROM c) AS deal FROM l WHERE last IS NOT NULL),
+e AS (SELECT a.conv_id, arg_min(b.reply, (b.conv_id <= a.conv_id, b.conv_id)) AS other FROM d a JOIN d b ON a.deal = b.deal AND a.reply <> b.reply GROUP BY a.conv_id)
 SELECT conv_id AS pair_id, len(before)::INT AS prompt_turns, coalesce(array_to_string(['<|' || t.role || '|>' || chr(10) || t.text || chr(10) FOR t IN before], ''), '') AS prompt,
 '<|assistant|>' || chr(10) || reply || chr(10) AS chosen, '14:' || (15 + length(reply)) AS chosen_spans, '<|assistant|>' || chr(10) || other || chr(10) AS rejected, '14:' || (15 + length(other)) AS rejected_spans
-FROM e WHERE other <> reply
+FROM d JOIN e USING (conv_id)
 """

@@ -402,6 +402,24 @@ def test_borrowed_pairs(spark):
     turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (2, 1, "assistant", "y"), (2, 0, "user", "x"), (3, 0, "user", "only"), (None, None, None, None), (4, 0, "assistant", "b"), (4, 0, "assistant", "b")]
     df = spark.createDataFrame([(*t, "z") for t in turns], "conv_id long, turn long, role string, text string, reply string")
     got = {r.pair_id: r for r in chat.borrowed_pairs(df).collect()}
-    assert set(got) == {1, 2}  # 4 would borrow its own words
+    assert set(got) == {1, 2, 4}
+    assert tuple(got[4].rejected[-1]) == ("assistant", "y")  # past 1, which ends in the same words
     assert [tuple(t) for t in got[1].chosen] == [("user", "a"), ("assistant", "b")] and [tuple(t) for t in got[1].rejected] == [("user", "a"), ("assistant", "y")]
     assert chat.borrowed_pairs(df.limit(0)).count() == 0
+    assert chat.borrowed_pairs(df.filter("conv_id IN (1, 4)")).count() == 0  # one reply only
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_next_different_reply_is_borrowed(spark, seed):
+    rng = random.Random(seed)
+    replies = {c: rng.choice("aaab" if seed else "abc") for c in range(40)}
+    df = spark.createDataFrame([(c, 0, "assistant", r) for c, r in replies.items()] + [(None, 0, "assistant", "null")], "conv_id long, turn long, role string, text string")
+    got = {r.pair_id: r.rejected[0].text for r in chat.borrowed_pairs(df, group=100).collect()}
+    assert got == {c: next(replies[(c + k) % 40] for k in range(1, 40) if replies[(c + k) % 40] != r) for c, r in replies.items()}
+
+
+def test_very_long_turns_are_formatted_whole(spark):
+    long = "é " * 200_000
+    pair = spark.createDataFrame([(1, [("user", long), ("assistant", long)], [("user", long), ("assistant", "no")])], f"pair_id int, chosen {chat.TURNS}, rejected {chat.TURNS}")
+    row = chat.format_preferences(pair).first()
+    assert row.prompt == f"<|user|>\n{long}\n" and row.chosen == f"<|assistant|>\n{long}\n" and tuple(row.chosen_spans[0]) == (14, 15 + len(long))
