@@ -170,6 +170,7 @@ def _pick(raw: Column, names: tuple[str, ...], parts: tuple[str, ...]) -> Column
 
 def positive_score(raw: Column, adapter: str) -> Column:
     """P(positive) of a raw output by a named adapter of the bake-off."""
+    # The names that each adapter looks for, exact ones first, then parts of names.
     if adapter == "injection":
         return _pick(raw, ("injection", "label_1"), ("inject", "malicious", "attack", "jailbreak"))
     if adapter == "two_heads":
