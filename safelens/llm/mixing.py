@@ -1,17 +1,20 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source gets a target number of words. The target over the source's size is the number
-of copies expected of each of its documents: the whole part is certain, and the fraction is the
-inclusion probability of one copy more. For that copy documents are ranked by the odds of a random
-number over the odds of inclusion, and the best ranked are taken until the words left are spent,
-a sample of fixed size with unequal probabilities. Everything is DataFrame operations.
-
-The cut is found from a histogram of ranks, and only the one bin that holds it is ordered, so a
-source with a third of all rows is never sorted in one task.
+Every source gets a target number of words. The whole part of the target over the source's size is how
+many copies of each of its documents are certain. The words left are spent on one copy more of some, with
+inclusion probabilities in proportion to their size; where that would pass 1 the copy is certain too, and the others share
+what is left. For that copy documents are ranked by the odds of a random number over the odds of inclusion, and the best
+ranked are taken until the words left are spent, a sample of fixed size with unequal probabilities.
+Everything is DataFrame operations.
+
+The cut is found from histograms of ranks, each of the one bin of the last that holds it, and only the last such bin is
+ordered. So no task sorts a source with a third of all rows, nor a histogram that grows with the documents.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +23,8 @@ from . import common
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2.0
-BINS = 4096
+#: Bins into which ranks are cut, again and again, until a bin has about BIN_ROWS documents.
+BINS, BIN_ROWS = 256, 256
 SEED = "pareto-7"
 
 
@@ -51,73 +55,147 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 
 def _rank(u: Column, inclusion: Column) -> Column:
-    """Pareto's ranking number, odds of u over odds of inclusion, brought into (0, 1)."""
-    odds = (u / (1 - u)) / (inclusion / (1 - inclusion))
-    return odds / (1 + odds)
+    """Pareto's ranking number, odds of u over odds of inclusion, brought into [0, 1): 0 where inclusion is certain."""
+    over, under = u * (1 - inclusion), (1 - u) * inclusion
+    return over / (over + under)
 
 
-def pareto_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, bins: int = BINS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
-    """(rows, plan). rows: doc_id, size, source_size, target, taken, copies and text's digest, one per document.
-    plan: per source what decides: source, source_size, target, whole, inclusion and the cut.
+def inclusions(counts: DataFrame) -> DataFrame:
+    """From (key, size, n, left_words), how many documents of a source have a size: key, factor and largest.
 
-    Null or empty texts have size 0 and take nothing. A null source is a source. Null doc_ids are told
-    apart by their texts. Repeated rows are numbered, so each stands for itself. An empty table gives no
-    rows. Columns other than doc_id, text and source are ignored.
+    Documents of up to ``largest`` words are included with probability ``factor`` times their size, larger ones with certainty, so that
+    the words expected are those left. The largest size for which no probability passes 1 decides.
     """
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest"))
-    twin = Window.partitionBy("doc_id", "source", "digest").orderBy("size")
-    slim = common.written(slim.withColumn("twin", F.row_number().over(twin)), "mix-sizes")
-    sizes = slim.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    down = Window.partitionBy("key").orderBy(F.desc("size"))
+    words, squares = F.col("size") * F.col("n"), F.col("size").cast("decimal(38,0)") * F.col("size") * F.col("n")
+    summed = counts.filter("size > 0").select("key", "size", "left_words", words.alias("words"), squares.cast("decimal(38,0)").alias("squares"))
+    larger = down.rowsBetween(Window.unboundedPreceding, -1)
+    above = F.coalesce(F.sum("words").over(larger), F.lit(0))
+    below = F.sum("squares").over(Window.partitionBy("key")) - F.coalesce(F.sum("squares").over(larger), F.lit(0))
+    tried = summed.select("key", "size", (F.greatest(F.lit(0.0), F.col("left_words") - above) / below.cast("double")).alias("factor"))
+    return tried.filter(F.col("factor") * F.col("size") <= 1).groupBy("key").agg(F.max(F.struct("size", "factor")).alias("c")).select("key", F.col("c.factor").alias("factor"), F.col("c.size").alias("largest"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with __key (of the source), __id, __digest and __size. Neither key is ever null."""
+    return docs.withColumns({
+        "__key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
+        "__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+        "__digest": F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")),
+        "__size": word_count(F.col("text")),
+    })
+
+
+@dataclass
+class Mix:
+    """What decides: the groups of equal rows, the plan of each source, and the choice among the few documents at its cut."""
+
+    groups: DataFrame
+    plan: DataFrame
+    bins: int
+    seed: str
+    near: DataFrame | None = None
+
+    def ranked(self, rows: DataFrame) -> DataFrame:
+        """Rows (__key, __id, __digest, __size, __twin) with the plan of their source, __rank and __bin."""
+        out = common.sized_join(rows, self.plan, ["__key"])
+        inclusion = F.when(F.col("__size") > F.col("__largest"), F.lit(1.0)).otherwise(F.coalesce(F.col("__factor") * F.col("__size"), F.lit(0.0)))
+        u = common.unit_hash(F.lit(self.seed), F.col("__id"), F.col("__digest"), F.col("__twin"))
+        out = out.withColumn("__inclusion", inclusion).withColumn("__rank", F.when(F.col("__inclusion") > 0, _rank(u, F.col("__inclusion"))))
+        return out.withColumn("__bin", F.floor(F.col("__rank") * self.bins).cast("long")).drop("__inclusion")
+
+    def decided(self, rows: DataFrame) -> DataFrame:
+        """The rows with __copies. Only the documents at the cut need a join, with a table that has about BIN_ROWS rows a source."""
+        out = common.sized_join(self.ranked(rows), self.near, ["__key", "__id", "__digest", "__twin"], "left")
+        more = F.when(F.col("__rank").isNull() | (F.col("__left") <= 0), 0).when(F.col("__cut").isNull() | (F.col("__bin") < F.col("__cut")), 1)  # no cut: rounding
+        more = more.when(F.col("__bin") == F.col("__cut"), F.coalesce("__near", F.lit(0))).otherwise(0)
+        return out.withColumn("__copies", (F.col("__whole") + more).cast("long"))
+
+    def twins(self, which: str = "true") -> DataFrame:
+        """Every row of the groups, numbered from 1."""
+        return self.groups.filter(which).withColumn("__twin", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__rows")))).drop("__rows")
+
+
+def pareto_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, bins: int = BINS, seed: str = SEED) -> Mix:
+    # Repeated rows are counted before they are numbered, so none of their groups meets in one task.
+    groups = _keyed(docs.select("doc_id", "source", "text")).groupBy("__key", "__id", "__digest").agg(F.first("__size").alias("__size"), F.count(F.lit(1)).alias("__rows"))
+    groups = common.written(groups, "mix-groups")
+    by_size = common.written(groups.groupBy(F.col("__key").alias("key"), F.col("__size").alias("size")).agg(F.sum("__rows").alias("n")), "mix-sizes")
+    source = F.when(F.col("key") != "n", F.substring("key", 2, 1 << 30)).alias("source")
+    sizes = by_size.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = targets(sizes, weights, share, most).withColumn("whole", F.floor(copies + F.lit(1e-12)).cast("long"))
-    plan = plan.withColumn("inclusion", F.greatest(F.lit(0.0), copies - F.col("whole")))
+    plan = targets(sizes.select(source, "source_size"), weights, share, most).withColumn("whole", F.floor(copies + F.lit(1e-12)).cast("long"))
     plan = plan.withColumn("left_words", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    plan = common.written(plan.withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source"), "mix-plan")
-
-    drawn = slim.withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
-    drawn = common.sized_join(drawn, plan, ["key"])
-    u = common.unit_hash(F.lit(seed), F.col("doc_id"), F.col("digest"), F.col("twin"))
-    drawn = drawn.withColumn("rank", F.when(F.col("inclusion") > 0, _rank(u, F.col("inclusion"))))
-    drawn = drawn.withColumn("bin", F.floor(F.col("rank") * bins).cast("int"))
-    # The histogram of words by rank; at most bins rows a source.
-    by_bin = drawn.filter(F.col("rank").isNotNull()).groupBy("key", "bin").agg(F.sum("size").alias("words"), F.first("left_words").alias("left_words"))
-    upto = Window.partitionBy("key").orderBy("bin")
-    by_bin = by_bin.withColumn("before", F.sum("words").over(upto) - F.col("words"))
-    cut = by_bin.filter((F.col("before") < F.col("left_words")) & (F.col("before") + F.col("words") >= F.col("left_words")))
-    cut = common.written(cut.groupBy("key").agg(F.min(F.struct("bin", "before")).alias("c")).select("key", F.col("c.bin").alias("cut_bin"), F.col("c.before").alias("before")), "mix-cut")
-
-    drawn = common.sized_join(drawn, cut, ["key"], "left")
-    at_cut = F.col("bin") == F.col("cut_bin")
-    order = Window.partitionBy("key").orderBy("rank", "doc_id", "digest", "twin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plan = common.written(plan.withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source"), "mix-targets")
+    included = common.written(inclusions(common.sized_join(by_size, plan.select("key", "left_words"), ["key"])), "mix-included")
+    plan = common.sized_join(plan, included, ["key"], "left").select(
+        F.col("key").alias("__key"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"),
+        F.col("left_words").alias("__left"), F.col("factor").alias("__factor"), F.col("largest").alias("__largest"),
+    )
+    rows, levels = by_size.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 1
+    while bins**levels * BIN_ROWS < rows and bins ** (levels + 1) < 1 << 52:
+        levels += 1
+    mix = Mix(groups, common.written(plan, "mix-plan"), bins**levels, seed)
+    at = None
+    for level in range(1, levels + 1):
+        # The histogram of words by rank within the last cut: at most so many rows a source.
+        ranked = mix.ranked(mix.twins()).filter(F.col("__rank").isNotNull()).withColumn("__before", F.lit(0))
+        if at is not None:
+            ranked = common.sized_join(ranked.drop("__before"), at, ["__key"]).filter(F.floor(F.col("__bin") / bins ** (levels - level + 1)) == F.col("__cut"))
+        by_bin = ranked.groupBy("__key", F.floor(F.col("__bin") / bins ** (levels - level)).alias("__cut")).agg(F.sum("__size").alias("words"), F.first("__left").alias("left"), F.first("__before").alias("from"))
+        before = F.col("from") + F.sum("words").over(Window.partitionBy("__key").orderBy("__cut")) - F.col("words")
+        cut = by_bin.withColumn("before", before).filter((F.col("before") < F.col("left")) & (F.col("before") + F.col("words") >= F.col("left")))
+        at = common.written(cut.groupBy("__key").agg(F.min(F.struct("__cut", "before")).alias("c")).select("__key", "c.__cut", F.col("c.before").alias("__before")), "mix-cut")
+    mix.plan = common.written(common.sized_join(mix.plan, at, ["__key"], "left"), "mix-plan")
+    order = Window.partitionBy("__key").orderBy("__rank", "__id", "__digest", "__twin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # A document is taken if the middle of its words lies before the end of the words left.
-    near = drawn.filter(at_cut).withColumn("middle", F.col("before") + F.sum("size").over(order) - F.col("size") / 2)
-    near = near.select("key", "doc_id", "digest", "twin", "size", "source_size", "target", "whole", (F.col("middle") <= F.col("left_words")).cast("long").alias("more"))
-    # Where no bin reaches the words left (rounding), all ranked documents are taken.
-    more = F.when(F.col("rank").isNull(), 0).when(F.col("cut_bin").isNull(), 1).when(F.col("bin") < F.col("cut_bin"), 1).otherwise(0).cast("long")
-    more = F.when((F.col("left_words") <= 0), F.lit(0).cast("long")).otherwise(more)
-    rest = drawn.filter(~F.coalesce(at_cut, F.lit(False))).select(*near.columns[:-1], more.alias("more"))
-    rows = near.unionByName(rest).withColumn("copies", F.col("whole") + F.col("more"))
-    rows = rows.select("key", "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "digest", "twin")
-    return rows, plan
+    near = mix.ranked(mix.twins()).filter(F.col("__bin") == F.col("__cut")).withColumn("middle", F.col("__before") + F.sum("__size").over(order) - F.col("__size") / 2)
+    mix.near = common.written(near.select("__key", "__id", "__digest", "__twin", (F.col("middle") <= F.col("__left")).cast("int").alias("__near")), "mix-near")
+    return mix
+
+
+def pareto_mix(docs: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
+    """(rows, plan). rows: doc_id, key of the source, size, source_size, target, taken and copies, one per document.
+    plan: per source what decides its copies.
+
+    Null or empty texts have size 0 and take nothing. A null source is a source. Null doc_ids are told
+    apart by their texts. Repeated rows are numbered, so each stands for itself. An empty table gives no
+    rows. Columns other than doc_id, text and source are ignored.
+    """
+    mix = pareto_plan(docs, **kw)
+    rows = mix.decided(mix.twins())
+    rows = rows.select(
+        F.when(F.col("__id") != "", F.col("__id")).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("__key").alias("key"),
+        F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).cast("long").alias("taken"), F.col("__copies").alias("copies"),
+    )
+    return rows, mix.plan
 
 
 def op3_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = pareto_mix(common.read(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    return pareto_mix(common.read(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
-    """The documents with all their columns, each as often as the mix takes it (one of no words never)."""
-    rows, _ = pareto_mix(docs, **kw)
-    take = rows.filter((F.col("copies") > 0) & (F.col("size") > 0))
-    take = take.select(*[F.col(c).alias(f"__{c}") for c in ("key", "doc_id", "digest", "twin", "copies")])
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    keyed = docs.withColumns({"__k": key, "__d": F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
-    keyed = keyed.withColumn("__t", F.row_number().over(Window.partitionBy("doc_id", "__k", "__d").orderBy(F.lit(1))))
-    same = keyed["doc_id"].eqNullSafe(take["__doc_id"]) & (keyed["__k"] == take["__key"]) & (keyed["__d"] == take["__digest"]) & (keyed["__t"] == take["__twin"])
-    out = keyed.join(take, same)
-    out = out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))))
-    return out.select(*docs.columns)
+    """The documents with all their columns, each as often as the mix takes it (one of no words never).
+
+    Documents are decided where they stand: no text is shuffled. Only rows that repeat doc_id, source and text are numbered, by
+    their places in a written table; the copies of such a group are dealt evenly to its rows.
+    """
+    mix = pareto_plan(docs, **kw)
+    repeat = lambda df: df.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    keyed = _keyed(docs).filter("__size > 0")
+    group = ["__key", "__id", "__digest"]
+    again = common.written(mix.decided(mix.twins("__rows > 1 AND __size > 0")).groupBy(*group).agg(F.sum("__copies").alias("__total"), F.count(F.lit(1)).alias("__n")), "mix-again")
+    if not again.limit(1).count():
+        return repeat(mix.decided(keyed.withColumn("__twin", F.lit(1).cast("long"))))
+    single = mix.decided(common.sized_join(keyed, again.select(*group), group, "left_anti").withColumn("__twin", F.lit(1).cast("long")))
+    twins = common.written(common.sized_join(keyed, again, group).withColumn("__part", F.spark_partition_id()), "mix-twins")
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = common.written(twins.groupBy(*group, "__part").count().select(*group, "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__from")), "mix-offsets")
+    place = F.row_number().over(Window.partitionBy(*group, "__part").orderBy("__size")) + F.col("__from") - 1
+    numbered = common.sized_join(twins, offsets, [*group, "__part"]).withColumn("__place", place)
+    each = F.floor(F.col("__total") / F.col("__n")) + (F.col("__place") < F.col("__total") % F.col("__n")).cast("int")
+    return repeat(single).unionByName(repeat(numbered.withColumn("__copies", each)))
 
 
 ORACLE_SQL = rf"""
@@ -131,13 +209,16 @@ q AS (SELECT *, row_number() OVER w AS ord, (total - coalesce(sum(cap) OVER (w R
 l AS (SELECT level AS shared FROM q WHERE NOT cap <= level * weight ORDER BY ord LIMIT 1),
 g AS (SELECT source, source_size, CASE WHEN (SELECT shared FROM l) IS NULL THEN cap ELSE least(cap, (SELECT shared FROM l) * weight) END AS target FROM q),
 h AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS c FROM g),
-k AS (SELECT *, floor(c + 1e-12)::BIGINT AS whole, greatest(0, c - floor(c + 1e-12)) AS inclusion FROM h),
+k AS (SELECT *, floor(c + 1e-12)::BIGINT AS whole FROM h),
 m AS (SELECT *, greatest(0, target - whole * source_size) AS left_words FROM k),
-u AS (SELECT t.*, m.source_size, m.target, m.whole, m.inclusion, m.left_words,
+b AS (SELECT d.source, d.size, any_value(m.left_words) AS left_words, count(*) AS n FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source WHERE d.size > 0 GROUP BY d.source, d.size),
+f AS (SELECT source, size, greatest(0.0::DOUBLE, left_words - coalesce(sum(size * n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+      / (sum(size::HUGEINT * size * n) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS factor FROM b WINDOW w AS (PARTITION BY source ORDER BY size DESC)),
+i AS (SELECT source, max(size) AS largest, arg_max(factor, size) AS factor FROM f WHERE factor * size <= 1 GROUP BY source),
+u AS (SELECT t.*, m.source_size, m.target, m.whole, m.left_words, CASE WHEN t.size > i.largest THEN 1.0::DOUBLE ELSE coalesce(i.factor * t.size, 0.0::DOUBLE) END AS inclusion,
       (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || digest || ':' || twin), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
-      FROM t JOIN m ON t.source IS NOT DISTINCT FROM m.source),
-r AS (SELECT *, CASE WHEN inclusion > 0 THEN (u / (1 - u)) / (inclusion / (1 - inclusion)) END AS odds FROM u),
-o AS (SELECT *, odds / (1 + odds) AS rank FROM r),
+      FROM t JOIN m ON t.source IS NOT DISTINCT FROM m.source LEFT JOIN i ON t.source IS NOT DISTINCT FROM i.source),
+o AS (SELECT *, CASE WHEN inclusion > 0 THEN u * (1 - inclusion) / (u * (1 - inclusion) + (1 - u) * inclusion) END AS rank FROM u),
 n AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, digest, twin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0::DOUBLE AS middle FROM o)
 SELECT doc_id, size, source_size, target, ((whole + CASE WHEN rank IS NOT NULL AND left_words > 0 AND middle <= left_words THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM n
 """

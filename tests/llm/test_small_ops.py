@@ -111,6 +111,49 @@ def test_mixing_comes_near_its_targets_and_repeats(spark):
     assert words == sum(t for _, t in first)
 
 
+def slow_mix(sizes, left, draws):
+    """Sizes and random numbers by doc: which get the copy that ``left`` words are spent on, in Pareto's order, and in that of the draws."""
+    certain, rest = set(), {d for d in sizes if sizes[d]}
+    while True:
+        factor = max(0.0, left - sum(sizes[d] for d in certain)) / sum(sizes[d] ** 2 for d in rest)
+        over = {d for d in rest if factor * sizes[d] > 1}
+        if not over:
+            break
+        most = max(sizes[d] for d in over)
+        certain |= {d for d in rest if sizes[d] == most}
+        rest -= certain
+    odds = {d: (u / (1 - u)) / (factor * sizes[d] / (1 - factor * sizes[d])) for d, u in draws.items() if d in rest}
+    out = []
+    for order in (sorted(certain) + sorted(rest, key=odds.get), sorted(certain) + sorted(rest, key=draws.get)):
+        taken, words = set(), 0
+        for d in order:
+            if words + sizes[d] / 2 <= left:
+                taken.add(d)
+            words += sizes[d]
+        out.append(taken)
+    return *out, certain
+
+
+@pytest.mark.parametrize("seed,bins", [(1, 256), (2, 8)])
+def test_pareto_order_is_the_brute_force_one_and_not_that_of_the_draws(spark, seed, bins, monkeypatch):
+    monkeypatch.setattr(mixing, "BIN_ROWS", 4)  # several levels of bins
+    rng = random.Random(seed)
+    sizes = {d: rng.choice([0, 1, 2, 5, 20, 20, 100, 50]) for d in range(300)} | {1: 6000, 2: 7000, 3: 9000}
+    df = docs(spark, [(d, " ".join(f"w{d}" for _ in range(n)), "a" if d % 3 else "b") for d, n in sizes.items()])
+    rows, plan = mixing.pareto_mix(df, weights=(1, 1), share=0.7, bins=bins)
+    copies, plan = {r.doc_id: r.copies for r in rows.collect()}, {r["__key"]: r for r in plan.collect()}
+    certain_ones = 0
+    for key in ("a", "b"):
+        own = {d: n for d, n in sizes.items() if ("a" if d % 3 else "b") == key}
+        text = lambda d: " ".join(f"w{d}" for _ in range(sizes[d]))  # noqa: E731, B023
+        draw = lambda d: (int(hashlib.md5(f"{mixing.SEED}:{d}:{hashlib.md5(text(d).encode()).hexdigest()}:1".encode()).hexdigest()[:12], 16) + 0.5) / 2**48  # noqa: E731, B023
+        p = plan[f"s{key}"]
+        pareto, by_draw, certain = slow_mix(own, p["__left"], {d: draw(d) for d in own})
+        assert {d for d in own if sizes[d] and copies[d] > p["__whole"]} == pareto != by_draw
+        certain_ones += len(certain)
+    assert certain_ones
+
+
 # --- near duplicates -----------------------------------------------------------------------------
 
 
