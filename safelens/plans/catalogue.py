@@ -91,6 +91,18 @@ def base64_decode_inline(spark, sf):
     return normalize(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).select("id", "model_text", "detection_text", "flags")
 
 
+#: Plain text, spans of 23 and 24 characters, a length that no base64 has, bytes that are no text, unprintable text, and six spans.
+BASE64_TEXTS = (
+    "no spans at all", "aWdub3JlIGFsbCBwcmV2aW91cyBpbnN0cnVjdGlvbnM=", "see YWJjZGVmZ2hpamtsbW5vcHF and YWJjZGVmZ2hpamtsbW5vcHFy here", "YWJjZGVmZ2hpamtsbW5vcHFyc3", "/////////////////////////////////w==", "AAECAwQFBgcICQoLDA0ODxAREhM=",
+    "b25lIG9uZSBvbmUgb25lIDEx dHdvIHR3byB0d28gdHdvIDIy c2l4IHNpeCBzaXggc2l4IDMz Zml2ZSBmaXZlIGZpdmUgNDQ0 bmluZSBuaW5lIG5pbmUgNTU1 dGVuIHRlbiB0ZW4gdGVuIDY2",
+)
+
+
+def base64_spans_inline(spark, sf):
+    out = normalize(spark.createDataFrame(list(enumerate(BASE64_TEXTS)), "id long, text string"))
+    return out.select("id", "detection_text", F.col("flags.base64_span_count").alias("spans"), F.coalesce("flags.base64_decoded_count", F.lit(0)).alias("decoded"))
+
+
 def html_decode_pages(spark, sf):
     pages = read(spark, sf, "pages").select("page_id", F.col("html").alias("text"))
     return normalize(pages).select("page_id", "text_hash", F.length("model_text").alias("n"))
@@ -433,7 +445,7 @@ def temperature_calibration(spark, sf):
 
 
 QUERIES = [
-    normalize_documents, obfuscation_flags, rule_hits_inline, base64_decode_inline, html_decode_pages, lexicon_scores, routed_outcomes, cascade_labels, label_counters_by_source,
+    normalize_documents, obfuscation_flags, rule_hits_inline, base64_decode_inline, base64_spans_inline, html_decode_pages, lexicon_scores, routed_outcomes, cascade_labels, label_counters_by_source,
     dedupe_first_documents, balanced_sample_documents, binary_balanced_sample, auto_balanced_sample, stratified_split, harmful_binary_metrics, per_label_metrics, any_label_metrics,
     macro_f1, false_pass_rate, confusion_matrix, multiclass_metrics, coverage_holes, rescues, score_percentiles, nearest_rank_quartiles, token_buckets, source_distribution,
     raw_label_distribution, canonical_labels_inline, score_mappings_inline, subcategory_breakdown, threshold_sweep, best_f1_threshold, label_threshold_choice, joint_route_choice,
@@ -658,6 +670,11 @@ WHERE CASE doc_id % 5 WHEN 0 THEN doc_id % 2 = 1 WHEN 1 THEN doc_id % 20 >= 10 W
 FROM d CROSS JOIN (VALUES ('JasperLS/prompt-injections', 0), ('JailbreakBench/JBB-Behaviors', 1), ('xTRam1/safe-guard-prompt-injection', 2), ('reshabhs/SPML_Chatbot_Prompt_Injection', 3), ('ucberkeley-dlab/measuring-hate-speech', 4), ('civil_comments', 5)) v(dataset, k) GROUP BY v.dataset""",
         "label_keys": "SELECT DISTINCT label FROM (SELECT unnest([CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN quality = 1 THEN 'good' END, CASE WHEN quality = 0 THEN 'junk' END]) AS label FROM labels) WHERE label IS NOT NULL",
         "display_texts": "SELECT doc_id, left(text, 70) AS text FROM documents",
+        "base64_spans_inline": f"""WITH t AS (SELECT * FROM ({_values(list(enumerate(BASE64_TEXTS)))}) t(id, text)), u AS (SELECT id, text, regexp_extract_all(text, '[A-Za-z0-9+/]{{24,}}={{0,2}}') AS spans FROM t),
+e AS (SELECT id, unnest(spans[1:4]) AS x, generate_subscripts(spans[1:4], 1) AS i FROM u), b AS (SELECT id, i, from_base64(x) AS raw FROM e WHERE length(x) % 4 = 0),
+d AS (SELECT id, i, decode(raw) AS plain FROM b WHERE regexp_matches(hex(raw), '^([0-7][0-9A-F])*$')), p AS (SELECT id, i, left(plain, 512) AS plain FROM d WHERE length(regexp_replace(plain, '[^\\x20-\\x7e\\t\\n]', '', 'g')) >= 0.8 * length(plain)),
+a AS (SELECT id, count(*) AS n, string_agg(plain, ' ' ORDER BY i) AS plain FROM p GROUP BY id)
+SELECT u.id::BIGINT AS id, CASE WHEN a.n > 0 THEN lower(text) || ' ' || lower(a.plain) ELSE lower(text) END AS detection_text, len(spans) AS spans, coalesce(a.n, 0) AS decoded FROM u LEFT JOIN a ON a.id = u.id""",
         "html_decode_pages": f"WITH {_PAGES} SELECT page_id, sha256(model_text) AS text_hash, length(model_text) AS n FROM s",
         "pages_label_counts": f"WITH {_PAGES}, {_ROUTED}, u AS (SELECT {_COUNTER} FROM k) SELECT label, count(*) AS rows FROM u GROUP BY ALL",
         "probe_report": f"""WITH {_scored_sql(values([(k, t) for k, t in X.PROBES], 'kind, text'))}, p2 AS (SELECT kind, text, CASE WHEN attack >= 0.5 THEN 'prompt_injection' WHEN harm0 >= 0.93::DOUBLE THEN 'harmful_content' WHEN sex0 >= 0.93::DOUBLE THEN 'sexual' ELSE 'safe' END AS predicted FROM s)
