@@ -43,10 +43,14 @@ _standing: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends there, and lost executors cost nothing."""
+    """Write ``df`` to the shared folder and read it again: lineage ends there, and lost executors cost nothing.
+
+    Python workers that take part get small batches, so what they hold doesn't depend on the length of texts.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     _standing.append(path)
