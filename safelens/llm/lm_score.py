@@ -5,7 +5,8 @@ from the documents marked as target, the background's from all others, and the l
 the smaller's total, so that neither wins by its size. Every distinct word and word pair of the corpus has counts of its
 own, under a key that has 20 bits more than it takes to number the corpus's bytes. Documents are taken in lots; a lot sends its distinct keys, cut into slices by key, to the
 tasks that count those slices over the whole corpus, and each slice goes back to its lot with the corpus's counts. So tables grow with the
-corpus, and no task and no driver holds one whole. Smoothing backs off by
+corpus, and no task and no driver holds one whole. No lot is cut into more than FAN slices: in a large corpus the slices of many lots are
+merged and cut again, level by level, so that rows don't multiply as lots times slices. Smoothing backs off by
 Dirichlet priors to unigrams and from there to the words of both corpora together. A document's own
 counts are taken out of the model that holds them before it is scored, so none is judged by itself. Other documents with the same text
 are part of the corpus and stay in, so a document that occurs several times scores as one that its model knows.
@@ -28,6 +29,8 @@ from .near_dup import WordHashes, mix
 WORDS = 1 << 16
 #: Words of a lot of documents, and bytes of text for each slice of the keys.
 LOT, SLICE_BYTES = 1 << 20, 12 << 20
+#: Slices into which keys are cut at once, and lots that are merged before they are cut again.
+FAN = 256
 UNIGRAM_PRIOR, PAIR_PRIOR = 1000.0, 50.0
 _M = np.uint64(0x9E3779B97F4A7C15)
 _ONE = np.uint64(1)
@@ -118,9 +121,28 @@ def lots(rows: DataFrame, bits: int = 64) -> DataFrame:
     return rows.mapInArrow(run, "lot long, doc_ids array<long>, sides binary, lengths binary, words binary, places binary")
 
 
+_SLICED = pa.schema([("lot", pa.int64()), ("slice", pa.int64()), ("keys", pa.binary()), ("first", pa.binary()), ("second", pa.binary())])
+_COUNTED = pa.schema([("lot", pa.int64()), ("slice", pa.int64()), ("first", pa.binary()), ("second", pa.binary()), ("words", pa.int64()), ("of_background", pa.int64()), ("of_target", pa.int64())])
+_SLICED_SQL = "lot long, slice long, keys binary, first binary, second binary"
+_COUNTED_SQL = "lot long, slice long, first binary, second binary, words long, of_background long, of_target long"
+
+
+def table_of(rows: list, schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def cut(lot: int, keys: np.ndarray, counts: list[np.ndarray], slices: int, bits: int) -> Iterator[list]:
+    """Rows of a lot's ascending keys, cut into slices."""
+    at = slice_of(keys, slices, bits)
+    starts = np.flatnonzero(np.diff(at, prepend=np.uint64(slices))) if len(at) else np.empty(0, np.int64)
+    for start, end in zip(starts, [*starts[1:], len(at)], strict=True):
+        part = slice(start, end)
+        yield [lot, int(at[start]), packed_keys(keys[part]), packed(counts[0][part]), packed(counts[1][part])]
+
+
 def key_slices(parts: DataFrame, slices: int, bits: int = 64) -> DataFrame:
     """Every lot's distinct keys of words and pairs, cut into slices, with the lot's counts (background, target)."""
-    kinds = {"lot": pa.int64(), "slice": pa.int32(), "keys": pa.binary(), "first": pa.binary(), "second": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,16 +155,12 @@ def key_slices(parts: DataFrame, slices: int, bits: int = 64) -> DataFrame:
                 side = of[1:][inner]
                 keys = np.concatenate([words, pairs])
                 order = np.argsort(keys, kind="stable")
-                keys = keys[order]
                 counts = [np.concatenate([np.bincount(places[of == s], minlength=len(words)), np.bincount(back[side == s], minlength=len(pairs))])[order] for s in (0, 1)]
-                ends = np.searchsorted(slice_of(keys, slices, bits), np.arange(slices + 1, dtype=np.uint64))
-                for s in np.flatnonzero(np.diff(ends)):
-                    cut = slice(ends[s], ends[s + 1])
-                    row = [lot, int(s), packed_keys(keys[cut]), packed(counts[0][cut]), packed(counts[1][cut])]
-                    yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds.values(), strict=True)], names=list(kinds))
+                for row in cut(lot, keys[order], counts, slices, bits):
+                    yield from table_of([row], _SLICED).to_batches()
         common.give_back()
 
-    return parts.select("lot", "sides", "lengths", "words", "places").mapInArrow(run, "lot long, slice int, keys binary, first binary, second binary")
+    return parts.select("lot", "sides", "lengths", "words", "places").mapInArrow(run, _SLICED_SQL)
 
 
 def slice_of(keys: np.ndarray, slices: int, bits: int = 64) -> np.ndarray:
@@ -150,28 +168,67 @@ def slice_of(keys: np.ndarray, slices: int, bits: int = 64) -> np.ndarray:
     return (((keys << np.uint64(64 - bits)) >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
 
 
+def summed(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The keys of each row, the distinct ones, where each key is among these, and the sums of both counts."""
+    keys = [unpacked_keys(x.as_py()) for x in table["keys"]]
+    distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = []
+    for name in ("first", "second"):
+        own = np.concatenate([unpacked(x.as_py()) for x in table[name]])
+        sums.append(np.bincount(back, weights=own, minlength=len(distinct)).astype(np.int64))
+    return keys, distinct, back, sums
+
+
 def counted(sliced: DataFrame) -> DataFrame:
     """Every slice of every lot with the whole corpus's counts of its keys, in the same order; and, once for each slice with
     lot -1, how many distinct words it has and how often they occur (background, target)."""
-    schema = pa.schema([("lot", pa.int64()), ("slice", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("words", pa.int64()), ("of_background", pa.int64()), ("of_target", pa.int64())])
 
     def count(table: pa.Table) -> pa.Table:
-        lot, number = table["lot"].to_pylist(), table["slice"][0].as_py()
-        keys = [unpacked_keys(x.as_py()) for x in table["keys"]]
-        ends = np.cumsum([0] + [len(k) for k in keys])
-        distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
-        del keys
-        sums = []
-        for name in ("first", "second"):
-            own = np.concatenate([unpacked(x.as_py()) for x in table[name]])
-            sums.append(np.bincount(back, weights=own, minlength=len(distinct)).astype(np.int64))
+        number = table["slice"][0].as_py()
+        keys, distinct, back, sums = summed(table)
         even = (distinct & _ONE) == 0
         rows = [[-1, number, None, None, int(even.sum()), int(sums[0][even].sum()), int(sums[1][even].sum())]]
-        for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-            rows.append([lot[k], number, packed(sums[0][back[a:b]]), packed(sums[1][back[a:b]]), 0, 0, 0])
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        ends = np.cumsum([0] + [len(k) for k in keys])
+        for lot, a, b in zip(table["lot"].to_pylist(), ends[:-1], ends[1:], strict=True):
+            rows.append([lot, number, packed(sums[0][back[a:b]]), packed(sums[1][back[a:b]]), 0, 0, 0])
+        return table_of(rows, _COUNTED)
+
+    return sliced.groupBy("slice").applyInArrow(count, _COUNTED_SQL)
+
+
+def corpus_counts(sliced: DataFrame, cuts: int, slices: int, bits: int) -> DataFrame:
+    """As ``counted``, for keys cut into ``cuts`` slices that may be larger than a task can count: ``slices`` would be right.
+
+    Rows of about FAN lots in a slice become one row of distinct keys, which is cut finer and counted in its turn; what comes back is
+    handed out to the rows it was made of.
+    """
+    if cuts >= slices:
+        return counted(sliced)
+    sliced = common.written(sliced, "lm-keys")
+    groups = common.blocks_for(sliced.select("lot").distinct().count(), FAN)
+    named = sliced.withColumn("id", F.pmod(F.xxhash64("lot"), F.lit(groups)) * cuts + F.col("slice"))
+    finer = min(cuts * FAN, slices)
+
+    def merge(table: pa.Table) -> pa.Table:
+        _, distinct, _, sums = summed(table)
+        return table_of(list(cut(table["id"][0].as_py(), distinct, sums, finer, bits)), _SLICED)
+
+    below = common.written(corpus_counts(named.groupBy("id").applyInArrow(merge, _SLICED_SQL), finer, slices, bits), "lm-below")
+
+    def hand_out(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = [unpacked_keys(x.as_py()) for x in left["keys"]]
+        distinct = np.unique(np.concatenate(keys))
+        order = np.argsort(right["slice"].to_numpy())
+        sums = [np.concatenate([unpacked(right[c][int(k)].as_py()) for k in order]) for c in ("first", "second")]
+        rows = []
+        for lot, number, own in zip(left["lot"].to_pylist(), left["slice"].to_pylist(), keys, strict=True):
+            at = np.searchsorted(distinct, own)
+            rows.append([lot, number, packed(sums[0][at]), packed(sums[1][at]), 0, 0, 0])
+        return table_of(rows, _COUNTED)
 
-    return sliced.groupBy("slice").applyInArrow(count, "lot long, slice int, first binary, second binary, words long, of_background long, of_target long")
+    returned = below.filter("lot >= 0").select(F.col("lot").alias("id"), "slice", "first", "second")
+    back = named.select("id", "lot", "slice", "keys").groupBy("id").cogroup(returned.groupBy("id")).applyInArrow(hand_out, _COUNTED_SQL)
+    return back.unionByName(below.filter("lot = -1"))
 
 
 def occurrences(doc: np.ndarray, key: np.ndarray, kinds: int) -> np.ndarray:
@@ -218,7 +275,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("binary")).cast("long"))).first()[0] or 0
     bits = bits_for(size)
     parts = common.written(lots(marked(docs, target), bits), "lm-lots")
-    counts = common.written(counted(key_slices(parts, common.blocks_for(size, SLICE_BYTES), bits)), "lm-counts")
+    slices = common.blocks_for(size, SLICE_BYTES)
+    cuts = min(FAN, slices)
+    counts = common.written(corpus_counts(key_slices(parts, cuts, bits), cuts, slices, bits), "lm-counts")
     common.release(docs.sparkSession)
     of = counts.filter("lot = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "of_background", "of_target")]).first()
     vocabulary, totals = max(WORDS, of[0]), np.array([of[1], of[2]], np.float64)

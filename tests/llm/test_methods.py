@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from safelens.llm import components, decontaminate, quality, secrets, url_filter
+from safelens.llm import components, decontaminate, lm_score, quality, secrets, url_filter
 from test_corpus_ops import slow_lcs
 from test_small_ops import docs
 
@@ -134,6 +134,23 @@ def test_components_are_those_of_a_search(spark, monkeypatch, row_bytes):
     assert {r.node: r.component for r in got.collect()} == want and got.count() == len(want)
 
 
+# --- language models -----------------------------------------------------------------------------
+
+
+def test_losses_are_the_same_through_any_number_of_levels(spark, monkeypatch):
+    """Keys cut into 2, 4, 8 slices and so on, a few lots merged at a time, against all of them counted at once."""
+    rng = random.Random(13)
+    rows = docs(spark, [(i, " ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.randint(0, 90))), "a") for i in range(120)] + [(500, None, "a")]).repartition(5).cache()
+    target = spark.createDataFrame([(i,) for i in range(0, 120, 4)], "doc_id long")
+    scores = lambda: sorted((r.doc_id, r.n_words, r.target_loss, r.background_loss) for r in lm_score.cross_entropy_difference(rows, target).collect())
+    whole = scores()
+    monkeypatch.setattr(lm_score, "LOT", 300)
+    for fan, size in ((2, 4096), (3, 2048)):
+        monkeypatch.setattr(lm_score, "FAN", fan)
+        monkeypatch.setattr(lm_score, "SLICE_BYTES", size)
+        assert scores() == whole
+
+
 # --- secrets -------------------------------------------------------------------------------------
 
 
