@@ -93,8 +93,8 @@ def _usable(rows: DataFrame) -> DataFrame:
     return kept.filter(F.size("v") == (size["d"] if size else 0))
 
 
-def _matrix(column) -> np.ndarray:
-    return np.stack([np.frombuffer(x, np.float64) for x in column]) if len(column) else np.empty((0, 1))
+def _matrix(column, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64)
 
 
 def nearest(rows: DataFrame, is_query, k: int = NEAREST, window: float = WINDOW, curves: int = CURVES) -> DataFrame:
@@ -113,61 +113,81 @@ def nearest(rows: DataFrame, is_query, k: int = NEAREST, window: float = WINDOW,
     searched = ranked.select("vec_id", "v", F.lit(True).alias("candidate"))
     asked = usable.filter("query").dropDuplicates(["vec_id", "v"]).select("vec_id", "v", F.lit(True).alias("query"))
     both = searched.join(asked, ["vec_id", "v"], "full").select("vec_id", "v", F.coalesce("candidate", F.lit(False)).alias("candidate"), F.coalesce("query", F.lit(False)).alias("query"))
-    both = common.written(both, "nn-rows")
+    # Single precision travels as such; nothing is lost by it.
+    kind = "<f4" if dict(rows.dtypes)["embedding"] == "array<float>" else "<f8"
+
+    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = [x.values.to_numpy().astype(kind).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vectors, pa.binary()), batch.column(3), batch.column(4)], names=["row", "vec_id", "blob", "candidate", "query"])
+
+    both = both.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", "candidate", "query")
+    both = common.written(both.mapInArrow(blobs, "row long, vec_id long, blob binary, candidate boolean, query boolean"), "nn-rows")
     n = both.count()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n:
         return empty
-    sample = both.filter(F.pmod(F.xxhash64("vec_id"), F.lit(2**31)) < int(min(1.0, SAMPLE / n) * 2**31) + 1).select("v").toPandas()
-    sample = np.array((sample.v if len(sample) else both.select("v").limit(1).toPandas().v).to_list(), np.float64)
-    shape = Curves(sample, curves)
+    sample = both.filter(F.pmod(F.xxhash64("vec_id"), F.lit(2**31)) < int(min(1.0, SAMPLE / n) * 2**31) + 1).select("blob").toPandas()
+    shape = Curves(_matrix(sample.blob if len(sample) else both.select("blob").limit(1).toPandas().blob, kind), curves)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                vectors = np.array(part.column(1).to_pylist(), np.float64)
-                blobs = pa.array([v.tobytes() for v in vectors], pa.binary())
-                for c, keys in enumerate(shape.keys(vectors)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c, np.int32)), pa.array(keys), part.column(0), blobs, part.column(2), part.column(3)], names=["curve", "key", "vec_id", "blob", "candidate", "query"])
-
-    schema = "curve int, key long, vec_id long, blob binary, candidate boolean, query boolean"
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                for c, keys in enumerate(shape.keys(_matrix(part.column(2).to_pylist(), kind))):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c, np.int32)), pa.array(keys), part.column(1), part.column(0)], names=["curve", "key", "vec_id", "row"])
+
+    # Only keys are ordered. Vectors join their places afterwards, once for all curves.
+    schema = "curve int, key long, vec_id long, row long"
+    keys = common.written(both.select("row", "vec_id", "blob").mapInArrow(keyed, schema), "nn-keys")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * curves / 200_000))
-    ordered = both.mapInArrow(keyed, schema).repartitionByRange(parts, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
+    by = ["curve", "key", "vec_id", "row"]
+    ordered = keys.repartitionByRange(parts, *by).sortWithinPartitions(*by)
 
-    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, part = 0, TaskContext.get().partitionId()
-        for frame in frames:
-            yield frame.assign(part=part, at=np.arange(at, at + len(frame)))
-            at += len(frame)
+        for batch in batches:
+            m = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(np.full(m, part, np.int32)), pa.array(np.arange(at, at + m))], names=["curve", "row", "part", "at"])
+            at += m
 
-    ordered = common.written(ordered.mapInPandas(placed, schema + ", part int, at long"), "nn-order")
+    ordered = common.written(ordered.mapInArrow(placed, "curve int, row long, part int, at long"), "nn-order")
+    common.discard(keys)
     sizes = ordered.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("from"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("curve", "part", (before - F.col("from")).alias("offset"))
-    placed_rows = ordered.join(offsets, ["curve", "part"]).withColumn("place", F.col("at") + F.col("offset"))
+    offsets = common.written(offsets, "nn-offsets")
+    places = common.sized_join(ordered, offsets, ["curve", "part"]).select("row", F.struct("curve", (F.col("at") + F.col("offset")).alias("place")).alias("p"))
+    of_row = places.groupBy("row").agg(F.collect_list("p").alias("p"))  # one place a curve
+    placed_rows = common.written(both.join(of_row, "row").select("vec_id", "blob", "candidate", "query", "p"), "nn-places")
+    queries = both.filter("query").count()
+    common.discard(both, ordered, offsets)
+    placed_rows = placed_rows.select(F.explode("p").alias("p"), "vec_id", "blob", "candidate", "query").select("p.curve", "p.place", "vec_id", "blob", "candidate", "query")
     wide = math.ceil(window * n) + WIDER
     # Queries that meet in a block are dealt to groups of about QUERIES, each with its copy of the block.
-    share = max(1, math.ceil(both.filter("query").count() * min(1.0, (2 * wide + BLOCK) / n) / QUERIES))
+    share = max(1, math.ceil(queries * min(1.0, (2 * wide + BLOCK) / n) / QUERIES))
     blocks = placed_rows.filter("candidate").select("curve", F.floor(F.col("place") / BLOCK).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(share - 1))).alias("deal"), "place", "vec_id", "blob")
     first, last = F.floor(F.greatest(F.lit(0), F.col("place") - wide) / BLOCK), F.floor(F.least(F.lit(n - 1), F.col("place") + wide) / BLOCK)
     deal = F.pmod(F.xxhash64("vec_id"), F.lit(share)).cast("int")
     asking = placed_rows.filter("query").select(F.col("curve").alias("q_curve"), F.explode(F.sequence(first, last)).alias("q_block"), deal.alias("q_deal"), F.col("place").alias("q_place"), F.col("vec_id").alias("query_id"), F.col("blob").alias("q_blob"))
 
     def search(here: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(here) and len(queries):
-            vectors, ids, places = _matrix(here.blob), here.vec_id.to_numpy(), here.place.to_numpy()
-            for q, at, blob in zip(queries.query_id, queries.q_place, queries.q_blob, strict=True):
-                near = np.nonzero((np.abs(places - at) <= wide) & (ids != q))[0]
-                if len(near):
-                    distance = np.sqrt(((vectors[near] - np.frombuffer(blob, np.float64)) ** 2).sum(axis=1))
-                    if len(near) > 4 * k:  # all that are no farther than the k-th
-                        close = distance <= np.partition(distance, k - 1)[k - 1]
-                        near, distance = near[close], distance[close]
-                    best = np.lexsort((ids[near], distance))[:k]
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[near][best], "score": distance[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        if not len(here) or not len(queries):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        vectors, ids, places = _matrix(here.blob, kind), here.vec_id.to_numpy(), here.place.to_numpy()
+        asked, names, at = _matrix(queries.q_blob, kind), queries.query_id.to_numpy(), queries.q_place.to_numpy()
+        # One product of matrices tells which are near, but for rounding; only those are measured exactly.
+        mass, own = (vectors**2).sum(axis=1), (asked**2).sum(axis=1)
+        square = own[:, None] + mass[None] - 2 * (asked @ vectors.T)
+        square[(np.abs(places[None] - at[:, None]) > wide) | (ids[None] == names[:, None])] = np.inf
+        least = np.partition(square, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+        slack = 1e-12 * vectors.shape[1] * (own + mass.max())
+        q, x = np.nonzero((square <= (least + slack)[:, None]) & np.isfinite(square))
+        distance = np.concatenate([np.sqrt(((vectors[x[i : i + 8192]] - asked[q[i : i + 8192]]) ** 2).sum(axis=1)) for i in range(0, len(q), 8192)] or [np.empty(0)])
+        order = np.lexsort((ids[x], distance, q))
+        q, x, distance = q[order], x[order], distance[order]
+        best = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return pd.DataFrame({"query_id": names[q[best]], "vec_id": ids[x[best]], "score": distance[best]})
 
     found = blocks.groupBy("curve", "block", "deal").cogroup(asking.groupBy("q_curve", "q_block", "q_deal")).applyInPandas(search, "query_id long, vec_id long, score double")
     merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
