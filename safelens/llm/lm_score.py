@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .near_dup import WordHashes, mix
+from .near_dup import mix
+from .words import grouped, plain
 
 #: The smoothing's vocabulary has at least so many words, and beyond that as many as the corpus.
 WORDS = 1 << 16
@@ -41,11 +42,10 @@ def bits_for(size: int) -> int:
     return min(64, 20 + int(size).bit_length())
 
 
-def word_ids(text: bytes | None, hashes: dict, bits: int = 64) -> np.ndarray:
-    """Keys of the words, A-Z lower-cased, with the start (0) before them. Keys of words are even, of pairs odd."""
-    words = text.lower().split() if text else []
-    ids = np.zeros(len(words) + 1, np.uint64)
-    ids[1:] = (np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)) >> np.uint64(64 - bits)) & ~_ONE
+def word_ids(hashes: np.ndarray, bits: int = 64) -> np.ndarray:
+    """Keys of a text's words, given by their hashes, with the start (0) before them. Keys of words are even, of pairs odd."""
+    ids = np.zeros(len(hashes) + 1, np.uint64)
+    ids[1:] = (hashes >> np.uint64(64 - bits)) & ~_ONE
     return ids
 
 
@@ -101,19 +101,20 @@ def lots(rows: DataFrame, bits: int = 64) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds.values(), strict=True)], names=list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         number = TaskContext.get().partitionId() << 32
         docs, sides, texts, n = [], [], [], 0
         for batch in batches:
-            for doc, text, side in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                ids = word_ids(text.as_py(), hashes, bits)
-                docs.append(doc)
-                sides.append(int(side))
-                texts.append(ids)
-                n += len(ids)
-                if n >= LOT:
-                    yield out(number, docs, sides, texts)
-                    docs, sides, texts, n, number = [], [], [], 0, number + 1
+            names, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for numbers, hashes, at in grouped((t.as_py() for t in batch.column(1)), fold=plain):
+                for k, i in enumerate(numbers):
+                    ids = word_ids(hashes[at[k] : at[k + 1]], bits)
+                    docs.append(names[i])
+                    sides.append(int(marks[i]))
+                    texts.append(ids)
+                    n += len(ids)
+                    if n >= LOT:
+                        yield out(number, docs, sides, texts)
+                        docs, sides, texts, n, number = [], [], [], 0, number + 1
         if docs:
             yield out(number, docs, sides, texts)
         common.give_back()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -10,6 +10,8 @@ import numpy as np
 PIECE = 1 << 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Letters, digits and everything beyond ASCII make words; A-Z are lower-cased.
+#: Of the table that only parts words at white space, A-Z are lower-cased too, and everything else stays.
+PLAIN = np.array([32 if c in b" \t\n\x0b\x0c\r" else ord(chr(c).lower()) if c < 128 else c for c in range(256)], np.uint8)
 TABLE = np.array([c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256)], np.uint8)
 
 
@@ -30,6 +32,11 @@ def folded(raw: bytes) -> np.ndarray:
     return out
 
 
+def plain(raw: bytes) -> np.ndarray:
+    """Bytes with A-Z lower-cased and spaces for all white space: words are then those of ``raw.lower().split()``."""
+    return PLAIN[np.frombuffer(raw, np.uint8)]
+
+
 def _piece(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = text != 32
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
@@ -41,21 +48,25 @@ def _piece(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, 64-bit hashes) of the words of folded bytes. A word's hash doesn't depend on its place.
-
-    A word that is longer than a piece is hashed as its pieces.
-    """
+    """(starts, 64-bit hashes) of the words of folded bytes. A word's hash doesn't depend on its place."""
     starts, hashes = [], []
-    at = 0
+    at, run, held = 0, 0, np.empty(0, np.uint64)  # run: bytes so far of a word that is longer than a piece; held: ends with its value
     with np.errstate(over="ignore"):
         while at < len(text):
-            end = min(at + PIECE, len(text))
+            end, inside = min(at + PIECE, len(text)), False
             if end < len(text):
                 gaps = np.flatnonzero(text[at:end] == 32)
-                end = at + int(gaps[-1]) + 1 if len(gaps) else end
+                inside = not len(gaps)
+                end = end if inside else at + int(gaps[-1]) + 1
             first, value = _piece(text[at:end])
-            starts.append(first + at)
-            hashes.append(value)
+            if run and text[at] != 32:  # it goes on: the same polynomial, with higher powers
+                held[-1] += value[0] * np.uint64(pow(_BASE, run, 1 << 64))
+                first, value = first[1:], value[1:]
+            if len(first):
+                starts.append(first + at)
+                hashes.append(value)
+                held = value
+            run = run + end - at if inside else 0
             at = end
         if not starts:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -64,7 +75,7 @@ def word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate(starts), value ^ (value >> np.uint64(32))
 
 
-def grouped(texts: Iterable[bytes | None], size: int = PIECE) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+def grouped(texts: Iterable[bytes | None], size: int = PIECE, fold: Callable[[bytes], np.ndarray] = folded) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """Texts in groups of about ``size`` bytes: (numbers, hashes of all their words, where each text's words begin and end)."""
     held: list[bytes] = []
     numbers: list[int] = []
@@ -72,7 +83,7 @@ def grouped(texts: Iterable[bytes | None], size: int = PIECE) -> Iterator[tuple[
 
     def flush():
         offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in held])])
-        starts, hashes = word_hashes(folded(b" ".join(held)))
+        starts, hashes = word_hashes(fold(b" ".join(held)))
         return numbers, hashes, np.searchsorted(starts, offsets)
 
     for i, text in enumerate(texts):

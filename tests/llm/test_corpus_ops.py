@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from safelens.llm import decontaminate, lm_score
 from safelens.llm import words as hashes
-from safelens.llm.near_dup import WordHashes
 from test_small_ops import ODD, docs
 
 
@@ -144,16 +143,37 @@ def test_word_hashes_by_any_grouping(monkeypatch):
     assert [hashes.word_hashes(hashes.folded(t.encode()))[1].tolist() for t in texts if max(map(len, t.split() or [""])) < 30] == [a for a, t in zip(alone, texts, strict=True) if max(map(len, t.split() or [""])) < 30]
 
 
+def test_words_of_any_length_are_hashed_whole(monkeypatch):
+    """Words longer than a piece, beside short ones, between any white space: as many as ``split`` finds, equal where these are equal."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abÉx") for _ in range(rng.choice([1, 3, 30, 64, 65, 200, 700])))
+    known = [word() for _ in range(40)]
+    texts = [rng.choice(["", " ", "\n"]) + rng.choice([" ", "\t", "\r\n", "\x0b \x0c"]).join(rng.choice(known) for _ in range(rng.randint(0, 12))) for _ in range(80)]
+    want = {}
+    for piece in (hashes.PIECE, 64):
+        monkeypatch.setattr(hashes, "PIECE", piece)
+        for text in texts:
+            words = text.encode().lower().split()
+            starts, found = hashes.word_hashes(hashes.plain(text.encode()))
+            assert len(found) == len(words) and all(text.encode().lower()[s : s + len(w)] == w for s, w in zip(starts.tolist(), words, strict=True))
+            for w, h in zip(words, found.tolist(), strict=True):
+                assert want.setdefault(w, h) == h
+    assert len(set(want.values())) == len(want)
+
+
 # --- language models -----------------------------------------------------------------------------
 
 
+def keys_of(text):
+    return lm_score.word_ids(hashes.word_hashes(hashes.plain(text.encode()))[1])
+
+
 def slow_losses(texts, target, which):
     """The same model with dictionaries, without the document itself."""
-    hashes = WordHashes()
     uni, pair, total = [{}, {}], [{}, {}], [0, 0]
 
     def add(text, side, sign):
-        ids = lm_score.word_ids(text.encode(), hashes)
+        ids = keys_of(text)
         if len(ids) > 1:
             for x in ids.tolist():
                 uni[side][x] = uni[side].get(x, 0) + sign
@@ -165,7 +185,7 @@ def slow_losses(texts, target, which):
         add(t, int(i in target), 1)
     scale = [min(total) / n for n in total]
     add(texts[which], int(which in target), -1)
-    ids = lm_score.word_ids(texts[which].encode(), hashes)
+    ids = keys_of(texts[which])
     pairs, out = lm_score.pair_ids(ids).tolist(), []
     for side in (1, 0):
         loss = 0.0
@@ -206,8 +226,7 @@ def test_no_words_or_pairs_share_counts(spark, monkeypatch):
     rng = random.Random(12)
     texts = {i: " ".join(f"{rng.randint(0, 10**6):x}" for _ in range(3000)) for i in range(100)}
     texts[100] = "never seen before"
-    hashes = WordHashes()
-    ids = {w: lm_score.word_ids(w.encode(), hashes)[1] for t in texts.values() for w in t.split()}
+    ids = {w: keys_of(w)[1] for t in texts.values() for w in t.split()}
     assert len(set(ids.values())) == len(ids) > 200_000
     target = spark.createDataFrame([(i,) for i in range(0, 100, 3)], "doc_id long")
     got = {r.doc_id: r for r in lm_score.cross_entropy_difference(docs(spark, [(i, t, None) for i, t in texts.items()]).repartition(3), target).collect()}
