@@ -84,16 +84,19 @@ def swept(spark: SparkSession) -> Iterator[list[DataFrame]]:
 def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
     """Python workers get batches of about this many bytes, whatever the rows measure, in what is run meanwhile."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
+    before = spark.conf.get(name, None)
     spark.conf.set(name, size)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are over: it does so only once the driver has collected them as garbage."""
+    """Let Spark delete shuffle files and broadcasts of plans that are over, which executors hold until the driver has collected the plans."""
     gc.collect()
     spark._jvm.System.gc()
 

@@ -8,7 +8,7 @@ the index; pairs that share a key are confirmed on their full shingle sets.
 
 Documents with equal shingle sets are one class with one representative. In a key's group first
 all members are held against the smallest one, which costs as many pairs as there are members.
-Connected members need no more. What is left in groups of three and more is compared and confirmed block by block
+Connected members need no more. Large groups that are still apart are held against other centres in the same way. What is left in groups of three and more is compared and confirmed block by block
 with the whole sets at hand, so no pair under the radius is lost, no pair that isn't a link becomes a row, and no group is held by
 one task. Groups that overlap are taken together where that moves fewer sets.
 """
@@ -18,25 +18,27 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
+from .words import grouped, plain
 
 BITS = 16
 CHUNK = 5
 ERRORS = 1
 #: A pair at exactly the least similarity shares no key with at most this probability.
 MISS = 1e-6
-#: Members that are compared with each other at once, the bytes of their sets, and members of a star.
-BLOCK, BLOCK_BYTES, SPREAD = 64, 16 << 20, 128
+#: Members that are compared with each other at once, at least and at most; the bytes of their sets; and members of a star.
+BLOCK, MOST, BLOCK_BYTES, SPREAD = 64, 1024, 16 << 20, 128
+#: Groups that are still in more components than this, beyond which blocks multiply, get other centres first, so often at most.
+LARGE, HUBS = 8 * MOST, 3
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -47,31 +49,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; forgets them all when it grows large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-def shingle_set(text: bytes | None, width: int, hashes: dict) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of ``width`` words, A-Z lower-cased.
+def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of ``width`` words, from the hashes of a text's words.
 
     Fewer words than that are one shingle as a whole; no words give none.
     """
-    words = text.lower().split() if text else []
-    if not words:
+    if not len(words):
         return np.empty(0, np.uint64)
-    at = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     width = min(width, len(words))
     n = len(words) - width + 1
     out = np.full(n, np.uint64(0x9E3779B97F4A7C15) * np.uint64(width + 1))
     for k in range(width):
-        out = mix(out + at[k : k + n] * np.uint64(2 * k + 3))
-    return np.unique(out)
+        out = mix(out + words[k : k + n] * np.uint64(2 * k + 3))
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
+
+
+def sets_of(texts: Iterable[pa.Scalar], width: int) -> Iterator[list[np.ndarray]]:
+    """Shingle sets of texts, in order, in groups of some 64 KB. Words are maximal runs without white space, A-Z lower-cased."""
+    with np.errstate(over="ignore"):
+        for numbers, hashes, at in grouped((t.as_py() for t in texts), fold=plain):
+            yield [shingle_set(hashes[at[k] : at[k + 1]], width) for k in range(len(numbers))]
 
 
 def signature(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -120,15 +118,13 @@ def sketch(docs: DataFrame, width: int, places: int) -> DataFrame:
     factors = factors_for(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         with np.errstate(over="ignore"):
             for batch in batches:
                 n, classes, signatures = [], [], []
-                for text in batch.column(1):
-                    shingles = shingle_set(text.as_py(), width, hashes)
-                    n.append(len(shingles))
-                    classes.append(class_of(shingles.tobytes()))
-                    signatures.append(signature(shingles, factors).tobytes() if len(shingles) else None)
+                for sets in sets_of(batch.column(1), width):
+                    n += map(len, sets)
+                    classes += [class_of(x.tobytes()) for x in sets]
+                    signatures += [signature(x, factors).tobytes() if len(x) else None for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(signatures, pa.binary())],
                     names=["doc_id", "n_shingles", "class_id", "signature"])
@@ -141,13 +137,12 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """node (the doc_id), class_id, and the whole shingle set: sorted 64-bit hashes, little-endian, one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                for i in range(0, batch.num_rows, 256):
-                    part = batch.slice(i, 256)
-                    sets = [shingle_set(t.as_py(), width, hashes).astype("<u8").tobytes() for t in part.column(1)]
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([class_of(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["node", "class_id", "shingles"])
+        for batch in batches:
+            at = 0
+            for found in sets_of(batch.column(1), width):
+                sets = [x.astype("<u8").tobytes() for x in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([class_of(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["node", "class_id", "shingles"])
+                at += len(sets)
         common.give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, class_id binary, shingles binary")
@@ -252,8 +247,7 @@ def _confirmed(asked: DataFrame, docs: DataFrame, classes: DataFrame, width: int
     wanted = common.written(asked.select(F.col("node").alias("doc_id")).distinct(), f"{name}-ids")
     texts = common.sized_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, ["doc_id"], "left_semi")
     once = lambda rows, key: rows.dropDuplicates(key) if repeated else rows
-    with common.small_batches(docs.sparkSession):
-        sets = common.written(once(shingle_sets(texts, width), ["node", "class_id"]).join(classes.select("node", "class_id", "signature"), ["node", "class_id"]), f"{name}-sets")
+    sets = common.written(once(shingle_sets(texts, width), ["node", "class_id"]).join(classes.select("node", "class_id", "signature"), ["node", "class_id"]), f"{name}-sets")
     by = ["kind", "id", "i", "j"]
     rows = asked.select(*by, "held", "node", "component").join(sets, "node").select(*by, "held", "node", "component", "signature", "shingles")
 
@@ -274,8 +268,7 @@ def _confirmed(asked: DataFrame, docs: DataFrame, classes: DataFrame, width: int
                 found = []
         common.give_back()
 
-    with common.small_batches(docs.sparkSession):
-        links = common.written(rows.repartition(*by).sortWithinPartitions(*by, F.desc("held")).mapInArrow(run, "a long, b long"), f"{name}-links")
+    links = common.written(rows.repartition(*by).sortWithinPartitions(*by, F.desc("held")).mapInArrow(run, "a long, b long"), f"{name}-links")
     common.discard(wanted, sets)
     return links
 
@@ -297,17 +290,41 @@ def _star_links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: in
     return links
 
 
-def _rest_links(docs: DataFrame, index: DataFrame, grouped: DataFrame, classes: DataFrame, label: DataFrame, width: int, similarity: int, places: int, far: int, repeated: bool) -> DataFrame:
-    """Links between different components in groups of three and more, as many as it takes to join them."""
-    members = index.join(grouped.filter("n > 2").select("key"), "key").join(label.toDF("node", "component"), "node", "left")
-    members = members.withColumn("component", F.coalesce("component", "node"))
+def _opened(shared_keys: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, node, component, first, n): the members of groups of three and more that hold several components."""
+    members = common.sized_join(shared_keys.filter("n > 2").select("key", "node"), label.toDF("node", "component"), ["node"], "left")
+    members = common.written(members.withColumn("component", F.coalesce("component", "node")), "nd-grouped")
     split = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("key", "first", "n")
-    opened = common.written(members.join(split, "key"), "nd-open")
+    # The groups to open are written first: joined by a broadcast, or so that AQE can split large ones.
+    split = common.written(split, "nd-split")
+    opened = common.written(common.sized_join(members, split, ["key"]), "nd-open")
+    common.discard(members, split)
+    return opened
+
+
+def _hub_pairs(opened: DataFrame, turn: int) -> DataFrame:
+    """Pairs of another centre and the members of other components, for groups of many components: as many as they have members.
+
+    Variants of one text resemble it more than each other, and the smallest of them may not be the text itself. What its star has found
+    leads there: the new centre is a member, other than the first, of the group's largest component.
+    """
+    large = opened.filter(F.col("n") > LARGE)
+    parts = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.min(F.when(F.col("node") != F.col("first"), F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node"))).alias("x"))
+    best = F.max(F.when(F.col("x").isNotNull(), F.struct("size", "component", "x")))
+    hubs = parts.groupBy("key").agg(best.alias("best"), F.count(F.lit(1)).alias("parts")).filter((F.col("parts") > LARGE) & F.col("best").isNotNull()).select("key", F.col("best.component").alias("own"), F.col("best.x.node").alias("hub"))
+    hubs = common.written(hubs, "nd-hubs")
+    pairs = common.sized_join(large, hubs, ["key"]).filter("component <> own")
+    return common.written(pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "nd-hub-pairs")
+
+
+def _rest_links(docs: DataFrame, opened: DataFrame, classes: DataFrame, width: int, similarity: int, places: int, far: int, repeated: bool) -> DataFrame:
+    """Links between different components of the opened groups, as many as it takes to join them."""
     # Groups that share members form clusters. A cluster is compared as a whole if that costs less than group by group.
     cluster = connected_components(opened.select(F.col("first").alias("a"), F.col("node").alias("b")), "nd-cluster")
     members = common.written(opened.join(cluster.toDF("node", "cluster"), "node"), "nd-members")
     common.discard(opened, cluster)
-    load = lambda n: n * F.ceil(n / BLOCK)
+    size = lambda n: F.greatest(F.lit(BLOCK), F.least(F.lit(MOST), F.ceil(n / 8)))  # noqa: E731  of a block: larger ones make fewer copies
+    load = lambda n: n * F.ceil(n / size(n))
     apart = members.groupBy("cluster", "key").agg(F.first("n").alias("n")).groupBy("cluster").agg(F.sum(load(F.col("n"))).alias("apart"))
     whole = members.select("cluster", "node").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     plan = whole.join(apart, "cluster").select("cluster", (load(F.col("size")) <= F.col("apart")).alias("as_one"))
@@ -317,8 +334,9 @@ def _rest_links(docs: DataFrame, index: DataFrame, grouped: DataFrame, classes:
     many = planned.filter("NOT as_one").select(F.lit(1).alias("kind"), F.col("key").alias("id"), "node", "component")
     asked = common.written(common.sized_join(one.unionByName(many), classes.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles")), ["node"]), "nd-asked")
     common.discard(members, plan)
-    # Blocks hold about BLOCK members, or fewer where their texts are very long.
-    blocks = asked.groupBy("kind", "id").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    # Blocks hold fewer members where their texts are very long.
+    n = F.count(F.lit(1))
+    blocks = asked.groupBy("kind", "id").agg(F.greatest(F.ceil(n / size(n)), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
     dealt = common.sized_join(asked, common.written(blocks, "nd-blocks"), ["kind", "id"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("kind", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("held"), "node", "component")
@@ -342,25 +360,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
     # Beyond the guaranteed radius pairs are still confirmed, up to a distance that links pass with the same probability.
     far = max(radius, quantile(places, 1 - similarity / 100, MISS))
 
-    with common.small_batches(docs.sparkSession):
-        sketched = common.written(sketch(docs, width, places), "nd-sketch")
+    sketched = common.written(sketch(docs, width, places), "nd-sketch")
     usable = sketched.filter("class_id IS NOT NULL AND doc_id IS NOT NULL")
     classes = common.written(usable.groupBy("class_id").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles")), "nd-classes")
     repeated = usable.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
     index = common.written(_index(classes, CHUNK, ERRORS), "nd-index")
     grouped = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
+    # Most keys stand alone; what is left of the index is small. The groups are written first, so that AQE can split large ones.
     grouped = common.written(grouped, "nd-groups")
-    pairs = index.join(grouped, "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    shared_keys = common.written(index.join(grouped, "key"), "nd-shared")
+    common.discard(index, grouped)
+    common.release(docs.sparkSession)
+    pairs = shared_keys.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     stars = _star_links(pairs, docs, classes, width, similarity, places, far, repeated)
     # A doc_id given to several classes holds them together.
     held = usable.select("class_id", "doc_id").join(classes.select("class_id", "node"), "class_id").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     first = connected_components(stars, "nd-first")
-    others = _rest_links(docs, index, grouped, classes, first, width, similarity, places, far, repeated)
+    common.release(docs.sparkSession)
+    opened = _opened(shared_keys, first)
+    for turn in range(HUBS):
+        pairs = _hub_pairs(opened, turn)
+        if not pairs.limit(1).count():
+            break
+        more = _star_links(pairs, docs, classes, width, similarity, places, far, repeated)
+        joined = connected_components(first.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more), "nd-first")
+        common.discard(first, opened, pairs, more)
+        first, opened = joined, _opened(shared_keys, joined)
+    others = _rest_links(docs, opened, classes, width, similarity, places, far, repeated)
+    common.release(docs.sparkSession)
     links = first.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(others)
     if repeated:
         links = links.unionByName(held)
     label = connected_components(links, "nd-last")
-    common.discard(index, grouped, stars, first, others)
+    common.discard(shared_keys, stars, first, others)
     whole = classes.join(label, "node", "left").select("class_id", F.coalesce("component", "node").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "class_id").join(whole, "class_id", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))

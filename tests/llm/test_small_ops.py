@@ -198,6 +198,25 @@ def test_near_duplicates_are_the_brute_force_ones(spark, monkeypatch, width, sim
     assert {tuple(r) for r in got.collect()} == slow_near(rows, width, similarity)
 
 
+@pytest.mark.parametrize("large,most", [(8, 1024), (1000, 5), (1000, 1024)])
+def test_variants_of_a_text_that_is_not_the_smallest(spark, monkeypatch, large, most):
+    """Each variant is linked to the text and to no other variant; by hubs, by many blocks, and by few."""
+    monkeypatch.setattr(near_dup, "LARGE", large)
+    monkeypatch.setattr(near_dup, "MOST", most)
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    rng = random.Random(19)
+    rows = []
+    for base in range(2):
+        text = [f"t{base}w{i}" for i in range(100)]
+        rows += [(100 * base + 50, " ".join(text))]
+        for k in range(40):
+            own = list(text)
+            own[rng.randint(0, 45)], own[rng.randint(52, 99)] = f"x{base}{k}", f"y{base}{k}"
+            rows.append((100 * base + k + (k >= 30) * 30, " ".join(own)))
+    got = near_dup.near_duplicates(docs(spark, [(i, t, None) for i, t in rows]), 5, 80)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(slow_near(rows, 5, 80)) and {r.component_id for r in got.collect()} == {0, 100}
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = near_dup.near_duplicates(docs(spark, ODD), 3, 85).collect()
     assert len(rows) == len(ODD)
