@@ -8,7 +8,6 @@ are counted on a fixed grid and calibrated by pooling adjacent violators. Rows w
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,11 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .words import word_hashes
 
 COSINES = 256
 RIDGE = 1e-3
 FOLDS = 3
 SEED = 20
+#: Bytes of texts that are counted together, unless one text has more.
+TOGETHER = 1 << 16
 GRID = 768
 LOW, HIGH = -1.0, 2.0
 STATISTICS = (
@@ -46,41 +48,82 @@ _CLASSES = np.stack([
     _members(_UPPER), _members(_DIGIT), _members(c for c in range(33, 127) if not chr(c).isalnum()), _members(b"|"), _members(b"#$%&*@^~<>{}[]\\=+_"),
     _members(b"!"), _members(b"."), _members(b","), _SPACE, _members(range(128, 256)),
 ])
-_MARKED = re.compile(rb"[#$%&*@^~!|=+<>]$")
+#: Bytes of words: spaces for white space, all else as it is; of lines: spaces for their ends, and ends for spaces.
+_WORDS = np.array([32 if _SPACE[c] else c for c in range(256)], np.uint8)
+_LINES = np.array([{10: 32, 32: 10}.get(c, c) for c in range(256)], np.uint8)
+_IS_UPPER, _IS_LOWER, _IS_MARK, _IS_INK = (_members(x).astype(np.uint8) for x in (_UPPER, _LOWER, b"#$%&*@^~!|=+<>", (c for c in range(256) if not _SPACE[c])))
+
+
+def _runs(folded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of other bytes than spaces start and end."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], folded != 32, [False]]).astype(np.int8)))
+    return edges[::2], edges[1::2]
+
+
+def _within(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many bytes of each run have a flag. Runs are never empty and ``flags`` goes on after the last."""
+    return np.add.reduceat(flags, np.stack([starts, ends], axis=1).ravel(), dtype=np.int64)[::2] if len(starts) else np.empty(0, np.int64)
+
+
+def _tallied(doc: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of each of n texts, and how often the most frequent one occurs."""
+    if not len(doc):
+        return np.zeros(n, np.int64), np.zeros(n)
+    ordered = np.sort((doc.astype(np.uint64) << np.uint64(44)) | (key >> np.uint64(20)))
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    of = (ordered[first] >> np.uint64(44)).astype(np.int64)
+    at = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    most = np.zeros(n)
+    most[of[at]] = np.maximum.reduceat(np.diff(np.append(first, len(doc))), at)
+    return np.bincount(of, minlength=n), most
+
+
+def statistics_of(texts: list[bytes]) -> np.ndarray:
+    """The statistics of whole texts, one row each; zeros for an empty one. All texts are counted together."""
+    n = len(texts)
+    out = np.zeros((n, len(STATISTICS)))
+    size = np.array([len(t) for t in texts])
+    counts = np.stack([np.bincount(np.frombuffer(t, np.uint8), minlength=256) for t in texts]) if n else np.empty((0, 256))
+    whole = np.maximum(size, 1)[:, None]
+    out[:, 4:14] = counts @ _CLASSES.T / whole
+    shares = counts / whole
+    out[:, 14] = -(shares * np.log2(shares, out=np.zeros_like(shares), where=shares > 0)).sum(axis=1)
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    begins = np.concatenate([[0], np.cumsum(size + 1)[:-1]]) if n else np.empty(0, np.int64)
+
+    folded = _WORDS[raw]
+    starts, ends = _runs(folded)
+    doc = np.searchsorted(begins, starts, "right") - 1
+    words = np.bincount(doc, minlength=n)
+    some = np.maximum(words, 1)
+    mean = lambda of: np.bincount(doc, of, n) / some
+    length = (ends - starts).astype(np.float64)
+    out[:, 0], out[:, 1] = np.log1p(size), np.log1p(words)
+    out[:, 2] = mean(length)
+    out[:, 3] = np.sqrt(mean((length - out[doc, 2]) ** 2))
+    distinct, most = _tallied(doc, word_hashes(folded)[1], n)
+    out[:, 15], out[:, 16] = distinct / some**0.8, most / some
+    out[:, 17] = mean(length <= 3)
+    loud = np.flatnonzero((length > 1) & (_within(_IS_LOWER[raw], starts, ends) == 0))
+    loud = loud[_within(_IS_UPPER[raw], starts[loud], ends[loud]) > 0]
+    out[:, 18] = np.bincount(doc[loud], minlength=n) / some
+    out[:, 19] = mean(_IS_MARK[raw[ends - 1]] > 0)
+    out[:, 22] = mean((length == 1) & (raw[starts] == ord("|")))
+
+    swapped = _LINES[raw]
+    starts, ends = _runs(swapped)
+    inked = _within(_IS_INK[raw], starts, ends) > 0
+    doc, key = np.searchsorted(begins, starts[inked], "right") - 1, word_hashes(swapped)[1][inked]
+    lines = np.bincount(doc, minlength=n)
+    distinct, _ = _tallied(doc, key, n)
+    out[:, 20] = np.where(lines > 0, 1 - distinct / np.maximum(lines, 1), 0)
+    out[:, 21] = np.where(lines > 0, np.log1p(size / np.maximum(lines, 1)), 0)
+    out[size == 0] = 0
+    return out
 
 
 def statistics(text: bytes | None) -> np.ndarray:
-    """The statistics of a whole text; zeros for an empty one."""
-    out = np.zeros(len(STATISTICS))
-    if not text:
-        return out
-    n = len(text)
-    counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-    out[4:14] = _CLASSES @ counts / n
-    shares = counts[counts > 0] / n
-    out[14] = -(shares * np.log2(shares)).sum()
-    words = text.split()
-    out[0], out[1] = np.log1p(n), np.log1p(len(words))
-    if words:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        tally: dict[bytes, int] = {}
-        for w in words:
-            tally[w] = tally.get(w, 0) + 1
-        out[2], out[3] = lengths.mean(), lengths.std()
-        out[15] = len(tally) / len(words) ** 0.8
-        out[16] = max(tally.values()) / len(words)
-        out[17] = (lengths <= 3).mean()
-        shouted = marked = barred = 0
-        for w, k in tally.items():
-            shouted += k * (len(w) > 1 and w.isupper())
-            marked += k * (_MARKED.search(w) is not None)
-            barred += k * (w == b"|")
-        out[18], out[19], out[22] = shouted / len(words), marked / len(words), barred / len(words)
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    if lines:
-        out[20] = 1 - len(set(lines)) / len(lines)
-        out[21] = np.log1p(n / len(lines))
-    return out
+    return statistics_of([text or b""])[0]
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -88,12 +131,18 @@ def measured(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                rows = [statistics(t.as_py()) for t in part.column(1)]
-                flat = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.float64())
-                ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(STATISTICS))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "stats"])
+            rows, held, size = [], [], 0
+            for text in batch.column(1):
+                held.append(text.as_py() or b"")
+                size += len(held[-1]) + 1
+                if size >= TOGETHER:
+                    rows.append(statistics_of(held))
+                    held, size = [], 0
+            rows.append(statistics_of(held))
+            flat = np.concatenate(rows).ravel()
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["doc_id", "stats"])
+        common.give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, stats array<double>")
 

@@ -191,6 +191,36 @@ def test_three_scores_are_combined_by_their_weights():
 # --- quality -------------------------------------------------------------------------------------
 
 
+def slow_statistics(text):
+    """Word by word and line by line."""
+    out = dict.fromkeys(quality.STATISTICS, 0.0)
+    if not text:
+        return list(out.values())
+    share = lambda of: sum(c in of for c in text) / len(text)
+    words, lines = text.split(), [x for x in text.split(b"\n") if x.strip()]
+    marks = [c for c in range(33, 127) if not chr(c).isalnum()]
+    out |= {"log_chars": math.log1p(len(text)), "log_words": math.log1p(len(words)), "upper": share(range(65, 91)), "digits": share(range(48, 58)), "marks": share(marks), "bars": share(b"|"), "odd_marks": share(b"#$%&*@^~<>{}[]\\=+_"),
+            "exclamations": share(b"!"), "stops": share(b"."), "commas": share(b","), "spaces": share(b" \t\n\x0b\x0c\r"), "beyond_ascii": share(range(128, 256)), "entropy": -sum(k / len(text) * math.log2(k / len(text)) for k in Counter(text).values())}
+    if words:
+        lengths, tally = [len(w) for w in words], Counter(words)
+        of = lambda test: sum(map(test, words)) / len(words)
+        out |= {"word_length": np.mean(lengths), "word_length_spread": np.std(lengths), "distinct_words": len(tally) / len(words) ** 0.8, "top_word": max(tally.values()) / len(words), "short_words": of(lambda w: len(w) <= 3),
+                "shouted_words": of(lambda w: len(w) > 1 and w.isupper()), "marked_words": of(lambda w: w[-1:] in [bytes([c]) for c in b"#$%&*@^~!|=+<>"]), "barred_words": of(lambda w: w == b"|")}
+    if lines:
+        out |= {"repeated_lines": 1 - len(set(lines)) / len(lines), "log_line_length": math.log1p(len(text) / len(lines))}
+    return list(out.values())
+
+
+def test_statistics_counted_together_are_those_of_each_text():
+    rng = random.Random(5)
+    parts = ["a", "Ab", "ABC", "x!", "|", "||", "9#", "é", "ÉÀ", "\n", "\n\n", " ", "\t \n", "same line\n", "\r\n", "\x0b", "w" * 70_000]
+    texts = ["".join(rng.choice(parts[:-1]) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(0, 60))).encode() for _ in range(120)] + [b"", b" \n", (parts[-1] + " " + parts[-1] + "q\nz").encode()]
+    got = quality.statistics_of(texts)
+    assert np.allclose(got, [slow_statistics(t) for t in texts], atol=1e-9)
+    assert np.allclose(got[::7], [quality.statistics(t) for t in texts[::7]], atol=1e-12) and not quality.statistics(None).any()
+    assert quality.statistics_of([]).shape == (0, len(quality.STATISTICS))
+
+
 def test_quality_scores_are_those_of_a_plain_cross_fit(spark):
     rng = random.Random(9)
     rows = [(d, " ".join(rng.choice("ab") * rng.randint(1, 9) + ("!!" if d % 3 == 0 and rng.random() < 0.7 else "") for _ in range(rng.randint(5, 40))), "a") for d in range(120)] + [(500, None, "a"), (501, "", "a")]
