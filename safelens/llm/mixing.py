@@ -101,8 +101,8 @@ class Mix:
         out = common.sized_join(rows, self.plan, ["__key"])
         inclusion = F.when(F.col("__size") > F.col("__largest"), F.lit(1.0)).otherwise(F.coalesce(F.col("__factor") * F.col("__size"), F.lit(0.0)))
         u = common.unit_hash(F.lit(self.seed), F.col("__id"), F.col("__digest"), F.col("__twin"))
-        out = out.withColumn("__inclusion", inclusion).withColumn("__rank", F.when(F.col("__inclusion") > 0, _rank(u, F.col("__inclusion"))))
-        return out.withColumn("__bin", F.floor(F.col("__rank") * self.bins).cast("long")).drop("__inclusion")
+        out = out.withColumns({"__inclusion": inclusion, "__u": u}).withColumn("__rank", F.when(F.col("__inclusion") > 0, _rank(F.col("__u"), F.col("__inclusion"))))
+        return out.withColumn("__bin", F.floor(F.col("__rank") * self.bins).cast("long")).drop("__inclusion", "__u")
 
     def decided(self, rows: DataFrame) -> DataFrame:
         """The rows with __copies. Only the documents at the cut need a join, with a table that has about BIN_ROWS rows a source."""
@@ -182,8 +182,10 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     their places in a written table; the copies of such a group are dealt evenly to its rows.
     """
     mix = pareto_plan(docs, **kw)
-    repeat = lambda df: df.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
-    keyed = _keyed(docs).filter("__size > 0")
+    # No filter on the size: it would be pushed to the scan, and words counted once more.
+    copies = F.when(F.col("__size") > 0, F.col("__copies")).otherwise(0).cast("int")
+    repeat = lambda df: df.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    keyed = _keyed(docs)
     group = ["__key", "__id", "__digest"]
     again = common.written(mix.decided(mix.twins("__rows > 1 AND __size > 0")).groupBy(*group).agg(F.sum("__copies").alias("__total"), F.count(F.lit(1)).alias("__n")), "mix-again")
     if not again.limit(1).count():
