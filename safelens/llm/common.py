@@ -57,7 +57,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, at: str) -> None:
+def delete(spark: SparkSession, at: str) -> None:
+    """Delete a folder, wherever it stands."""
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
     if at in _standing:
@@ -67,7 +68,7 @@ def _delete(spark: SparkSession, at: str) -> None:
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing will read again."""
     for table in tables:
-        _delete(table.sparkSession, table._written_at)
+        delete(table.sparkSession, table._written_at)
 
 
 @contextlib.contextmanager
@@ -77,7 +78,7 @@ def swept(spark: SparkSession) -> Iterator[list[DataFrame]]:
     yield kept
     stay = before | {table._written_at for table in kept}
     for at in [x for x in _standing if x not in stay]:
-        _delete(spark, at)
+        delete(spark, at)
 
 
 @contextlib.contextmanager

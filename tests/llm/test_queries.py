@@ -24,6 +24,9 @@ COLUMNS = {
     "op8_cross_entropy_difference": ["doc_id", "n_words", "of_target", "target_loss", "background_loss", "difference"],
     "op9_fourier_quality": ["doc_id", "held_out", "score", "predicted"],
     "op10_randomness_battery": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+    "op11_all_lag_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op12_revisit_resolution": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+    "op13_heap_lloyd": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
 }
 
 
@@ -48,7 +51,7 @@ def cell(v):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_rows_are_those_of_the_sql(found, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     result = con.execute(registry.oracle_sql()[name])
     names = [c[0] for c in result.description]
@@ -61,7 +64,7 @@ def test_rows_are_those_of_the_sql(found, name):
 def test_columns_and_rows(spark, found, name):
     columns, rows = found(name)
     assert columns[: len(COLUMNS[name])] == COLUMNS[name]
-    if name.split("_")[0] in ("op3", "op6", "op7", "op8", "op9", "op10"):
+    if name.split("_")[0] in ("op3", "op6", "op7", "op8", "op9", "op10", "op11"):
         assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
 
 
