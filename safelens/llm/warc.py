@@ -189,7 +189,7 @@ def archived(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     spark = pages.sparkSession
     raw, out = (f"{common.shared_dir(spark).rstrip('/')}/llm-warc-{kind}-{uuid.uuid4().hex}" for kind in ("raw", "out"))
     records = records_of(pages)
-    write_archive(records.withColumns({"payload_digest": payload_digest(F.col("payload")), "payload_bytes": F.octet_length("payload").cast("long")}), raw)
+    write_archive(records.withColumns({"payload_digest": payload_digest(F.col("payload")), "payload_bytes": F.octet_length("payload").cast("long")}), raw, "snappy")  # read twice, then deleted
     deduplicated(spark, raw, out, least_bytes)
     common.delete(spark, raw)
     found = looked_up(read_archive(spark, out))
