@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions.text import is_blank, strip
+from .ranges import ORD, csv_rows, json_rows, numbered, place
 
 CANONICAL = ("text", "labels", "source_path", "raw_labels", "source")
 
@@ -20,29 +21,26 @@ def _suffix(path: str) -> str:
 
 
 def read_rows(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """(ord, row VARIANT) of a .jsonl, .json or .csv file, in file order. Malformed lines raise, or are dropped if not strict."""
+    """(ord, row VARIANT) of .jsonl, .json or .csv files: one, or a folder of parts. ``ord`` sorts rows as they stand in the files, these by name.
+
+    Malformed lines raise, or are dropped if not strict. All three formats are read in ranges, so a large file takes many tasks.
+    """
     suffix, parse = _suffix(path), F.parse_json if strict else F.try_parse_json
     if suffix == ".jsonl":
-        lines = spark.read.text(str(path)).select(F.monotonically_increasing_id().alias("ord"), "value").filter(~is_blank(F.col("value")))
+        lines = spark.read.text(str(path)).select(place().alias("ord"), "value").filter(~is_blank(F.col("value")))
         # The parser sees no blank line, wherever the optimiser puts the filters.
         return lines.select("ord", parse(F.when(~is_blank(F.col("value")), F.col("value"))).alias("row")).filter("row IS NOT NULL")
     if suffix == ".json":
-        whole = spark.read.text(str(path), wholetext=True).select(parse("value").alias("v"))
-        rows = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.col("v")).otherwise(F.variant_get("v", "$.rows", "variant"))
-        each = whole.select(rows.alias("rows")).lateralJoin(spark.tvf.variant_explode(F.col("rows").outer()))
-        return each.select(F.col("pos").cast("long").alias("ord"), F.col("value").alias("row"))
+        return json_rows(spark, str(path), strict)
     if suffix == ".csv":
-        table = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(path))
-        # All cells are strings; an empty cell is an empty string, so that a column that exists counts as given.
-        cells = F.to_json(F.struct(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in table.columns]))
-        return table.select(F.monotonically_increasing_id().alias("ord"), F.parse_json(cells).alias("row"))
+        return csv_rows(spark, str(path))
     raise ValueError(f"unsupported file type: {path}")
 
 
 def quarantine(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a .jsonl file that don't parse."""
-    lines = spark.read.text(str(path)).select(F.monotonically_increasing_id().alias("ord"), "value")
-    return lines.filter(~is_blank(F.col("value")) & F.try_parse_json("value").isNull())
+    """Lines of .jsonl files that don't parse: ord, value, and line, the number in their file, from 1."""
+    lines = numbered(spark.read.text(str(path)).select(place().alias("ord"), "value"), "line")
+    return lines.filter(~is_blank(F.col("value")) & F.try_parse_json("value").isNull()).select("ord", "value", (F.col("line") + 1).alias("line"))
 
 
 def canonical_rows(rows: DataFrame, source_path: str = "", injection_flag: bool = True) -> DataFrame:
@@ -65,7 +63,7 @@ def read_corpora(spark: SparkSession, paths: Iterable[str], missing_ok: bool = T
         one = canonical_rows(read_rows(spark, path), str(path)).withColumn("path_ord", F.lit(i))
         out = one if out is None else out.unionByName(one)
     if out is None:
-        return spark.createDataFrame([], "ord long, text string, labels array<string>, source_path string, raw_labels array<string>, source string, path_ord int")
+        return spark.createDataFrame([], f"ord {ORD}, text string, labels array<string>, source_path string, raw_labels array<string>, source string, path_ord int")
     return out
 
 

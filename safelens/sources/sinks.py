@@ -9,7 +9,7 @@ from pathlib import Path
 from typing import Any
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,14 @@ def write_results(df: DataFrame, path: str, kind: str = "parquet", partition_by:
     (writer.partitionBy(partition_by) if partition_by else writer).format(kind).save(path)
 
 
+def write_json_arrays(rows: DataFrame, path: str, key: Column, per_file: int = 2000, wrapped: bool = True) -> None:
+    """Files of one JSON array each, of about ``per_file`` rows, dealt out by a hash of ``key``; ``wrapped``: below the key ``rows`` of an object."""
+    files = max(1, -(-rows.count() // per_file))
+    arrays = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(files)).alias("__file")).agg(F.collect_list(F.struct(*[F.col(c) for c in rows.columns])).alias("rows"))
+    value = F.to_json(F.struct("rows") if wrapped else F.col("rows"), {"ignoreNullFields": "false"})
+    arrays.select(value.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
 def as_json(results: DataFrame) -> DataFrame:
     return results.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
