@@ -62,46 +62,80 @@ def if_there(path: str | None, load: Callable) -> Callable | None:
     return load if path and Path(path).exists() else None
 
 
+def word_cut(text: str, most: int | None) -> tuple[str, int]:
+    """A text's first ``most`` words and how many there are, for models without tokens of their own."""
+    words = text.split()
+    return (text, len(words)) if most is None or len(words) <= most else (" ".join(words[:most]), most)
+
+
+def in_windows(frames: Iterator[pd.Series], texts: int, characters: int) -> Iterator[list[pd.Series]]:
+    """Frames together until they hold so many texts or characters; a window has one frame at least."""
+    held, n, size = [], 0, 0
+    for frame in frames:
+        held.append(frame)
+        n, size = n + int(frame.notna().sum()), size + int(frame.str.len().sum())
+        if n >= texts or size >= characters:
+            yield held
+            held, n, size = [], 0, 0
+    if held:
+        yield held
+
+
 class ArrowScorer:
     """Any model behind Arrow batches. ``load`` returns a function from texts to one ``{label: score}`` for each.
 
-    It is called once per Python worker task; null texts are never scored, so a null gate saves the call.
+    It is called once per Python worker task; null texts are never scored, so a null gate saves the call. A model pads a batch to its longest
+    text, so texts of ``window`` batches are put in the order of their tokens before they are dealt to batches; rows come out in their own order.
+    A window of 1 leaves texts as they come.
     """
 
+    #: Characters at which a window ends, however few its texts.
+    WINDOW_CHARACTERS = 8 << 20
+
     @property
     def router_loaded(self) -> bool:
         return self.load_router is not None
 
-    def __init__(self, load_router: Callable | None, load_prompt: Callable, load_moderation: Callable, batch: int = 128, max_length: int | None = None) -> None:
-        self.load_router, self.load_prompt, self.load_moderation, self.batch, self.max_length = load_router, load_prompt, load_moderation, batch, max_length
+    def __init__(self, load_router: Callable | None, load_prompt: Callable, load_moderation: Callable, batch: int = 128, max_length: int | None = None, window: int = 16) -> None:
+        self.load_router, self.load_prompt, self.load_moderation, self.batch, self.max_length, self.window = load_router, load_prompt, load_moderation, batch, max_length, window
 
     def _scored(self, load: Callable) -> Callable[[Column], Column]:
-        """(scores, tokens, ms) of each text: raw scores, the tokens that the model has read, and its share of its batch's time.
+        """(scores, tokens, ms, padded, padded_unsorted) of each text: raw scores, the tokens that the model has read, its share of its batch's time, and
+        the tokens with padding, as batches are and as they would be in the order of rows.
 
-        A model may bring its own ``cut(text, max_length)``, which gives the text it reads and its number of tokens; else words are tokens.
+        A model may bring its own ``cut(text, max_length)``, which gives the text it reads and its number of tokens, or ``cut_all`` for many; else words are tokens.
         """
-        batch, most = self.batch, self.max_length
+        batch, most, window, characters = self.batch, self.max_length, max(1, self.window), self.WINDOW_CHARACTERS
 
-        def cut(text: str, most: int | None) -> tuple[str, int]:
-            words = text.split()
-            return (text, len(words)) if most is None or len(words) <= most else (" ".join(words[:most]), most)
-
-        @F.pandas_udf("scores map<string,double>, tokens int, ms double")
+        @F.pandas_udf("scores map<string,double>, tokens int, ms double, padded int, padded_unsorted int")
         def score(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             model = load()
-            shorten = getattr(model, "cut", cut)
-            for texts in frames:
-                out = {"scores": [None] * len(texts), "tokens": [None] * len(texts), "ms": [None] * len(texts)}
+            shorten = getattr(model, "cut", word_cut)
+            cut_all = getattr(model, "cut_all", lambda texts, most: [shorten(t, most) for t in texts])
+            for held in in_windows(frames, batch * window, characters):
+                texts = pd.concat(held, ignore_index=True)
+                out: dict[str, list] = {k: [None] * len(texts) for k in ("scores", "tokens", "ms", "padded", "padded_unsorted")}
                 wanted = [i for i, t in enumerate(texts) if t is not None]
+                read = dict(zip(wanted, cut_all([texts.iloc[i] for i in wanted], most), strict=True))
+                for at in range(0, len(wanted), batch):
+                    longest = max(read[i][1] for i in wanted[at : at + batch])
+                    for i in wanted[at : at + batch]:
+                        out["padded_unsorted"][i] = longest
+                if window > 1:
+                    wanted.sort(key=lambda i: read[i][1])  # stable: equal lengths stay in the order of rows
                 for at in range(0, len(wanted), batch):
                     part = wanted[at : at + batch]
-                    read = [shorten(texts.iloc[i], most) for i in part]
                     began = time.perf_counter()
-                    found = model([text for text, _ in read])
+                    found = model([read[i][0] for i in part])
                     each = 1000 * (time.perf_counter() - began) / len(part)
-                    for i, raw, (_, tokens) in zip(part, found, read, strict=True):
-                        out["scores"][i], out["tokens"][i], out["ms"][i] = {str(k): float(v) for k, v in raw.items()}, tokens, each
-                yield pd.DataFrame(out).astype({"tokens": "Int32", "ms": "Float64"})
+                    longest = max(read[i][1] for i in part)
+                    for i, raw in zip(part, found, strict=True):
+                        out["scores"][i], out["tokens"][i], out["ms"][i], out["padded"][i] = {str(k): float(v) for k, v in raw.items()}, read[i][1], each, longest
+                done = pd.DataFrame(out).astype({"tokens": "Int32", "ms": "Float64", "padded": "Int32", "padded_unsorted": "Int32"})
+                at = 0
+                for frame in held:
+                    yield done.iloc[at : at + len(frame)].reset_index(drop=True)
+                    at += len(frame)
 
         return score.asNondeterministic()
 
@@ -121,6 +155,13 @@ class ArrowScorer:
         return self._scored(self.load_moderation)(text)
 
 
+def padding(measured: DataFrame, column: str) -> DataFrame:
+    """texts, tokens, and the shares of what a model reads that are padding, in the order of rows and as batches were dealt; of a column that ``measured_prompt`` or ``measured_moderation`` gives."""
+    c = lambda name: F.col(f"{column}.{name}")
+    share = lambda name: F.coalesce(F.lit(1.0) - F.try_divide(F.sum(c("tokens")), F.sum(c(name))), F.lit(0.0))
+    return measured.agg(F.count(c("tokens")).alias("texts"), F.coalesce(F.sum(c("tokens")), F.lit(0)).alias("tokens"), share("padded_unsorted").alias("padding_unsorted"), share("padded").alias("padding"))
+
+
 def router_scores(raw: Column) -> Column:
     """Three known classes of the router's output, prefix stripped, 0 where absent."""
     plain = F.transform_keys(raw, lambda k, v: F.regexp_replace(k, "^__label__", ""))

@@ -24,6 +24,7 @@ from ..operators import sampling as W
 from ..operators.cascade import classify, decide, results, route
 from ..sources import readers, sinks
 from ..sources.sinks import label_counters
+from . import files, learning
 
 SCOPED = PROFILES["scoped_v0"]
 
@@ -178,8 +179,7 @@ def _written_corpus(spark, sf):
     at = sinks.scratch(spark)
     third = lambda k: rows.filter(F.col("doc_id") % 3 == k).drop("doc_id")
     third(0).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(f"{at}/a.jsonl")
-    # Read whole: one document, so one row for each file is what this format costs.
-    third(1).agg(F.to_json(F.struct(F.collect_list(F.struct("*")).alias("rows"))).alias("value")).coalesce(1).write.text(f"{at}/b.json")
+    sinks.write_json_arrays(third(1), f"{at}/b.json", F.col("prompt"))
     third(2).write.option("header", True).option("escape", '"').csv(f"{at}/c.csv")
     return readers.read_corpora(spark, [f"{at}/a.jsonl", f"{at}/b.json", f"{at}/c.csv"])
 
@@ -456,7 +456,7 @@ QUERIES = [
 
 
 def queries():
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in (*QUERIES, *files.QUERIES, *learning.QUERIES)}
 
 
 # --- the same in SQL -----------------------------------------------------------------------------
@@ -691,6 +691,4 @@ SELECT round((SELECT t FROM best_t), 6) AS temperature, (SELECT threshold FROM c
     curve = f"WITH {_GOLD}, x AS (SELECT t, t_ord, {routed} FROM {_unnest(G.SINGLE_ROUTE_GRID, 't')} CROSS JOIN s GROUP BY ALL), w AS (SELECT t AS threshold, t_ord, tp AS caught, tp + fn AS total, tp + fp AS routed, round({_DIV('tp', 'tp + fn')}, 4) AS recall, round({_DIV('tp + fp', 'tp + fp + fn + tn')} * 100, 2) AS routed_pct FROM x)"
     sql["route_curve"] = f"{curve} SELECT threshold, caught, total, routed, recall, routed_pct FROM w"
     sql["route_choice"] = f"{curve} SELECT threshold, recall, routed, routed_pct FROM w ORDER BY recall >= 0.6 DESC, CASE WHEN recall >= 0.6 THEN routed END, CASE WHEN recall < 0.6 THEN recall END DESC, t_ord LIMIT 1"
-    return sql
-
-
+    return sql | files.oracle_sql(_KEY) | learning.oracle_sql()
