@@ -16,7 +16,10 @@ from ..sources import sinks
 CLASSES, THIRD = ("moderation", "safe"), 1
 #: A public vocabulary; only the driver reads the file.
 VOCABULARY = os.environ.get("SAFELENS_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-_HELD = F.col("doc_id") % 3 == THIRD
+
+
+def _held():
+    return F.col("doc_id") % 3 == THIRD
 
 
 def _scored(spark, sf):
@@ -24,11 +27,11 @@ def _scored(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
     rows = docs.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))).filter("text <> ''").join(labels, "doc_id", "left")
-    known = rows.filter(F.col("toxic").isNotNull() & ~_HELD).withColumn("class", F.when(F.col("toxic") == 1, CLASSES[0]).otherwise(CLASSES[1]))
+    known = rows.filter(F.col("toxic").isNotNull() & ~_held()).withColumn("class", F.when(F.col("toxic") == 1, CLASSES[0]).otherwise(CLASSES[1]))
     at = f"{sinks.scratch(spark)}/router"
     train.fit(known, "text", "class", CLASSES).write(spark, at)
     scorer = train.trained_scorer(router=linear.read_model(spark, at))
-    return rows.withColumn("router", scorer.router(F.col("text"))).select("doc_id", "toxic", _HELD.alias("held_out"), "router")
+    return rows.withColumn("router", scorer.router(F.col("text"))).select("doc_id", "toxic", _held().alias("held_out"), "router")
 
 
 def trained_router_scores(spark, sf):
