@@ -35,9 +35,14 @@ class LexiconScorer:
     def _score(self, hits: Column, words: Column) -> Column:
         return hits / (hits + F.lit(0.02) * (F.lit(1.0) + words / F.lit(50.0)))
 
+    def _hits(self, text: Column, words: tuple[str, ...]) -> Column:
+        """Words are counted only where one of them stands in the text, be it within another word."""
+        there = _contains(text, words)
+        return F.when(there, F.regexp_count(text, F.lit(lexicon_pattern(words)))).when(text.isNotNull(), 0).cast("double")
+
     def _counted(self, df: DataFrame, text: Column, suffix: str = "") -> DataFrame:
         """One column of hits for each list, and the words: plain columns, or every field of a struct would count them again."""
-        hits = {k + suffix: F.regexp_count(text, F.lit(lexicon_pattern(w))).cast("double") for k, w in self.LISTS.items()}
+        hits = {k + suffix: self._hits(text, w) for k, w in self.LISTS.items()}
         return df.withColumns(hits | {"__words" + suffix: word_total(text)})
 
     def scored(self, df: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import PUBLIC_LABELS
 from ..functions.rules import ATTACK, MODERATION
+from ..sources.sinks import scratch
 from .metrics import bce, pct, prf, ratio
 
 # The grids, in the order in which candidates are tried.
@@ -203,19 +204,58 @@ def best_f1(df: DataFrame, gold: Column, score: Column) -> DataFrame:
 
 def loss_by_temperature(df: DataFrame, z: Column, y: Column, temperatures: Sequence[float]) -> DataFrame:
     """Mean loss at every temperature; equal rows are counted first."""
-    cells = _cells(df, z=z.cast("double"), y=y.cast("double"))
-    losses = _over(grid(df.sparkSession, temperature=temperatures), cells)
+    return _losses(_cells(df, z=z.cast("double"), y=y.cast("double")), temperatures)
+
+
+def _losses(cells: DataFrame, temperatures: Sequence[float]) -> DataFrame:
+    losses = _over(grid(cells.sparkSession, temperature=temperatures), cells)
     return losses.groupBy("ord", "temperature").agg((F.sum(bce(F.col("z"), F.col("y"), F.col("temperature")) * F.col("n")) / F.sum("n")).alias("loss"))
 
 
+def _bins(cells: DataFrame) -> DataFrame:
+    """Neighbouring margins together, finer near 0: at most some hundred thousand rows whatever the cells, each with its ends and its mean."""
+    place = F.floor(F.asinh(F.col("z") * 1000) * 256)
+    return cells.groupBy("y", place.alias("bin")).agg(F.sum("n").alias("n"), F.min("z").alias("low"), F.max("z").alias("high"), (F.sum(F.col("z") * F.col("n")) / F.sum("n")).alias("mean"))
+
+
+def loss_bounds(bins: DataFrame, temperatures: Sequence[float]) -> DataFrame:
+    """ord, temperature, least and most: between them lies the mean loss.
+
+    Where no probability is cut off, the loss is convex in the margin: a bin's is at least that of its mean and at most its chord's. Elsewhere each
+    class's part rises or falls with the margin, so the bin's ends bound it.
+    """
+    low, high, mean, y, t, n = (F.col(c) for c in ("low", "high", "mean", "y", "temperature", "n"))
+    loss = lambda at: bce(at, y, t)
+    one, none = (lambda at: y * bce(at, F.lit(1.0), t)), (lambda at: (1 - y) * bce(at, F.lit(0.0), t))
+    smooth = (F.abs(low) < 16 * t) & (F.abs(high) < 16 * t)
+    chord = loss(low) + F.coalesce(F.try_divide(mean - low, high - low), F.lit(0.0)) * (loss(high) - loss(low))
+    every = _over(grid(bins.sparkSession, temperature=temperatures), bins)
+    return every.groupBy("ord", "temperature").agg(
+        (F.sum(n * F.when(smooth, F.least(loss(mean), chord)).otherwise(one(high) + none(low))) / F.sum(n)).alias("least"),
+        (F.sum(n * F.when(smooth, F.greatest(loss(mean), chord)).otherwise(one(low) + none(high))) / F.sum(n)).alias("most"),
+    )
+
+
+def _best_temperature(cells: DataFrame, temperatures: Sequence[float]) -> float | None:
+    """The first temperature of the smallest loss. Bounds by bins leave a few; only those meet every margin."""
+    bounds = sorted(loss_bounds(_bins(cells), temperatures).collect(), key=lambda r: r["ord"])
+    if not bounds:
+        return None
+    limit = min(r["most"] for r in bounds) * (1 + 1e-9) + 1e-12  # sums are rounded
+    left = [r["temperature"] for r in bounds if r["least"] <= limit]
+    return left[0] if len(left) == 1 else _losses(cells, left).orderBy("loss", "ord").first()["temperature"]
+
+
 def fit_temperature(df: DataFrame, z: Column, y: Column) -> float:
-    """Two passes: the coarse grid, then 50 steps around its best. The first smallest loss wins. No rows: 1."""
-    first = loss_by_temperature(df, z, y, TEMPERATURES).orderBy("loss", "ord").first()
-    if first is None:
+    """The coarse grid, then 50 steps around its best. The first smallest loss wins. No rows: 1. Equal margins are counted once, and written."""
+    spark = df.sparkSession
+    cells = _cells(df, z=z.cast("double"), y=y.cast("double")).filter("z IS NOT NULL AND y IS NOT NULL")
+    cells.write.parquet(at := f"{scratch(spark)}/margins")
+    cells = spark.read.parquet(at)
+    start = _best_temperature(cells, TEMPERATURES)
+    if start is None:
         return 1.0
-    start = first["temperature"]
-    fine = [start, *(max(0.01, start - 0.05 + 0.1 * i / 49) for i in range(50))]
-    return loss_by_temperature(df, z, y, fine).orderBy("loss", "ord").first()["temperature"]
+    return _best_temperature(cells, [start, *(max(0.01, start - 0.05 + 0.1 * i / 49) for i in range(50))])
 
 
 def prf_at_temperature(df: DataFrame, z: Column, y: Column, temperature: float, threshold: float) -> DataFrame:

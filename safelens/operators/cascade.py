@@ -58,13 +58,21 @@ def _names(*pairs: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(c, name) for c, name in pairs]))
 
 
-def classify(df: DataFrame, settings: Settings, scorer=None, text: str = "text") -> DataFrame:
+def spread(df: DataFrame, least: int | None = None) -> DataFrame:
+    """Deal rows out to ``least`` tasks (as many as there are cores) where the plan has fewer, as one small file gives; otherwise, and for streams, leave them."""
+    if df.isStreaming:
+        return df
+    least = least or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
+
+
+def classify(df: DataFrame, settings: Settings, scorer=None, text: str = "text", dealt: bool = False) -> DataFrame:
     """Rows with labels, scores, routing and everything between. Row-wise: no shuffle, and it runs on streams as well.
 
-    Models see a text only where they run (a null otherwise), so a costly scorer isn't called for routed-out rows.
+    ``dealt``: an input of fewer tasks than there are cores is dealt out first. Models see a text only where they run (a null otherwise), so a costly scorer isn't called for routed-out rows.
     """
     scorer = scorer or LexiconScorer()
-    out = apply_rules(normalize(df.filter(~is_blank(F.col(text))), text), text)
+    out = apply_rules(normalize((spread(df) if dealt else df).filter(~is_blank(F.col(text))), text), text)
     if isinstance(scorer, LexiconScorer):
         out = route(scorer.scored(out), settings).withColumns({"pi": F.col("__pi"), "harmful": F.col("__harmful"), "sexual": F.col("__sexual")}).drop("__pi", "__harmful", "__sexual")
     else:

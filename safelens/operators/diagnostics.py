@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import replace
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -60,9 +60,9 @@ def pipeline_report(spark: SparkSession, settings: Settings, scorer=None) -> Dat
     return rows.select("expected", "text", "labels", ok.alias("ok"))
 
 
-def probe_report(spark: SparkSession, settings: Settings, scorer=None) -> DataFrame:
-    """kind, text, predicted and ok for every probe."""
-    rows = classify(spark.createDataFrame(list(PROBES), "kind string, text string"), settings, scorer)
+def probe_report(spark: SparkSession, settings: Settings, scorer=None, rows: DataFrame | None = None) -> DataFrame:
+    """kind, text, predicted and ok for every probe, or for rows (kind, text) of one's own."""
+    rows = classify(spark.createDataFrame(list(PROBES), "kind string, text string") if rows is None else rows, settings, scorer)
     t = settings.thresholds
     predicted = predicted_class(F.col("pi"), F.col("harmful"), F.col("sexual"), t.prompt_injection_review, t.harmful_content_review)
     return rows.select("kind", "text", predicted.alias("predicted"), (predicted == F.col("kind")).alias("ok"))
@@ -112,10 +112,11 @@ def bakeoff(rows: DataFrame, models: dict[str, tuple[Callable, str]], key: str,
 
 
 def timed(df: DataFrame) -> tuple[int, dict[str, float]]:
-    """Rows of a plan and the throughput of running it."""
-    began = time.perf_counter()
-    rows = df.count()
-    return rows, metrics.throughput(rows, time.perf_counter() - began)
+    """Rows of a plan and the throughput of running it: every column of every row is computed, and rows are counted on the way."""
+    seen, began = Observation(), time.perf_counter()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+    seconds = time.perf_counter() - began
+    return seen.get["rows"], metrics.throughput(seen.get["rows"], seconds)
 
 
 def compare_modes(rows: DataFrame, score: dict[str, Column], key: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Confusion counts, precision, recall, F1, percentiles, routing and latency figures. One aggregation each, no joins."""
+"""Confusion counts, precision, recall, F1, percentiles, routing and latency figures. One aggregation each; ranks take two."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import HARMFUL_CONTENT, PROMPT_INJECTION, PUBLIC_LABELS, SAFE, SEXUAL
+from .ranks import at_ranks, percentiles
 
 ROUTE_OUTCOMES = ("direct_prompt_injection", "direct_harmful_content", "direct_safe", "fast_allow", "both_models", "prompt_only", "moderation_only", "no_model")
 
@@ -114,37 +115,25 @@ def distinct_values(df: DataFrame, column: str, name: str = "value") -> DataFram
     return df.select(F.explode(column).alias(name)).distinct()
 
 
-def percentile(c: str | Column, q: float, digits: int | None = 2) -> Column:
-    """Inclusive linear interpolation; 0 for no rows."""
-    out = F.coalesce(F.percentile(c, q / 100), F.lit(0.0))
-    return out if digits is None else F.round(out, digits)
-
-
-def latency(df: DataFrame, column: str, by: tuple[str, ...] = (), digits: int = 2) -> DataFrame:
-    return df.groupBy(*by).agg(F.round(F.avg(column), digits).alias("avg"), percentile(column, 50, digits).alias("p50"), percentile(column, 95, digits).alias("p95"), F.round(F.max(column), digits).alias("max"))
-
-
-def nearest_rank(df: DataFrame, column: str, by: str, bins: int = 1024) -> DataFrame:
-    """min, the elements at n/4, n/2 and 3n/4 of the sorted values, max and mean.
-
-    Values are counted in equal bins of each group's range; only the bins that hold the three ranks are sorted, and equal values
-    are counted before that. So no task sorts a whole group.
-    """
-    rows = df.filter(F.col(column).isNotNull()).select(by, F.col(column).cast("double").alias("v"))
-    ends = rows.groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"))
-    counted = rows.groupBy(by, "v").agg(F.count(F.lit(1)).alias("c"))
-    share = F.coalesce(F.try_divide(F.col("v") - F.col("min"), F.col("max") - F.col("min")), F.lit(0.0))
-    placed = counted.join(ends, F.col(by).eqNullSafe(F.col("__by"))).withColumn("bin", F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int"))
-    upto = Window.partitionBy(by).orderBy("bin")
-    sizes = placed.groupBy(by, "bin").agg(F.sum("c").alias("size"), F.first("n").alias("n")).withColumn("from", F.sum("size").over(upto) - F.col("size"))
-    ranks = [F.floor(F.col("n") * k / 4) for k in (1, 2, 3)]
-    holds = [(F.col("from") <= r) & (F.col("from") + F.col("size") > r) for r in ranks]
-    wanted = sizes.filter(holds[0] | holds[1] | holds[2]).select(F.col(by).alias("__w"), F.col("bin").alias("__bin"), "from")
-    inside = placed.join(wanted, F.col(by).eqNullSafe(F.col("__w")) & (F.col("bin") == F.col("__bin")))
-    inside = inside.withColumn("first", F.col("from") + F.sum("c").over(Window.partitionBy(by, "bin").orderBy("v")) - F.col("c"))
-    at = [F.max(F.when((F.col("first") <= r) & (F.col("first") + F.col("c") > r), F.col("v"))).alias(name) for r, name in zip(ranks, ("q1", "median", "q3"), strict=True)]
-    quartiles = inside.groupBy(by).agg(*at)
-    return quartiles.join(ends, F.col(by).eqNullSafe(F.col("__by"))).select(by, "n", "min", "q1", "median", "q3", "max", "mean")
+def latency(df: DataFrame, column: str, by: tuple[str, ...] = (), digits: int = 2, store: bool = False) -> DataFrame:
+    """avg, p50, p95 (inclusive interpolation; 0 for no values) and max of each group."""
+    found = percentiles(df, column, by, (50, 95), store)
+    shown = [F.round(F.col(c), digits).alias(name) for c, name in (("mean", "avg"), ("p50", "p50"), ("p95", "p95"), ("max", "max"))]
+    if by:  # groups without a value have percentiles of 0
+        every = df.select(*[F.col(c).alias(f"__{c}") for c in by]).distinct()
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(f"__{c}").eqNullSafe(F.col(c))
+        found = every.join(found, same, "left").select(*[F.col(f"__{c}").alias(c) for c in by], "mean", "p50", "p95", "max")
+    else:
+        found = found.agg(*[F.max(c).alias(c) for c in ("mean", "p50", "p95", "max")])
+    return found.select(*by, *shown).na.fill(0.0, ["p50", "p95"])
+
+
+def nearest_rank(df: DataFrame, column: str, by: str) -> DataFrame:
+    """min, the elements at n/4, n/2 and 3n/4 of the sorted values, max and mean of each group."""
+    wanted = {name: (k / 4, lambda n, k=k: F.floor(n * k / 4)) for k, name in ((1, "q1"), (2, "median"), (3, "q3"))}
+    return at_ranks(df, column, (by,), wanted).select(by, "n", "min", "q1", "median", "q3", "max", "mean")
 
 
 def recall_at(df: DataFrame, scores: dict[str, float]) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from safelens.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents labels conversations events pages".split()
+TABLES = "documents labels conversations events pages lineitem".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 
 
