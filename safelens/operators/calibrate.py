@@ -224,15 +224,16 @@ def loss_bounds(bins: DataFrame, temperatures: Sequence[float]) -> DataFrame:
     Where no probability is cut off, the loss is convex in the margin: a bin's is at least that of its mean and at most its chord's. Elsewhere each
     class's part rises or falls with the margin, so the bin's ends bound it.
     """
-    low, high, mean, y, t, n = (F.col(c) for c in ("low", "high", "mean", "y", "temperature", "n"))
-    loss = lambda at: bce(at, y, t)
-    one, none = (lambda at: y * bce(at, F.lit(1.0), t)), (lambda at: (1 - y) * bce(at, F.lit(0.0), t))
-    smooth = (F.abs(low) < 16 * t) & (F.abs(high) < 16 * t)
-    chord = loss(low) + F.coalesce(F.try_divide(mean - low, high - low), F.lit(0.0)) * (loss(high) - loss(low))
-    every = _over(grid(bins.sparkSession, temperature=temperatures), bins)
-    return every.groupBy("ord", "temperature").agg(
-        (F.sum(n * F.when(smooth, F.least(loss(mean), chord)).otherwise(one(high) + none(low))) / F.sum(n)).alias("least"),
-        (F.sum(n * F.when(smooth, F.greatest(loss(mean), chord)).otherwise(one(low) + none(high))) / F.sum(n)).alias("most"),
+    t, y, n = F.col("temperature"), F.col("y"), F.col("n")
+    each = {f"{end}{k}": bce(F.col(end), F.lit(float(k)), t) for end in ("low", "high", "mean") for k in (0, 1)}
+    smooth = (F.abs("low") < 16 * t) & (F.abs("high") < 16 * t)
+    share = F.coalesce(F.try_divide(F.col("mean") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
+    rows = _over(grid(bins.sparkSession, temperature=temperatures), bins).select("ord", "temperature", "y", "n", smooth.alias("smooth"), share.alias("share"), *[c.alias(k) for k, c in each.items()])
+    of = lambda end, other=None: y * F.col(f"{end}1") + (1 - y) * F.col(f"{other or end}0")
+    rows = rows.select("ord", "temperature", "n", "smooth", of("mean").alias("middle"), (of("low") + F.col("share") * (of("high") - of("low"))).alias("chord"), of("high", "low").alias("least"), of("low", "high").alias("most"))
+    return rows.groupBy("ord", "temperature").agg(
+        (F.sum(n * F.when(F.col("smooth"), F.least("middle", "chord")).otherwise(F.col("least"))) / F.sum(n)).alias("least"),
+        (F.sum(n * F.when(F.col("smooth"), F.greatest("middle", "chord")).otherwise(F.col("most"))) / F.sum(n)).alias("most"),
     )
 
 
@@ -249,9 +250,8 @@ def _best_temperature(cells: DataFrame, temperatures: Sequence[float]) -> float
 def fit_temperature(df: DataFrame, z: Column, y: Column) -> float:
     """The coarse grid, then 50 steps around its best. The first smallest loss wins. No rows: 1. Equal margins are counted once, and written."""
     spark = df.sparkSession
-    cells = _cells(df, z=z.cast("double"), y=y.cast("double")).filter("z IS NOT NULL AND y IS NOT NULL")
-    cells.write.parquet(at := f"{scratch(spark)}/margins")
-    cells = spark.read.parquet(at)
+    _cells(df, z=z.cast("double"), y=y.cast("double")).write.parquet(at := f"{scratch(spark)}/margins")
+    cells = spark.read.parquet(at).filter("z IS NOT NULL AND y IS NOT NULL")  # not before: the optimiser would compute margins for the filter too
     start = _best_temperature(cells, TEMPERATURES)
     if start is None:
         return 1.0

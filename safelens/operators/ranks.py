@@ -21,10 +21,11 @@ def at_ranks(df: DataFrame, column: str, by: tuple[str, ...], wanted: dict[str,
     Nulls don't count; NaN is above everything. ``store``: the values are written first, as they cost more to compute than to read; they are read twice.
     """
     spark = df.sparkSession
-    rows = df.filter(F.col(column).isNotNull()).select(*[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)], F.col(column).cast("double").alias("v"))
+    rows = df.select(*[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)], F.col(column).cast("double").alias("v"))
     if store:
         rows.write.parquet(at := f"{scratch(spark)}/ranked")
         rows = spark.read.parquet(at)
+    rows = rows.filter("v IS NOT NULL")
     keys, number = [f"__b{i}" for i in range(len(by))], ~F.isnan("v")
     ends = [min(1.0, max(0.0, q + side * 2 / ACCURACY)) for q, _ in wanted.values() for side in (-1, 1)]
     sketch = rows.groupBy(*keys).agg(
