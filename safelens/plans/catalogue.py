@@ -765,4 +765,4 @@ SELECT round((SELECT t FROM best_t), 6) AS temperature, (SELECT threshold FROM c
     curve = f"WITH {_GOLD}, x AS (SELECT t, t_ord, {routed} FROM {_unnest(G.SINGLE_ROUTE_GRID, 't')} CROSS JOIN s GROUP BY ALL), w AS (SELECT t AS threshold, t_ord, tp AS caught, tp + fn AS total, tp + fp AS routed, round({_DIV('tp', 'tp + fn')}, 4) AS recall, round({_DIV('tp + fp', 'tp + fp + fn + tn')} * 100, 2) AS routed_pct FROM x)"
     sql["route_curve"] = f"{curve} SELECT threshold, caught, total, routed, recall, routed_pct FROM w"
     sql["route_choice"] = f"{curve} SELECT threshold, recall, routed, routed_pct FROM w ORDER BY recall >= 0.6 DESC, CASE WHEN recall >= 0.6 THEN routed END, CASE WHEN recall < 0.6 THEN recall END DESC, t_ord LIMIT 1"
-    return sql | files.oracle_sql(_KEY) | learning.oracle_sql()
+    return sql | files.oracle_sql(_KEY, _scored_sql, _counts_sql, _prf_sql) | learning.oracle_sql()
