@@ -7,9 +7,9 @@ own, under a key that has 20 bits more than it takes to number the corpus's byte
 tasks that count those slices over the whole corpus, and each slice goes back to its lot with the corpus's counts. So tables grow with the
 corpus, and no task and no driver holds one whole. No lot is cut into more than FAN slices: in a large corpus the slices of many lots are
 merged and cut again, level by level, so that rows don't multiply as lots times slices. Smoothing backs off by
-Dirichlet priors to unigrams and from there to the words of both corpora together. A document's own
-counts are taken out of the model that holds them before it is scored, so none is judged by itself. Other documents with the same text
-are part of the corpus and stay in, so a document that occurs several times scores as one that its model knows.
+Dirichlet priors to unigrams and from there to the words of both corpora together. Before a document is scored its own counts are taken out of
+the model that holds them, and those of all other documents with the same text out of both, so none is judged by itself: a
+document of which there are copies scores as if it were the only one.
 """
 
 from __future__ import annotations
@@ -63,10 +63,19 @@ def within(lengths: np.ndarray) -> np.ndarray:
 
 
 def marked(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """doc_id, text as bytes, and whether the document is of the target."""
+    """doc_id, text as bytes, whether the document is of the target, and how many other documents of either side have its text.
+
+    Copies are counted by digest, in each task first. Only digests of several documents are joined back: broadcast where their number allows it, and
+    else in a join that AQE splits.
+    """
     ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("of_target", F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return common.sized_join(rows, ids, ["doc_id"], "left").select("doc_id", "text", F.coalesce("of_target", F.lit(False)).alias("of_target"))
+    rows = common.sized_join(rows, ids, ["doc_id"], "left").select("doc_id", "text", F.coalesce("of_target", F.lit(False)).alias("of_target"), F.unhex(F.sha2("text", 256)).alias("digest"))
+    copies = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.count_if(~F.col("of_target")).alias("of_background"), F.count_if("of_target").alias("in_target"))
+    copies = common.written(copies.filter("of_background + in_target > 1"), "lm-copies")
+    others = lambda c, mine: F.coalesce(F.col(c) - mine.cast("long"), F.lit(0).cast("long"))
+    sides = others("of_background", ~F.col("of_target")).alias("more_background"), others("in_target", F.col("of_target")).alias("more_target")
+    return common.sized_join(rows, copies, ["digest"], "left").select("doc_id", "text", "of_target", *sides)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -92,34 +101,35 @@ def unpacked_keys(payload: bytes) -> np.ndarray:
 
 
 def lots(rows: DataFrame, bits: int = 64) -> DataFrame:
-    """Documents by lots: their doc_id, side and length, the lot's distinct words, and the word of each place by its number."""
-    kinds = {"lot": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sides": pa.binary(), "lengths": pa.binary(), "words": pa.binary(), "places": pa.binary()}
+    """Documents by lots: their doc_id, side, other copies (background, target) and length, the lot's distinct words, and the word of each place by its number."""
+    kinds = {"lot": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sides": pa.binary(), "copies": pa.binary(), "lengths": pa.binary(), "words": pa.binary(), "places": pa.binary()}
 
-    def out(number: int, docs: list, sides: list, texts: list) -> pa.RecordBatch:
+    def out(number: int, docs: list, sides: list, copies: list, texts: list) -> pa.RecordBatch:
         words, places = np.unique(np.concatenate(texts), return_inverse=True)
-        row = [number, docs, packed(np.array(sides)), packed(np.array([len(t) for t in texts])), packed_keys(words), packed(places)]
+        row = [number, docs, packed(np.array(sides)), packed(np.array(copies).T.ravel()), packed(np.array([len(t) for t in texts])), packed_keys(words), packed(places)]
         return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds.values(), strict=True)], names=list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        docs, sides, texts, n = [], [], [], 0
+        docs, sides, copies, texts, n = [], [], [], [], 0
         for batch in batches:
-            names, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            names, marks, *more = (batch.column(c).to_pylist() for c in (0, 2, 3, 4))
             for numbers, hashes, at in grouped((t.as_py() for t in batch.column(1)), fold=plain):
                 for k, i in enumerate(numbers):
                     ids = word_ids(hashes[at[k] : at[k + 1]], bits)
                     docs.append(names[i])
                     sides.append(int(marks[i]))
+                    copies.append([m[i] for m in more])
                     texts.append(ids)
                     n += len(ids)
                     if n >= LOT:
-                        yield out(number, docs, sides, texts)
-                        docs, sides, texts, n, number = [], [], [], 0, number + 1
+                        yield out(number, docs, sides, copies, texts)
+                        docs, sides, copies, texts, n, number = [], [], [], [], 0, number + 1
         if docs:
-            yield out(number, docs, sides, texts)
+            yield out(number, docs, sides, copies, texts)
         common.give_back()
 
-    return rows.mapInArrow(run, "lot long, doc_ids array<long>, sides binary, lengths binary, words binary, places binary")
+    return rows.mapInArrow(run, "lot long, doc_ids array<long>, sides binary, copies binary, lengths binary, words binary, places binary")
 
 
 _SLICED = pa.schema([("lot", pa.int64()), ("slice", pa.int64()), ("keys", pa.binary()), ("first", pa.binary()), ("second", pa.binary())])
@@ -238,28 +248,31 @@ def occurrences(doc: np.ndarray, key: np.ndarray, kinds: int) -> np.ndarray:
     return count[back]
 
 
-def losses(places: np.ndarray, pairs: np.ndarray, lengths: np.ndarray, sides: np.ndarray, of_words: np.ndarray, of_pairs: np.ndarray, totals: np.ndarray, vocabulary: int) -> np.ndarray:
+def losses(places: np.ndarray, pairs: np.ndarray, lengths: np.ndarray, sides: np.ndarray, copies: np.ndarray, of_words: np.ndarray, of_pairs: np.ndarray, totals: np.ndarray, vocabulary: int) -> np.ndarray:
     """Mean loss in nats a word under (target, background) of each document of a lot; nan if it has no words.
 
     ``places`` number the words and ``pairs`` the neighbours within documents by the columns of ``of_words`` and ``of_pairs``,
-    which hold the corpus's counts (background, target).
+    which hold the corpus's counts (background, target). ``copies``: a document's other copies, by side in the same order.
     """
-    scale = totals.min() / np.maximum(totals, 1) if totals.min() else np.ones(2)
+    # What the corpus measures without a document's other copies, and by that how both sides' counts are made alike.
+    totals = totals[:, None] - copies * lengths
+    least = totals.min(axis=0)
+    scale = np.where(least > 0, least / np.maximum(totals, 1), 1.0)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     own = occurrences(doc, places, of_words.shape[1])
     inner = np.flatnonzero(doc[1:] == doc[:-1])
     doc, first, second, own_first, own_second = doc[inner], places[inner], places[inner + 1], own[inner], own[inner + 1]
     own_pairs = occurrences(doc, pairs, of_pairs.shape[1])
-    size, side = lengths[doc], sides[doc]
-    both = of_words[0, second] + of_words[1, second] - own_second
-    shared = (both + 0.1) / (totals.sum() - size + 0.1 * vocabulary)
+    size, side, gone = lengths[doc], sides[doc], copies[:, doc] + (sides[doc] == np.arange(2)[:, None])
+    both = of_words[0, second] + of_words[1, second] - gone.sum(axis=0) * own_second
+    shared = (both + 0.1) / (totals.sum(axis=0)[doc] - size + 0.1 * vocabulary)
     out = []
     for model in (1, 0):
-        mine = side == model
-        n = (totals[model] - mine * size) * scale[model]
-        uni = ((of_words[model, second] - mine * own_second) * scale[model] + UNIGRAM_PRIOR * shared) / (n + UNIGRAM_PRIOR)
-        before = (of_words[model, first] - mine * own_first) * scale[model]
-        seen = np.minimum((of_pairs[model, pairs] - mine * own_pairs) * scale[model], before)
+        mine, scaled = side == model, scale[model, doc]
+        n = (totals[model, doc] - mine * size) * scaled
+        uni = ((of_words[model, second] - gone[model] * own_second) * scaled + UNIGRAM_PRIOR * shared) / (n + UNIGRAM_PRIOR)
+        before = (of_words[model, first] - gone[model] * own_first) * scaled
+        seen = np.minimum((of_pairs[model, pairs] - gone[model] * own_pairs) * scaled, before)
         loss = -np.log((np.maximum(seen, 0) + PAIR_PRIOR * uni) / (before + PAIR_PRIOR))
         out.append(np.bincount(doc, weights=loss, minlength=len(lengths)) / np.where(lengths > 1, lengths - 1, np.nan))
     return np.array(out)
@@ -270,7 +283,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
 
     ``target`` names the target's documents by doc_id. difference is target_loss - background_loss a word:
     the lower, the more the document reads like the target. A text that is null, empty or without words has null losses.
-    A null doc_id belongs to the background. Repeated rows count as often as they occur. Without any target
+    A null doc_id belongs to the background. Repeated rows, and other documents of the same text, are copies: a row's copies are in no model that scores it,
+    and count as often as they occur in those that score other texts. Without any target
     document the target's model is its prior. An empty table gives no rows; other columns are ignored.
     """
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("binary")).cast("long"))).first()[0] or 0
@@ -285,13 +299,13 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "of_target": pa.bool_(), "target_loss": pa.float64(), "background_loss": pa.float64()}
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        sides, lengths, words, places = (f(left[c][0].as_py()) for f, c in ((unpacked, "sides"), (unpacked, "lengths"), (unpacked_keys, "words"), (unpacked, "places")))
+        sides, copies, lengths, words, places = (f(left[c][0].as_py()) for f, c in ((unpacked, "sides"), (unpacked, "copies"), (unpacked, "lengths"), (unpacked_keys, "words"), (unpacked, "places")))
         distinct, pairs = np.unique(pair_ids(words[places], bits)[within(lengths)], return_inverse=True)
         order = np.argsort(right["slice"].to_numpy())
         table = np.array([np.concatenate([unpacked(right[c][int(k)].as_py()) for k in order]) for c in ("first", "second")])
         at = np.empty(table.shape[1], np.int64)
         at[np.argsort(np.concatenate([words, distinct]), kind="stable")] = np.arange(len(at))
-        found = losses(places, pairs, lengths, sides, table[:, at[: len(words)]], table[:, at[len(words) :]], totals, vocabulary)
+        found = losses(places, pairs, lengths, sides, copies.reshape(2, -1), table[:, at[: len(words)]], table[:, at[len(words) :]], totals, vocabulary)
         cols = [left["doc_ids"][0].as_py(), lengths - 1, sides == 1, *found]
         return pa.Table.from_arrays([pa.array(c, k, from_pandas=True) for c, k in zip(cols, kinds.values(), strict=True)], names=list(kinds))
 

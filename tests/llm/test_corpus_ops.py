@@ -238,3 +238,28 @@ def test_no_words_or_pairs_share_counts(spark, monkeypatch):
         start = (n[k] // 3001) * least / n[k]
         want = -(math.log(lm_score.PAIR_PRIOR * unseen / (start + lm_score.PAIR_PRIOR)) + 2 * math.log(unseen)) / 3
         assert got[100][side] == pytest.approx(want, rel=1e-6)
+
+
+def test_copies_don_t_teach_the_models_that_score_them(spark):
+    """A document scores as if its copies, of whichever side, weren't there; one that has none meets them all."""
+    rng = random.Random(17)
+    texts = {i: " ".join(f"{'t' if i % 3 == 0 else 'b'}{rng.randint(0, 60)}" for _ in range(rng.randint(5, 80))) for i in range(30)}
+    target = [i for i in texts if i % 3 == 0]
+    copies = {100: 7, 101: 7, 102: 7, 103: 7, 104: 7, 105: 9, 106: 9}  # of a background text three in the target and two outside; of a target text one on either side
+    more = target + [100, 101, 102, 105]
+
+    def scores(rows, ids):
+        of = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        return {r.doc_id: r for r in lm_score.cross_entropy_difference(docs(spark, rows).repartition(3), of).collect()}
+
+    plain = scores([(i, t, None) for i, t in texts.items()], target)
+    every = scores([(i, t, None) for i, t in texts.items()] + [(i, texts[k], None) for i, k in copies.items()] + [(200, None, None), (201, "", None), (202, "", None)], more)
+    # What is copied besides is in the models, so each is held against a corpus with the other's copies only.
+    others = {7: [(i, texts[9], None) for i in (105, 106)], 9: [(i, texts[7], None) for i in range(100, 105)]}
+    for i in (7, 9):
+        plain[i] = scores([(k, t, None) for k, t in texts.items()] + others[i], more)[i]
+        assert (every[i].target_loss, every[i].background_loss) == pytest.approx((plain[i].target_loss, plain[i].background_loss), abs=1e-9)
+    # A copy on the other side scores as its text would there, alone: what other texts are copied is the same in both.
+    alone = scores([(i, t, None) for i, t in texts.items() if i != 7] + [(100, texts[7], None)] + [(i, texts[9], None) for i in (105, 106)], [*target, 100, 105])
+    assert every[100].of_target and every[103].difference == every[104].difference and alone[100].difference == pytest.approx(every[100].difference, abs=1e-9)
+    assert every[1].difference != pytest.approx(plain[1].difference, abs=1e-9) and every[202].difference is None
