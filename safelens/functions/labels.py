@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import HARMFUL_CONTENT, PROMPT_INJECTION, PUBLIC_LABELS, SAFE, SEXUAL
@@ -25,8 +25,22 @@ def _array(*names: str) -> Column:
     return F.array(*[F.lit(n) for n in names]).cast("array<string>")
 
 
-def _get(row: Column, key: str) -> Column:
-    return F.variant_get(row, f"$['{key}']", "variant")
+#: Keys that hold raw labels.
+LABEL_KEYS = ("labels", "label", "original_labels")
+
+
+def _get(row: Column | dict[str, Column], key: str) -> Column:
+    """A key's value of a VARIANT row, or of keys that were read into columns before."""
+    return row[key] if isinstance(row, dict) else F.variant_get(row, f"$['{key}']", "variant")
+
+
+def keyed(rows: DataFrame, row: str = "row") -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
+    """Rows with columns that hold every key that texts and labels are read from, and the label keys' lists: each is read once, however often it is named."""
+    keys = tuple(dict.fromkeys((*TEXT_KEYS, *LABEL_KEYS, *PUBLIC_LABELS, "is_prompt_injection")))
+    out = rows.withColumns({f"__{k}": _get(F.col(row), k) for k in keys})
+    values = {k: F.col(f"__{k}") for k in keys}
+    out = out.withColumns({f"__list_{k}": _listed(values[k]) for k in LABEL_KEYS})
+    return out, values, {k: F.col(f"__list_{k}") for k in LABEL_KEYS}
 
 
 def _kind(v: Column) -> Column:
@@ -40,7 +54,7 @@ def as_text(v: Column) -> Column:
     return F.when(F.is_variant_null(v), F.lit("None")).when(point & ~text.rlike(r"[.eE]"), F.concat(text, F.lit(".0"))).otherwise(text)
 
 
-def pick_text(row: Column) -> Column:
+def pick_text(row: Column | dict[str, Column]) -> Column:
     """The first of the text keys whose value is a string that isn't blank, as it is; else empty."""
     found = []
     for key in TEXT_KEYS:
@@ -73,9 +87,12 @@ def canonical(labels: Column, flags: dict[str, Column] | None = None, injection_
     return F.array_compact(F.array(*[F.when(F.coalesce(has[p], F.lit(False)), p) for p in PUBLIC_LABELS]))
 
 
-def labels_for(row: Column, injection_flag: bool = True) -> Column:
-    """Public labels of a VARIANT row. The key ``labels`` wins over ``label`` wherever it exists, null included."""
-    raw = _listed(F.coalesce(_get(row, "labels"), _get(row, "label")))
+def labels_for(row: Column | dict[str, Column], injection_flag: bool = True, lists: dict[str, Column] | None = None) -> Column:
+    """Public labels of a VARIANT row. The key ``labels`` wins over ``label`` wherever it exists, null included. ``lists``: those of the label keys."""
+    if lists is None:
+        raw = _listed(F.coalesce(_get(row, "labels"), _get(row, "label")))
+    else:
+        raw = F.when(_get(row, "labels").isNotNull(), lists["labels"]).otherwise(lists["label"])
     return canonical(raw, {p: as_text(_get(row, p)) for p in PUBLIC_LABELS}, as_text(_get(row, "is_prompt_injection")) if injection_flag else None)
 
 
@@ -84,9 +101,9 @@ def moderation_labels_for(row: Column) -> Column:
     return F.array_except(canonical(_listed(F.coalesce(_get(row, "labels"), _get(row, "label")))), _array(PROMPT_INJECTION))
 
 
-def raw_labels(row: Column) -> Column:
+def raw_labels(row: Column | dict[str, Column], lists: dict[str, Column] | None = None) -> Column:
     """All raw labels of the three label keys: lower case, stripped, distinct, sorted, without empty ones."""
-    every = F.concat(*[_listed(_get(row, k)) for k in ("labels", "label", "original_labels")])
+    every = F.concat(*(lists or {k: _listed(_get(row, k)) for k in LABEL_KEYS}).values())
     return F.array_sort(F.array_distinct(F.filter(every, lambda x: x != "")))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import PUBLIC_LABELS
 from ..functions.rules import ATTACK, MODERATION
-from ..sources.sinks import scratch
+from ..sources.sinks import discard, scratch
 from .metrics import bce, pct, prf, ratio
 
 # The grids, in the order in which candidates are tried.
@@ -253,9 +253,9 @@ def fit_temperature(df: DataFrame, z: Column, y: Column) -> float:
     _cells(df, z=z.cast("double"), y=y.cast("double")).write.parquet(at := f"{scratch(spark)}/margins")
     cells = spark.read.parquet(at).filter("z IS NOT NULL AND y IS NOT NULL")  # not before: the optimiser would compute margins for the filter too
     start = _best_temperature(cells, TEMPERATURES)
-    if start is None:
-        return 1.0
-    return _best_temperature(cells, [start, *(max(0.01, start - 0.05 + 0.1 * i / 49) for i in range(50))])
+    best = 1.0 if start is None else _best_temperature(cells, [start, *(max(0.01, start - 0.05 + 0.1 * i / 49) for i in range(50))])
+    discard(spark, at)
+    return best
 
 
 def prf_at_temperature(df: DataFrame, z: Column, y: Column, temperature: float, threshold: float) -> DataFrame:

@@ -59,8 +59,11 @@ def _names(*pairs: tuple[Column, str]) -> Column:
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Deal rows out to ``least`` tasks (as many as there are cores) where the plan has fewer, as one small file gives; otherwise, and for streams, leave them."""
-    if df.isStreaming:
+    """Deal rows out to ``least`` tasks (as many as there are cores) where the plan has fewer, as one small file gives.
+
+    Streams are left, and so are plans that shuffle: those have the partitions of their shuffles, and to ask for these would run them.
+    """
+    if df.isStreaming or df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
         return df
     least = least or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(least) if df.rdd.getNumPartitions() < least else df

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.linear import BUCKETS, LinearModel, grams, kept_only, lots, margins, probabilities
 from ..functions.scoring import ArrowScorer
-from ..sources.sinks import scratch
+from ..sources.sinks import discard, scratch
 
 ROUNDS, SHRINK = 16, 0.05
 #: Standard errors by which the share of a class's texts that have a bucket must differ from that of the other texts.
@@ -123,6 +123,7 @@ def fit(rows: DataFrame, text: str, label: str, classes: Iterable[str] | None =
 
     for _ in range(rounds):
         model.weights = model.weights - _per_partition(table, model.weights.shape, wrong(model.weights)) / mass
+    discard(spark, at)
     return model
 
 

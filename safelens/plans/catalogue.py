@@ -6,11 +6,14 @@ the operators compute what they should, not how good a trained model would be.
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import replace
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
 from ..config import HARMFUL_CONTENT, PROFILES, PROMPT_INJECTION, Settings, Thresholds
 from ..functions import labels as L
 from ..functions import scoring as S
@@ -44,8 +47,8 @@ def classified(spark, sf, settings=SCOPED, *columns: str) -> DataFrame:
 def scored(spark, sf, settings=PROFILES["default"]) -> DataFrame:
     """Classified documents that have a gold label; every score is there, as a full scan runs all models."""
     gold = read(spark, sf, "labels").select("doc_id", "toxic").filter("toxic IS NOT NULL")
-    docs = documents(spark, sf, "source").join(gold, "doc_id")
-    out = classify(docs, settings, dealt=True)
+    docs = spread(documents(spark, sf, "source")).join(gold, "doc_id")
+    out = classify(docs, settings)
     return out.withColumn("gold", F.when(F.col("toxic") == 1, F.array(F.lit(HARMFUL_CONTENT))).otherwise(F.array().cast("array<string>")))
 
 
@@ -368,6 +371,25 @@ def score_mappings_inline(spark, sf):
     return rows.select("id", S.prompt_score(raw).alias("prompt"), moderation["harmful"].alias("harmful"), moderation["sexual"].alias("sexual"), *[F.round(S.positive_score(raw, a), 6).alias(a) for a in ("injection", "two_heads", "complement", "toxic_multi", "toxic_binary")])
 
 
+def jailbreak_scores(spark, sf):
+    """What the raw scores say of jailbreaks, which are no public label."""
+    scores = F.transform_values(F.from_json(_dealt(JAILBREAK_SCORES), "map<string,double>"), lambda k, v: (v * 10 + F.col("doc_id") % 7) % 10 / 10)
+    return read(spark, sf, "documents").select("doc_id", F.round(S.jailbreak_score(scores), 6).alias("jailbreak"))
+
+
+JAILBREAK_SCORES = ('{"JAILBREAK":0.3,"benign":0.7}', '{"LABEL_1":0.2,"label_0":0.8}', '{"benign":0.9}', '{"unsafe_content":0.1,"Injection":0.4,"label_1":0.2}')
+
+
+def overlaid_labels(spark, sf):
+    """Labels under a YAML configuration, a report's recommended thresholds over it, and an override over both."""
+    with tempfile.TemporaryDirectory() as at:  # configurations are files of the driver's
+        Path(at, "c.yaml").write_text("thresholds: {harmful_content_review: 0.99, sexual_review: 0.7, prompt_injection_review: 0.6}\nruntime: {full_scan_default: true}\n", encoding="utf-8")
+        sinks.write_report({"recommended": {"thresholds": {"harmful_content_review": 0.5, "prompt_injection_review": 0.9}}}, f"{at}/report.json")
+        settings = config.overlay(config.load(f"{at}/c.yaml"), f"{at}/report.json", prompt_injection_review=0.3, sexual_review=None)
+    out = classified(spark, sf, settings)
+    return label_counters(out)
+
+
 def subcategory_breakdown(spark, sf):
     value = lambda k: ((F.col("doc_id") * k) % 10) / F.lit(10.0)
     names = list(R.SUBCATEGORY_HEADS)
@@ -511,7 +533,7 @@ def temperature_calibration(spark, sf):
 QUERIES = [
     normalize_documents, obfuscation_flags, rule_hits_inline, base64_decode_inline, base64_spans_inline, html_decode_pages, lexicon_scores, routed_outcomes, cascade_labels, label_counters_by_source,
     dedupe_first_documents, balanced_sample_documents, binary_balanced_sample, auto_balanced_sample, stratified_split, harmful_binary_metrics, per_label_metrics, any_label_metrics,
-    macro_f1, false_pass_rate, confusion_matrix, multiclass_metrics, base64_documents, invisible_characters, head_scores, gold_columns, settings_ranking, coverage_holes, rescues, score_percentiles, order_statistics, nearest_rank_quartiles, token_buckets, source_distribution,
+    macro_f1, false_pass_rate, confusion_matrix, multiclass_metrics, base64_documents, invisible_characters, head_scores, gold_columns, settings_ranking, jailbreak_scores, overlaid_labels, coverage_holes, rescues, score_percentiles, order_statistics, nearest_rank_quartiles, token_buckets, source_distribution,
     raw_label_distribution, canonical_labels_inline, score_mappings_inline, subcategory_breakdown, threshold_sweep, best_f1_threshold, label_threshold_choice, joint_route_choice,
     route_curve, route_choice, fast_allow_choice, direct_safe_choice, direct_label_choice, veto_choice, bce_by_temperature, temperature_fit, prf_at_temperature, recall_of_models,
     leaderboard, contamination_flags, conversation_label_counts, pages_label_counts, event_counters_by_day, probe_report, temperature_calibration, routing_results, routing_outcomes,
@@ -749,6 +771,10 @@ y AS (SELECT *, length(rtrim(e, '=')) >= 24 AS span, lower(replace(text, '  ', '
 round(1 / (1 + exp(b - a)), 6) AS yes, round(greatest(b, c) - a, 6) AS two, round(greatest(a, c), 6) AS one FROM l""",
         "gold_columns": "SELECT 0::BIGINT AS prompt_injection, count(*) FILTER (WHERE toxic = 1) AS harmful_content, 0::BIGINT AS sexual, count(*) AS loaded, count(*) FILTER (WHERE toxic = 1) AS positives FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL AND regexp_matches(text, '\\S')",
         "settings_ranking": "WITH e AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*)::DOUBLE AS rows_per_second, round(avg(value), 1) AS f FROM events GROUP BY ALL) SELECT event_type, day, rows_per_second, row_number() OVER (ORDER BY rows_per_second DESC, f DESC, day || ':' || event_type) AS place FROM e",
+        "jailbreak_scores": f"""WITH r AS (SELECT doc_id AS id, {dealt(JAILBREAK_SCORES)}::JSON AS j FROM documents), u AS (SELECT id, j, unnest(json_keys(j)) AS key FROM r),
+e AS (SELECT id, lower(key) AS k, (json_extract(j, '$."' || key || '"')::DOUBLE * 10 + id % 7) % 10 / 10 AS v FROM u) SELECT id AS doc_id, round(coalesce({_any_key(S.JAILBREAK_PARTS, ['label_1'])}, 0), 6) AS jailbreak FROM e GROUP BY id""",
+        "overlaid_labels": f"""WITH {_DOCS}, l AS (SELECT list_filter([CASE WHEN attack >= 0.3::DOUBLE AND harm0 < 1.01::DOUBLE THEN 'prompt_injection' END, CASE WHEN harm0 >= 0.5::DOUBLE THEN 'harmful_content' END, CASE WHEN sex0 >= 0.7::DOUBLE THEN 'sexual' END], lambda x: x IS NOT NULL) AS labels FROM s),
+u AS (SELECT {_COUNTER} FROM l) SELECT label, count(*) AS rows FROM u GROUP BY label""",
         "html_decode_pages": f"WITH {_PAGES} SELECT page_id, sha256(model_text) AS text_hash, length(model_text) AS n FROM s",
         "pages_label_counts": f"WITH {_PAGES}, {_ROUTED}, u AS (SELECT {_COUNTER} FROM k) SELECT label, count(*) AS rows FROM u GROUP BY ALL",
         "probe_report": f"""WITH {_scored_sql(f"SELECT {dealt([k for k, _ in X.PROBES])} AS kind, {dealt([t for _, t in X.PROBES])} || ' ' || text AS text FROM documents")}, p2 AS (SELECT kind, md5(text) AS text, CASE WHEN attack >= 0.5 THEN 'prompt_injection' WHEN harm0 >= 0.93::DOUBLE THEN 'harmful_content' WHEN sex0 >= 0.93::DOUBLE THEN 'sexual' ELSE 'safe' END AS predicted FROM s)

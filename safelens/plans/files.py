@@ -12,7 +12,7 @@ from .. import config
 from ..config import PROFILES
 from ..operators import reports
 from ..operators import sampling as W
-from ..operators.cascade import classify
+from ..operators.cascade import classify, spread
 from ..operators.seen import SeenCorpus
 from ..sources import readers, sinks
 
@@ -77,8 +77,8 @@ def suite_report(spark, sf):
 
 def recommended_thresholds(spark, sf):
     """Thresholds that all searches recommend for the labelled documents: written as YAML, read again."""
-    docs = _documents(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").filter("toxic IS NOT NULL")
-    scored = classify(docs, PROFILES["default"], dealt=True).withColumn("gold", F.when(F.col("toxic") == 1, F.array(F.lit("harmful_content"))).otherwise(F.array().cast("array<string>")))
+    docs = spread(_documents(spark, sf)).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").filter("toxic IS NOT NULL")
+    scored = classify(docs, PROFILES["default"]).withColumn("gold", F.when(F.col("toxic") == 1, F.array(F.lit("harmful_content"))).otherwise(F.array().cast("array<string>")))
     scored.select("gold", "force_route", "router", "pi", "harmful", "sexual").write.parquet(stored := f"{sinks.scratch(spark)}/scored")
     found = reports.calibrate_all(spark.read.parquet(stored), min_route_recall=0.6, min_label_recall=0.5)
     with tempfile.TemporaryDirectory() as at:

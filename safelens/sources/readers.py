@@ -45,10 +45,10 @@ def quarantine(spark: SparkSession, path: str) -> DataFrame:
 
 def canonical_rows(rows: DataFrame, source_path: str = "", injection_flag: bool = True) -> DataFrame:
     """Canonical records of (ord, row VARIANT): ord, text, labels, source_path, raw_labels, source. Rows without text go."""
-    row = F.col("row")
-    source = F.coalesce(F.variant_get(row, "$.source", "string"), F.lit(""))
-    out = rows.select("ord", L.pick_text(row).alias("text"), L.labels_for(row, injection_flag).alias("labels"), F.lit(source_path).alias("source_path"), L.raw_labels(row).alias("raw_labels"), source.alias("source"))
-    return out.filter(F.col("text") != "")
+    source = F.coalesce(F.variant_get("row", "$.source", "string"), F.lit(""))
+    out, row, lists = L.keyed(rows.withColumn("source", source))
+    out = out.withColumn("text", L.pick_text(row)).filter(F.col("text") != "")
+    return out.select("ord", "text", L.labels_for(row, injection_flag, lists).alias("labels"), F.lit(source_path).alias("source_path"), L.raw_labels(row, lists).alias("raw_labels"), "source")
 
 
 def read_corpora(spark: SparkSession, paths: Iterable[str], missing_ok: bool = True) -> DataFrame:

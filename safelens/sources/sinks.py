@@ -50,6 +50,12 @@ def scratch(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="safelens-")
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``scratch`` that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def write_results(df: DataFrame, path: str, kind: str = "parquet", partition_by: str | None = None) -> None:
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(partition_by) if partition_by else writer).format(kind).save(path)

@@ -132,7 +132,8 @@ def test_timing_computes_every_column(spark):
 
 def test_few_tasks_are_spread(spark):
     cores = spark.sparkContext.defaultParallelism
-    one = spark.range(10).coalesce(1)
+    one, counted = spark.range(10).coalesce(1), spark.range(10).groupBy("id").count()
+    assert spread(counted) is counted
     assert spread(one).rdd.getNumPartitions() == cores and spread(one, 2).rdd.getNumPartitions() == 2
-    many = spark.range(100).repartition(cores + 3)
+    many = spark.range(0, 100, 1, cores + 3)
     assert spread(many) is many
