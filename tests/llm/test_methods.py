@@ -54,6 +54,29 @@ def test_url_scores_and_verdicts_are_the_brute_force_ones(spark):
             assert r.verdict == ("allow" if r.score >= threshold else "block")
 
 
+@pytest.mark.parametrize("rows", [1 << 21, 300])
+def test_every_ruled_url_teaches_or_calibrates(spark, monkeypatch, rows):
+    monkeypatch.setattr(url_filter, "PASS_ROWS", rows)
+    monkeypatch.setattr(url_filter, "TOGETHER", 1000)
+    ruled = [f"http://a.net/de/{i:x}" for i in range(9000)] + ["http://b.com/en/" + "wxyz" * 600, "http://b.com/en/z", "http://b.com/en/w", "http://b.com/en/\u00e9"]
+    asked = ["http://c.io/wxyzwx", "http://c.io/0123", "http://d.io/\u00e9", "q"]
+    pages = spark.createDataFrame(list(enumerate(ruled + asked)), "page_id long, url string")
+    hashed = pages.select("url", F.xxhash64("url").alias("h")).filter(F.length("url") > 0).collect()
+    accepted, rejected, kept = url_filter.MarkovModel(), url_filter.MarkovModel(), []
+    for model, rule in ((accepted, "/de/"), (rejected, "/en/")):
+        own = sorted((r.h, r.url) for r in hashed if rule in r.url)
+        for _, url in own[::2]:
+            model.add(url.encode())
+        kept += [(url, rule == "/de/") for _, url in own[1::2]]
+    plain = url_filter.RatioModel(accepted, rejected)
+    threshold = url_filter.best_threshold([(plain.score(u), good) for u, good in kept])
+    for r in url_filter.filter_urls(pages).filter((F.col("page_id") % 97 == 0) | (F.col("page_id") >= 9000)).collect():
+        url = (ruled + asked)[r.page_id]
+        assert math.isclose(r.score, plain.score(url), rel_tol=1e-9, abs_tol=1e-12)
+        if r.rule is None:
+            assert r.verdict == ("allow" if plain.score(url) >= threshold else "block")
+
+
 # --- decontamination -----------------------------------------------------------------------------
 
 
