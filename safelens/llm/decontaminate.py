@@ -2,7 +2,8 @@
 
 Passages are TF-IDF vectors: document frequencies are counted over all documents, in a hashed table of fixed size;
 a term weighs the square of its bounded IDF, so that ordinary words hardly count.
-A randomised SVD of passages, computed as sums over partitions, gives latent directions over the benchmark's terms.
+A randomised SVD of passages and of the windows of all documents gives latent directions over the benchmark's terms: what it needs
+of the windows are sums over pairs of terms, made in one pass for a block.
 Windows of every document, whole and overlapping, are projected and searched by cosine against the benchmark's
 passages of about their length. Windows around which enough of a passage's words occur are taken as well, whatever their
 cosine: no other can hold the share of it that counts. All these are then read word by word: the longest common subsequence with
@@ -18,6 +19,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +35,11 @@ TERMS = 1 << 17
 SCALES = (24, 32, 48, 64, 96)
 #: Latent directions beyond one for each passage of a block, oversampling, and power iterations.
 MORE_DIRECTIONS, EXTRA, POWER = 56, 16, 2
-#: The latent space is fitted on the benchmark and the windows of about so many documents, drawn by hash.
-FIT_DOCUMENTS = 1500
+#: The latent space is fitted on the benchmark and on windows of so many words of all documents; their products are summed as whole
+#: numbers of this size, so reruns agree.
+FIT_WINDOW, ONE = 32, float(1 << 30)
+#: Words taken together, pairs of terms that a task holds before it hands them on, and rows of the matrix of all pairs in one piece.
+FIT_WORDS, FIT_PAIRS, FIT_ROWS = 1 << 18, 1 << 21, 64
 COSINE = 0.4
 #: Terms in a larger share of documents enter no vector, only norms; a passage with fewer than FEW others keeps them.
 COMMON, FEW = 0.02, 2
@@ -43,7 +48,6 @@ PASSAGE_SHARE, ANSWER_SHARE, ALONE = 0.6, 0.5, 0.85
 BENCHMARK_BLOCK = 500
 #: Bytes of blocks that a worker holds at once: so many are searched for in one pass over the documents.
 PASS_BYTES = 96 << 20
-SUM_CHUNK = 1 << 17
 SEED = 2
 #: Windows projected together.
 TOGETHER = 512
@@ -87,33 +91,31 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def _count_and_draw(docs: DataFrame, share: float) -> DataFrame:
-    """Rows of kind 0: a partition's document frequencies; of kind 1: terms of a drawn document."""
-    limit = int(share * 2**31)
+def _counted(docs: DataFrame) -> DataFrame:
+    """Rows of kind 0: a partition's document frequencies; of kind 1: terms of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(TERMS + 1), 0
         part = TaskContext.get().partitionId()
         out = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([part] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["kind", "part", "payload"])
         for batch in batches:
-            picks, drawn = batch.column(0).to_pylist(), []
-            for numbers, hashes, at in grouped(t.as_py() for t in batch.column(1)):
+            terms = []
+            for numbers, hashes, at in grouped(t.as_py() for t in batch.column(0)):
                 ids = placed(hashes)
-                for k, i in enumerate(numbers):
+                for k in range(len(numbers)):
                     own = ids[at[k] : at[k + 1]]
                     n += 1
                     df[own] += 1  # once, however often a term occurs
-                    if picks[i] < limit and len(own):
-                        drawn.append((1, own.tobytes()))
-            if drawn:
-                yield out(drawn)
+                    if len(own):
+                        terms.append((1, own.tobytes()))
+            if terms:
+                yield out(terms)
         if n:
             df[TERMS] = n
             yield out([(0, df.tobytes())])
         common.give_back()
 
-    pick = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(2**31)).alias("pick")
-    return docs.select(pick, F.col("text").cast("binary").alias("text")).mapInArrow(run, "kind int, part long, payload binary")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "kind int, part long, payload binary")
 
 
 def term_weights(df: np.ndarray) -> np.ndarray:
@@ -159,56 +161,106 @@ class Passages:
         self.matrix /= np.maximum(np.linalg.norm(self.matrix, axis=1, keepdims=True), 1e-9)
 
 
-def _rows(ids: np.ndarray, weight: np.ndarray, column: np.ndarray, size: int, scale: int = 32) -> np.ndarray:
-    """TF-IDF rows of a document's windows over the vocabulary, divided by their whole norms."""
-    starts = range(0, len(ids), scale)
-    out = np.zeros((len(starts), size), np.float32)
-    for k, s in enumerate(starts):
-        w = np.unique(ids[s : s + scale])
-        own = w[column[w] >= 0]
-        out[k, column[own]] = weight[own] / max(np.linalg.norm(weight[w]), 1e-9)
-    return out
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(terms, number of each one's window) of about FIT_WORDS words; windows never cross texts."""
+    held, windows, words, first = [], [], 0, 0
+    for batch in batches:
+        for payload in batch.column(0):
+            ids = np.frombuffer(payload.as_py(), np.int32)
+            for s in range(0, len(ids), FIT_WORDS):
+                held.append(ids[s : s + FIT_WORDS])
+                windows.append(first + np.arange(len(held[-1])) // FIT_WINDOW)
+                first, words = int(windows[-1][-1]) + 1, words + len(held[-1])
+                if words >= FIT_WORDS:
+                    yield np.concatenate(held), np.concatenate(windows)
+                    held, windows, words, first = [], [], 0, 0
+    if held:
+        yield np.concatenate(held), np.concatenate(windows)
+
+
+def pair_sums(passages: Passages, texts: DataFrame, weight: np.ndarray) -> DataFrame:
+    """key, value: over the windows of all texts, the products of the entries of two of the vocabulary's terms in a window's vector
+    of unit length, summed, in units of 1 / ONE. The key of columns i <= j is i * size + j.
+    """
+    size, column, square = len(passages.vocabulary), passages.column, weight.astype(np.float64) ** 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sums, more, held = np.empty(0, np.int64), np.empty(0), [], 0
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            every, at = np.unique(np.concatenate([keys, *(k for k, _ in more)]), return_inverse=True)
+            return every, np.bincount(at, np.concatenate([sums, *(v for _, v in more)]), len(every))
+
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums.astype(np.int64))], names=["key", "value"])
+        for ids, windows in _pieces(batches):
+            cells = np.unique(windows * TERMS + ids)
+            window, term = cells // TERMS, cells % TERMS
+            whole = np.bincount(window, square[term])
+            known = np.flatnonzero(column[term] >= 0)
+            window, term = window[known], term[known]
+            own, entry = column[term].astype(np.int64), weight[term] / np.sqrt(whole[window])
+            for d in range(FIT_WINDOW):
+                same = np.flatnonzero(window[d:] == window[: len(window) - d])
+                if not len(same):
+                    break
+                more.append((own[same] * size + own[same + d], np.rint(entry[same] * entry[same + d] * ONE)))
+                held += len(same)
+            if held >= FIT_PAIRS:
+                (keys, sums), more, held = added(), [], 0
+                if len(keys) >= FIT_PAIRS:
+                    yield out()
+                    keys, sums = np.empty(0, np.int64), np.empty(0)
+        keys, sums = added()
+        if len(keys):
+            yield out()
+        common.give_back()
+
+    return texts.select("payload").mapInArrow(run, "key long, value long").groupBy("key").agg(F.sum("value").alias("value"))
 
 
-def latent_space(passages: Passages, drawn: DataFrame, weight: np.ndarray, more: int = MORE_DIRECTIONS) -> np.ndarray:
-    """Right singular vectors (terms by rank) of the benchmark's and the drawn windows' TF-IDF matrix.
+def latent_space(passages: Passages, texts: DataFrame, weight: np.ndarray, more: int = MORE_DIRECTIONS) -> np.ndarray:
+    """Right singular vectors (terms by rank) of the TF-IDF matrix of the benchmark's and all texts' windows.
 
-    Randomised range finding with power iterations: every product with the tall matrix is a sum over partitions.
-    The benchmark's rows weigh as much together as the windows', or the corpus would crowd them out.
+    Randomised range finding with power iterations: the tall matrix comes in by its products with itself alone, rows of which
+    are multiplied in tasks. The benchmark's rows weigh as much together as the windows', or the corpus would crowd them out.
     """
     size = len(passages.vocabulary)
     rank = min(len(passages.words) + more, size)
     width = min(rank + EXTRA, size)
     basis = np.random.default_rng(SEED).normal(size=(size, width))
-    column = passages.column
-    few = drawn.coalesce(8)  # a bounded sample
+    sums = common.written(pair_sums(passages, texts, weight), "dc-pairs")
+    i, j = F.floor(F.col("key") / size).cast("int"), (F.col("key") % size).cast("int")
+    pairs = sums.select(i.alias("i"), j.alias("j"), "value")
+    both = pairs.unionByName(pairs.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "value"))
+    mass = (pairs.filter("i = j").agg(F.sum("value")).first()[0] or 0) / ONE
+
+    def dense(group: pd.DataFrame) -> pd.DataFrame:
+        block = int(group.i.iat[0]) // FIT_ROWS
+        rows = np.zeros((min(FIT_ROWS, size - block * FIT_ROWS), size))
+        rows[group.i - block * FIT_ROWS, group.j] = group.value / ONE
+        return pd.DataFrame({"block": [block], "payload": [rows.tobytes()]})
+
+    rows = common.written(both.groupBy(F.floor(F.col("i") / FIT_ROWS)).applyInPandas(dense, "block int, payload binary"), "dc-rows")
 
     def product(q: np.ndarray, name: str) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, mass = None, 0.0
             for batch in batches:
-                pieces = (ids[i : i + 4096] for ids in (np.frombuffer(x.as_py(), np.int32) for x in batch.column(0)) for i in range(0, len(ids), 4096))
-                for piece in pieces:
-                    a = _rows(piece, weight, column, size)
-                    seen = np.nonzero(a.any(axis=0))[0]
-                    if len(seen):
-                        mass += float((a**2).sum())
-                        total = np.zeros((size, width)) if total is None else total
-                        total[seen] += a[:, seen].T @ (a[:, seen] @ q[seen])
-            if total is not None:
-                flat = np.append(total.ravel(), mass)
-                part = TaskContext.get().partitionId()
-                for i in range(0, len(flat), SUM_CHUNK):
-                    yield pa.RecordBatch.from_arrays([pa.array([i // SUM_CHUNK], pa.int32()), pa.array([part], pa.int64()), pa.array([flat[i : i + SUM_CHUNK].tobytes()], pa.binary())], names=["chunk", "part", "payload"])
-
-        sums = common.summed(few.select("payload").mapInArrow(run, "chunk int, part long, payload binary"), name)
-        there = np.concatenate([sums[c] for c in sorted(sums)]) if sums else np.zeros(size * width + 1)
+                for block, payload in zip(batch.column(0), batch.column(1), strict=True):
+                    part = np.frombuffer(payload.as_py(), np.float64).reshape(-1, size) @ q
+                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "payload"])
+
+        parts = common.written(rows.mapInArrow(run, "block int, payload binary"), name)
+        there = np.zeros((size, width))
+        for r in parts.toLocalIterator():
+            there[r["block"] * FIT_ROWS : (r["block"] + 1) * FIT_ROWS] = np.frombuffer(r["payload"], np.float64).reshape(-1, width)
+        common.discard(parts)
         here = passages.matrix.T @ (passages.matrix @ q)
-        return here * max(1.0, there[-1] / len(passages.words)) + there[:-1].reshape(size, width)
+        return here * max(1.0, mass / len(passages.words)) + there
 
     for _ in range(POWER):
         basis, _r = np.linalg.qr(product(basis, "dc-svd"))
     small = basis.T @ product(basis, "dc-svd")
+    common.discard(sums, rows)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     return (basis @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
 
@@ -402,12 +454,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     than doc_id and text (item_id and text) are ignored.
     """
     docs = docs.select("doc_id", "text")
-    n = docs.count()
-    counted = common.written(_count_and_draw(docs, min(1.0, FIT_DOCUMENTS / max(n, 1))), "dc-count")
+    counted = common.written(_counted(docs), "dc-count")
     sums = common.summed(counted.filter("kind = 0").select(F.lit(0).alias("chunk"), "part", "payload"), "dc-df")
     df = sums[0] if sums else np.zeros(TERMS + 1)
     weight = term_weights(df)
-    drawn = counted.filter("kind = 1")
+    texts = counted.filter("kind = 1")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     found, searchers, held = None, [], 0
     total = items.count()
@@ -422,7 +473,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         block = Passages([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").toLocalIterator()], weight, df[:TERMS] > COMMON * max(df[TERMS], 50.0))
         if not block.words:
             continue
-        searcher = Searcher(block, latent_space(block, drawn, weight), weight)
+        searcher = Searcher(block, latent_space(block, texts, weight), weight)
         if searchers and held + searcher.bytes() > PASS_BYTES:
             found, searchers, held = more(found), [], 0
         searchers.append(searcher)

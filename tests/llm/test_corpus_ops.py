@@ -119,6 +119,38 @@ def test_latent_space_spans_the_passages(spark):
     assert np.allclose((passages.matrix @ space) @ (passages.matrix @ space).T, passages.matrix @ passages.matrix.T, atol=0.05)
 
 
+def test_pair_sums_are_those_of_all_windows(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FIT_WORDS", 64)
+    monkeypatch.setattr(decontaminate, "FIT_PAIRS", 50)
+    rng = random.Random(6)
+    weight = np.random.default_rng(1).uniform(0.1, 3, decontaminate.TERMS).astype(np.float32)
+    passages = decontaminate.Passages([(i, " ".join(words(rng, 30))) for i in range(5)], weight)
+    texts = [decontaminate.terms(" ".join(words(rng, n))) for n in (500, 31, 32, 33, 1, 200, 64)]
+    got = decontaminate.pair_sums(passages, spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "payload binary").repartition(2), weight)
+    size = len(passages.vocabulary)
+    want = np.zeros((size, size))
+    for text in texts:
+        for s in range(0, len(text), 32):
+            window = np.unique(text[s : s + 32])
+            row, own = np.zeros(size), window[passages.column[window] >= 0]
+            row[passages.column[own]] = weight[own] / np.linalg.norm(weight[window].astype(float))
+            want += np.outer(row, row)
+    sums = np.zeros((size, size))
+    for r in got.collect():
+        sums[divmod(r.key, size)] = r.value / decontaminate.ONE
+    assert np.allclose(sums, np.triu(want), atol=1e-6) and want.any()
+
+
+def test_the_latent_space_is_fitted_on_all_documents(spark, monkeypatch):
+    fitted, space = [], decontaminate.latent_space
+    monkeypatch.setattr(decontaminate, "latent_space", lambda passages, texts, weight: fitted.append(texts.count()) or space(passages, texts, weight))
+    rng = random.Random(7)
+    texts = [" ".join(words(rng, 12)) for _ in range(3000)]
+    items = spark.createDataFrame([(1, texts[8]), (2, " ".join(words(rng, 12)))], "item_id long, text string")
+    got = decontaminate.leaks(docs(spark, [(i, t, "a") for i, t in enumerate(texts)] + [(3000, None, "a"), (3001, " ", "a")]), items).collect()
+    assert fitted == [3000] and [(r.doc_id, r.item_id) for r in got] == [(8, 1)]
+
+
 def test_answers():
     assert decontaminate.answer_of("Q: what? A: forty two") == "forty two"
     assert decontaminate.answer_of("First. Second one.") == "Second one."
