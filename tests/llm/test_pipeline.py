@@ -81,3 +81,17 @@ def test_stages_take_odd_rows(spark, tables, tmp_path):
         elif name == "benchmark_decontamination":
             assert sorted(map(str, got)) == sorted(map(str, before))  # none of them holds an item
         before = got
+
+
+def test_decontamination_is_fitted_on_all_that_came_before(spark, tables, monkeypatch):
+    import corpus_pipeline
+    from safelens.llm import decontaminate
+
+    at, rows, kind = tables
+    fitted, space = [], decontaminate.latent_space
+    monkeypatch.setattr(decontaminate, "latent_space", lambda passages, texts, weight: fitted.append(texts.count()) or space(passages, texts, weight))
+    many = spark.range(2500).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), F.xxhash64("id", F.lit(k)) % 2000) for k in range(30)]).alias("text"))
+    docs = many.unionByName(spark.createDataFrame([(3000 + r[0], r[1]) for r in rows], "doc_id long, text string"))
+    kept = {r.doc_id for r in corpus_pipeline.benchmark_decontamination(spark, docs, at).collect()}
+    assert fitted == [2500 + len(rows)]
+    assert kept == set(range(2500)) | {3000 + d for d in kind if kind[d] != "leak"}
